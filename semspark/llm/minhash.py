@@ -5,9 +5,10 @@ come from bands of SuperMinHash signatures; a link counts only once the full set
 
 No step emits the pairs of a group. Texts with equal sets are one class from the start. In each bucket of equal
 band keys every member is first compared with one centre, and a bucket whose members then lie in one component is
-done. In a bucket that still holds several components, the signatures of members in different components are
-compared in blocks of bounded size inside one operator, which lets out only the pairs whose estimate is within
-``SLACK`` standard deviations of the threshold. So no pair in a common bucket goes unseen, whatever the bucket's size.
+done. Buckets that still hold several components get another centre, drawn anew in each of ``ROUNDS`` rounds. In those
+that are left, the signatures of members in different components are compared in blocks of bounded size inside one
+operator, which lets out only the pairs whose estimate is within ``SLACK`` standard deviations of the threshold. So
+no pair in a common bucket goes unseen, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from .texthash import U, mix, shingle_hashes, slices, word_hashes
 WORDS, THRESHOLD, PLACES, BANDS = 5, 75, 128, 32
 #: Members of a bucket that are compared with each other at once; larger buckets are cut into pairs of blocks.
 BLOCK = 512
-SLACK = 5.5
+SLACK = 4.5
+#: Further rounds with drawn centres before the blocks.
+ROUNDS = 2
 
 
 def _each_set(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -100,11 +103,13 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     )
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(a, b, linked) of each pair, by their full sets. The sets are made for the texts of ``pairs`` alone."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the texts named by ``ids`` (doc_id) alone. The join always shuffles both sides by id."""
+    return written(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, linked) of each pair, by their full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -222,14 +227,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     small = heads.select(F.col("doc_id").alias("rep"), "n", "sketch")
     buckets = written(keys.join(shared, "key").select("key", "rep", F.col("lo").alias("centre")).join(small, "rep"), "buckets")
+    sets = _shingle_sets(plain, buckets.select(F.col("rep").alias("doc_id")).distinct(), words)
     least = _least_matches(threshold, places)
+
+    def compared(near: DataFrame) -> DataFrame:
+        """near: centre, rep, m, n, other, sketch. Pairs whose estimates allow a link are confirmed."""
+        ends = F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")
+        near = near.where(_fit(threshold)).select(*ends, "other", "sketch").dropDuplicates(["a", "b"])
+        return near.mapInArrow(_estimate(least, places), "a long, b long")
+
     centres = small.select(F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    near = buckets.where("rep <> centre").dropDuplicates(["rep", "centre"]).join(centres, "centre").where(_fit(threshold))
-    near = near.select(F.col("centre").alias("a"), F.col("rep").alias("b"), "other", "sketch").mapInArrow(_estimate(least, places), "a long, b long").distinct()
-    checked = _confirm(near, plain, words, threshold)
+    near = buckets.where("rep <> centre").select("rep", "centre", "n", "sketch").dropDuplicates(["rep", "centre"])
+    checked = _confirm(compared(near.join(centres, "centre")), sets, threshold)
+    for turn in range(1, ROUNDS + 1):
+        open_ = written(_open(buckets, checked.where("linked").select("a", "b")), "open")
+        drawn = F.min(F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("h"), "rep", "n", "sketch", "component")).alias("c")
+        drawn = open_.groupBy("key").agg(drawn).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"), F.col("c.sketch").alias("other"), F.col("c.component").alias("at"))
+        near = compared(open_.join(drawn, "key").where("component <> at"))
+        checked = checked.union(_confirm(near.join(checked, ["a", "b"], "left_anti"), sets, threshold))
     links = checked.where("linked").select("a", "b")
     rest = _crossed(written(_open(buckets, links), "open"), threshold, places).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _confirm(rest, plain, words, threshold).where("linked").select("a", "b")
+    more = _confirm(rest, sets, threshold).where("linked").select("a", "b")
     found = components(links.union(more).union(copies))
 
     numbered = table.where("doc_id is not null").select("doc_id", "n", "set_a", "set_b").withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "set_a", "set_b")))
