@@ -1,2 +1,237 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The registered queries of the semantic engine, each beside the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..agent import Agent, run_plan
+from ..operators.dedup import SemanticDeduplicator, similar_pairs
+from ..operators.reduce import reduce
+from ..operators.semantic import filter as sem_filter
+from ..operators.semantic import finalize
+from ..operators.semantic import map as sem_map
+from ..runtime.clients import CallableLLM, ScriptedLLM
+from ..runtime.protocol import END, framed_rows
+from . import rules
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark, d, name) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+class FlakyLLM(CallableLLM):
+    """Garbles the answer of every third row the first time that a worker sees it."""
+
+    _seen: set[str] = set()
+
+    def complete(self, prompt: str) -> str:
+        out = []
+        for index, row in framed_rows(prompt):
+            first = row not in FlakyLLM._seen
+            FlakyLLM._seen.add(row)
+            out.append(f"index={index}|{'oops {' if first and index % 3 == 0 else repr(self.rule(row))}{END}")
+        return "".join(out)
+
+
+EVENT = "event_id, user_id, event_type, value"
+
+
+def _events(spark, d):
+    return _table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+
+
+@_query(f"SELECT {EVENT} FROM events WHERE event_type IN ('purchase', 'signup')")
+def sem_filter_keep(spark, d):
+    return finalize(sem_filter(prompt="bought or signed up", input_fields=["event_type"])(CallableLLM(rules.wanted_event), _events(spark, d)))
+
+
+@_query(f"SELECT {EVENT} FROM events WHERE event_type IN ('purchase', 'signup') OR event_id % 10 = 3")
+def sem_filter_on_error_keep(spark, d):
+    return finalize(sem_filter(prompt="bought or signed up", max_retries=1)(CallableLLM(rules.wanted_event_or_error), _events(spark, d)))
+
+
+@_query(f"SELECT {EVENT} FROM events WHERE event_type IN ('purchase', 'signup') AND event_id % 10 <> 3")
+def sem_filter_on_error_delete(spark, d):
+    return finalize(sem_filter(prompt="bought or signed up", on_error="delete", max_retries=1)(CallableLLM(rules.wanted_event_or_error), _events(spark, d)))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 10 = 3 THEN -1 WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS result, event_id % 10 = 3 AS errored, event_id % 10 <> 3 AND event_type NOT IN ('purchase', 'signup') AS deleted FROM events")
+def sem_filter_flags(spark, d):
+    out = sem_filter(prompt="bought or signed up", name="q", max_retries=1)(CallableLLM(rules.wanted_event_or_error), _events(spark, d))
+    return out.select("event_id", F.col("__sem_q_result").alias("result"), F.col("__sem_error").alias("errored"), F.col("__sem_deleted").alias("deleted"))
+
+
+@_query("SELECT p_partkey, p_type FROM part WHERE length(p_type) % 2 = 0")
+def sem_filter_input_fields(spark, d):
+    return finalize(sem_filter(prompt="is of metal", input_fields=["p_type"])(CallableLLM(rules.metal_part), _table(spark, d, "part"))).select("p_partkey", "p_type")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0")
+def sem_filter_chain(spark, d):
+    df = sem_filter(prompt="makes machines")(CallableLLM(rules.machinery_customer), _table(spark, d, "customer"))
+    return finalize(sem_filter(prompt="has money")(CallableLLM(rules.rich_customer), df)).select("c_custkey", "c_name")
+
+
+@_query("SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS adjective, split_part(p_name, ' ', 2) AS noun FROM part")
+def sem_map_new_fields(spark, d):
+    df = _table(spark, d, "part").select("p_partkey", "p_name")
+    return finalize(sem_map(prompt="split the name", input_fields=["p_name"], output_fields=["adjective", "noun"])(CallableLLM(rules.part_words), df))
+
+
+@_query("SELECT c_custkey, length(c_name)::INT AS name_length FROM customer")
+def sem_map_typed_fields(spark, d):
+    df = _table(spark, d, "customer").select("c_custkey", "c_name")
+    return finalize(sem_map(prompt="measure the name", output_fields={"name_length": "int"})(CallableLLM(rules.name_length), df)).drop("c_name")
+
+
+@_query("SELECT c_custkey, 'XX' AS c_name, c_mktsegment FROM customer")
+def sem_map_overwrite(spark, d):
+    df = _table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return finalize(sem_map(prompt="mask the name")(CallableLLM(rules.mask_name), df))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN NULL ELSE event_type END AS event_type, CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN 'other' END AS note FROM events")
+def sem_map_missing_keys(spark, d):
+    df = _table(spark, d, "events").select("event_id", "event_type")
+    return finalize(sem_map(prompt="note", output_fields=["event_type", "note"])(CallableLLM(rules.event_note), df))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 7 <> 2 THEN upper(event_type) END AS note, event_id % 7 = 2 AS errored FROM events")
+def sem_map_error_flag(spark, d):
+    df = _table(spark, d, "events").select("event_id", "event_type")
+    out = sem_map(prompt="note", output_fields=["note"], max_retries=1)(CallableLLM(rules.event_note_or_error), df)
+    return out.select("event_id", "note", F.col("__sem_error").alias("errored"))
+
+
+@_query("SELECT p_partkey, p_type, split_part(p_name, ' ', 1) AS adjective, split_part(p_name, ' ', 2) AS noun FROM part WHERE length(p_type) % 2 = 0")
+def sem_map_then_filter(spark, d):
+    df = _table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    df = sem_map(prompt="split the name", output_fields=["adjective", "noun"])(CallableLLM(rules.part_words), df)
+    return finalize(sem_filter(prompt="is of metal")(CallableLLM(rules.metal_part), df)).drop("p_name")
+
+
+@_query("SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS INT) AS rank FROM orders")
+def sem_map_retry(spark, d):
+    df = _table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return finalize(sem_map(prompt="rank", output_fields={"rank": "int"})(FlakyLLM(rules.order_rank), df)).select("o_orderkey", "rank")
+
+
+@_query("SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS INT) AS rank FROM orders")
+def sem_map_distinct_collapse(spark, d):
+    df = _table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    op = sem_map(prompt="rank", input_fields=["o_orderpriority"], output_fields={"rank": "int"}, collapse=True)
+    return finalize(op(CallableLLM(rules.order_rank), df)).select("o_orderkey", "rank")
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    ids = df.groupBy(F.md5("text").alias("h")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1")
+    return ids.select(F.element_at("ids", 1).alias("canonical_id"), F.slice("ids", 2, 1 << 20).alias("duplicate_ids"))
+
+
+@_query("SELECT doc_id, length(text)::BIGINT AS text_length FROM documents")
+def sem_map_clusters(spark, d):
+    df = _table(spark, d, "documents").select("doc_id", "text")
+    op = sem_map(prompt="measure", input_fields=["text"], output_fields={"text_length": "bigint"}, clusters=_copies(df), id_col="doc_id")
+    return finalize(op(CallableLLM(rules.text_length), df)).drop("text")
+
+
+@_query("SELECT doc_id FROM documents WHERE length(text) > 1500")
+def sem_filter_clusters(spark, d):
+    df = _table(spark, d, "documents").select("doc_id", "text")
+    op = sem_filter(prompt="is long", input_fields=["text"], clusters=_copies(df), id_col="doc_id")
+    return finalize(op(CallableLLM(rules.long_text), df)).select("doc_id")
+
+
+def _dedup(spark, d, return_df: bool):
+    df = _table(spark, d, "documents").select("doc_id", "text", "lang")
+    return reduce(df, action="dedup", llm=CallableLLM(rules.same_text), id_col="doc_id", input_fields=["text"], sim_threshold=0.9999, top_k=50, return_df=return_df)
+
+
+@_query("SELECT min(doc_id) AS canonical_id, count(*) - 1 AS n_duplicates, sum(doc_id)::BIGINT - min(doc_id) AS sum_of_ids FROM documents GROUP BY text HAVING count(*) > 1")
+def dedup_merges(spark, d):
+    merges = _dedup(spark, d, False)
+    return merges.select("canonical_id", F.size("duplicate_ids").cast("long").alias("n_duplicates"), F.aggregate("duplicate_ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("sum_of_ids"))
+
+
+@_query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedup_return_df(spark, d):
+    return _dedup(spark, d, True).select("doc_id", "lang")
+
+
+@_query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.42")
+def knn_pairs(spark, d):
+    vectors = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return similar_pairs(vectors, 0.42).select("a", "b", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def _plan(*steps):
+    return [{"type": "dask", "operation": name, "params": params} for name, params in steps]
+
+
+def _agent(name: str, table: str, columns: list[str], steps, sql: str, out: list[str] | None = None):
+    def run(spark, d):
+        made = run_plan(_plan(*steps), _table(spark, d, table).select(*columns))
+        return made.select(*out) if out else made
+
+    run.__name__ = name
+    _query(sql)(run)
+
+
+LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
+_agent("agent_add_column", "lineitem", LINE, [("add_column", {"new_column": "net", "expression": "l_extendedprice * (1 - l_discount)"}), ("drop_columns", {"columns": ["l_extendedprice", "l_discount", "l_quantity"]})], "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+_agent("agent_apply_function", "orders", ["o_orderkey", "o_orderdate"], [("apply_function", {"new_column": "o_year", "source_column": "o_orderdate", "function": "year(x)", "dtype": "int64"}), ("drop_columns", {"columns": ["o_orderdate"]})], "SELECT o_orderkey, year(o_orderdate)::BIGINT AS o_year FROM orders")
+_agent("agent_rename_columns", "nation", ["n_nationkey", "n_name"], [("rename_columns", {"rename_map": {"n_name": "nation name", "absent": "x"}})], 'SELECT n_nationkey, n_name AS "nation name" FROM nation')
+_agent("agent_astype_column", "part", ["p_partkey", "p_size"], [("astype_column", {"column": "p_size", "dtype": "float64"})], "SELECT p_partkey, p_size::DOUBLE AS p_size FROM part")
+_agent("agent_fillna", "events", ["event_id", "event_type"], [("add_column", {"new_column": "kind", "expression": "nullif(event_type, 'error')"}), ("fillna", {"column": "kind", "value": "none"})], "SELECT event_id, event_type, coalesce(nullif(event_type, 'error'), 'none') AS kind FROM events")
+_agent("agent_replace_values", "customer", ["c_custkey", "c_mktsegment"], [("replace_values", {"column": "c_mktsegment", "to_replace": ["MACHINERY", "BUILDING"], "value": "HEAVY"})], "SELECT c_custkey, CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'HEAVY' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+_agent("agent_conditional_column", "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice"], [("conditional_column", {"new_column": "band", "conditions": ["l_extendedprice < 10000", "l_extendedprice < 50000"], "choices": ["low", "middle"], "default": "high"})], "SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_extendedprice < 10000 THEN 'low' WHEN l_extendedprice < 50000 THEN 'middle' ELSE 'high' END AS band FROM lineitem")
+_agent("agent_select_rows", "orders", ["o_orderkey", "o_totalprice"], [("select_rows", {"condition": "o_totalprice > 100000 and o_orderkey % 2 = 0"})], "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 2 = 0")
+_agent("agent_drop_duplicates", "events", ["user_id", "event_type", "event_id"], [("drop_duplicates", {"columns": ["user_id", "event_type"], "order_by": ["event_id"]})], "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+_agent("agent_dropna", "events", ["event_id", "event_type"], [("add_column", {"new_column": "kind", "expression": "nullif(event_type, 'error')"}), ("dropna", {"columns": ["kind"]})], "SELECT event_id, event_type, event_type AS kind FROM events WHERE event_type <> 'error'")
+_agent("agent_select_columns", "customer", ["c_custkey", "c_name", "c_acctbal"], [("select_columns", {"columns": ["c_name", "c_custkey"]})], "SELECT c_name, c_custkey FROM customer")
+_agent("agent_drop_columns", "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], [("drop_columns", {"columns": ["s_acctbal", "s_nationkey"]})], "SELECT s_suppkey, s_name FROM supplier")
+_agent("agent_group_by", "orders", ["o_orderstatus", "o_totalprice"], [("group_by", {"group_columns": ["o_orderstatus"]}), ("group_by_agg", {"aggregations": {"o_totalprice": ["count", "min"]}})], "SELECT o_orderstatus, count(o_totalprice) AS o_totalprice_count, min(o_totalprice) AS o_totalprice_min FROM orders GROUP BY o_orderstatus")
+_agent("agent_group_by_agg", "lineitem", ["l_returnflag", "l_linestatus", "l_quantity", "l_orderkey"], [("group_by_agg", {"group_columns": ["l_returnflag", "l_linestatus"], "aggregations": {"l_quantity": "sum", "l_orderkey": "nunique"}})], "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity, count(DISTINCT l_orderkey) AS l_orderkey FROM lineitem GROUP BY ALL")
+_agent("agent_sort_values", "nation", ["n_nationkey", "n_name", "n_regionkey"], [("sort_values", {"columns": ["n_regionkey", "n_name"], "ascending": [True, False]})], "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_regionkey, n_name DESC")
+
+
+@_query("SELECT event_type, sum(n) AS n, upper(event_type) AS note FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) WHERE event_type IN ('purchase', 'signup') GROUP BY event_type")
+def agent_mixed_plan(spark, d):
+    plan = _plan(("group_by_agg", {"group_columns": ["event_type"], "aggregations": {"event_id": "count"}}), ("rename_columns", {"rename_map": {"event_id": "n"}}))
+    plan += [{"type": "primitive", "operation": "Map", "subprompt": "note", "output_fields": ["note"]}, {"type": "primitive", "operation": "Filter", "params": {"subprompt": "bought or signed up"}}]
+
+    def rule(text):
+        row = json.loads(text)
+        return {"note": row["event_type"].upper(), "__filter__": row["event_type"] in ("purchase", "signup")}
+
+    return run_plan(plan, _table(spark, d, "events").select("event_type", "event_id"), CallableLLM(rule))
+
+
+@_query("SELECT o_orderkey, o_totalprice / 2 AS half FROM orders WHERE o_totalprice > 200000")
+def agent_replan_after_error(spark, d):
+    bad = json.dumps(_plan(("add_column", {"new_column": "half", "expression": "no_such_column / 2"})))
+    good = json.dumps(_plan(("select_rows", {"condition": "o_totalprice > 200000"}), ("add_column", {"new_column": "half", "expression": "o_totalprice / 2"}), ("select_columns", {"columns": ["o_orderkey", "half"]})))
+    return Agent(ScriptedLLM(["no JSON", bad, f"```json\n{good}\n```"])).do("halve large prices", _table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+
+
+@_query("SELECT * FROM customer")
+def finalize_drop_internal(spark, d):
+    df = _table(spark, d, "customer").withColumn("__sem_deleted", F.lit(False)).withColumn("__sem_x_output", F.lit("x"))
+    return finalize(finalize(df))
