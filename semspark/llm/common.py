@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime.shared import forget, new_path, shared_dir, written  # noqa: F401  used by the operators
+
 #: A word is a run of characters other than the space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,42 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (single-machine tests) a fresh
-    local folder is created and remembered in the session.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.conf.get("semspark.shared.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="semspark-")
-        spark.conf.set("semspark.shared.dir", known)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a frame made by ``written`` once nothing reads them again."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of ``columns`` (Spark ignores case)."""
     taken = {c.lower() for c in columns}
