@@ -226,8 +226,11 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that pass (columns unchanged)."""
-    (copy,) = fresh(docs.columns, "qr_copy")
+    copy, once = fresh(docs.columns, "qr_copy", "qr_once")
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(copy), F.col("`text`").alias("text"))
-    judged = text_statistics(packed).where(~base_failed() & (verdict(rules) == 0))
+    # A filter would be pushed below the statistics, with a copy of their expressions for every mention of one; rows
+    # are dropped by an explode instead, which stays above them.
+    passes = ~base_failed() & (verdict(rules) == 0)
+    judged = text_statistics(packed).select(copy, F.explode(F.when(passes, F.array(F.lit(1)))).alias(once))
     return judged.select(*[F.col(copy)[c].alias(c) for c in names])
