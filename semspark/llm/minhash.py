@@ -5,10 +5,10 @@ come from bands of SuperMinHash signatures; a link counts only once the full set
 
 No step emits the pairs of a group. Texts with equal sets are one class from the start. In each bucket of equal
 band keys every member is first compared with one centre, and a bucket whose members then lie in one component is
-done. Buckets that still hold several components get another centre, drawn anew in each of ``ROUNDS`` rounds. In those
-that are left, the signatures of members in different components are compared in blocks of bounded size inside one
-operator, which lets out only the pairs whose estimate is within ``SLACK`` standard deviations of the threshold. So
-no pair in a common bucket goes unseen, whatever the bucket's size.
+done. Buckets that still hold several components get another centre, drawn anew in each of ``ROUNDS`` rounds. In
+those that are left, the signatures of members in different components are compared in blocks of bounded size inside one operator;
+members whose estimate is within ``SLACK`` standard deviations of the threshold are compared there by their full sets,
+and only links come out. So no pair in a common bucket goes unseen, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.components import components
+from ..functions.components import components, union_find
 from .common import fresh, written
 from .superminhash import band_keys, signatures
 from .texthash import U, mix, shingle_hashes, slices, word_hashes
@@ -141,12 +141,15 @@ def _estimate(least: int, places: int):
 
 
 def _across(least: int, places: int, threshold: int):
-    """Pairs of members of a block pair that lie in different components and whose sketches agree enough.
+    """Confirmed links between members of a block pair that lie in different components.
 
-    Rows come sorted by (key, i, j); a group holds two blocks at most.
+    Rows come sorted by (key, i, j); a group holds two blocks at most. Members whose sketches agree enough are compared
+    by their full sets: the sizes of all intersections of a member are counted at once over the sets that hold its
+    shingles. Of the links of a group only a spanning forest is let out.
     """
 
-    def pairs(rep, n, component, own, sketch, diagonal):
+    def links(rep, n, component, own, sketch, sets, diagonal):
+        near: dict[int, np.ndarray] = {}
         for k in range(len(rep)):
             other = slice(k + 1, None)
             may = component[other] != component[k]
@@ -156,16 +159,35 @@ def _across(least: int, places: int, threshold: int):
             at = np.flatnonzero(may) + k + 1
             if len(at):
                 at = at[(sketch[at] == sketch[k]).sum(axis=1) >= least]
-                yield np.minimum(rep[at], rep[k]), np.maximum(rep[at], rep[k])
+                if len(at):
+                    near[k] = at
+        if not near:
+            return None
+        values = [np.frombuffer(s.as_buffer(), U) for s in sets]
+        shingle = np.unique(np.concatenate(values), return_inverse=True)[1]
+        edge = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+        holder = np.repeat(np.arange(len(values)), np.diff(edge))[np.argsort(shingle, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+        left, right = [], []
+        for k, at in near.items():
+            mine = shingle[edge[k] : edge[k + 1]]
+            many = first[mine + 1] - first[mine]
+            posting = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            shared = np.bincount(holder[posting], minlength=len(values))[at]
+            at = at[100 * shared >= threshold * (n[at] + n[k] - shared)]
+            left.append(np.full(len(at), rep[k]))
+            right.append(rep[at])
+        nodes, roots = union_find(np.concatenate(left), np.concatenate(right))
+        return nodes[nodes != roots], roots[nodes != roots]
 
     def groups(rows: pa.RecordBatch):
         key, i, j, rep, n, component, own = (np.asarray(rows.column(c)) for c in range(7))
         sketch = _matrix(rows.column(7), places)
         cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         edges = np.concatenate([[0], cut, [len(key)]])
-        found = [p for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 for p in pairs(rep[s:e], n[s:e], component[s:e], own[s:e], sketch[s:e], i[s] == j[s])]
-        if found:
-            yield pa.record_batch({"a": pa.array(np.concatenate([p[0] for p in found])), "b": pa.array(np.concatenate([p[1] for p in found]))})
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if e - s > 1 and (found := links(rep[s:e], n[s:e], component[s:e], own[s:e], sketch[s:e], rows.column(8).slice(s, e - s), i[s] == j[s])):
+                yield pa.record_batch({"a": pa.array(found[1]), "b": pa.array(found[0])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -188,12 +210,16 @@ def _across(least: int, places: int, threshold: int):
     return run
 
 
-def _crossed(open_: DataFrame, threshold: int, places: int) -> DataFrame:
-    """Pairs across the components of each open bucket that may reach the threshold, compared block by block."""
-    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = open_.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _crossed(open_: DataFrame, sets: DataFrame, threshold: int, places: int) -> DataFrame:
+    """Links across the components of each open bucket, compared block by block. Of buckets with the same members one
+    is looked at."""
+    members = F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")
+    shapes = open_.groupBy("key").agg(F.count("*").alias("size"), *members)
+    chosen = shapes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    own = open_.join(chosen, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    own = own.join(sets, own.rep == sets.id)
     dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "n", "component", "own", "sketch")
+    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "n", "component", "own", "sketch", "shingles")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_across(_least_matches(threshold, places), places, threshold), "a long, b long").distinct()
 
@@ -246,8 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = compared(open_.join(drawn, "key").where("component <> at"))
         checked = checked.union(_confirm(near.join(checked, ["a", "b"], "left_anti"), sets, threshold))
     links = checked.where("linked").select("a", "b")
-    rest = _crossed(written(_open(buckets, links), "open"), threshold, places).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _confirm(rest, sets, threshold).where("linked").select("a", "b")
+    more = _crossed(written(_open(buckets, links), "open"), sets, threshold, places)
     found = components(links.union(more).union(copies))
 
     numbered = table.where("doc_id is not null").select("doc_id", "n", "set_a", "set_b").withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "set_a", "set_b")))
