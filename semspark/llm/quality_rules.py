@@ -69,7 +69,11 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn(places, F.expr(f"array_sort(array_distinct(filter(flatten({equal}), x -> x is not null)))"))
     covered = f"aggregate(zip_with(`{places}`, slice(`{places}`, 2, size(`{places}`)), (a, b) -> least({WINDOW}, coalesce(b - a, {WINDOW}))), 0L, (s, x) -> s + x)"
     df = df.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0).cast("long"))).withColumn("n_distinct_words", F.size(F.array_distinct(hashes)).cast("long"))
-    return df.select(*[F.col(f"`{c}`") for c in keep], *own)
+    # A filter on a statistic would be pushed below these projections, with a copy of the expressions for each mention.
+    # The statistics go through an explode of one element, which filters stay above.
+    (one,) = fresh([*docs.columns, *own], "qr_one")
+    df = df.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(F.struct(*own))).alias(one))
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(one)[c].alias(c) for c in own])
 
 
 def base_failed() -> Column:
@@ -226,11 +230,8 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that pass (columns unchanged)."""
-    copy, once = fresh(docs.columns, "qr_copy", "qr_once")
+    (copy,) = fresh(docs.columns, "qr_copy")
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(copy), F.col("`text`").alias("text"))
-    # A filter would be pushed below the statistics, with a copy of their expressions for every mention of one; rows
-    # are dropped by an explode instead, which stays above them.
-    passes = ~base_failed() & (verdict(rules) == 0)
-    judged = text_statistics(packed).select(copy, F.explode(F.when(passes, F.array(F.lit(1)))).alias(once))
+    judged = text_statistics(packed).where(~base_failed() & (verdict(rules) == 0))
     return judged.select(*[F.col(copy)[c].alias(c) for c in names])
