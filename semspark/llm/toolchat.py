@@ -1,8 +1,9 @@
 """Tool calls of chats: linked with their results, ordered, checked against schemas and written as canonical JSON.
 
 Native Spark functions only. Calls and results are hash-joined by identifier. The order is topological: a call stands
-one level above the calls that it needs, found level by level until no call is left that can be placed. Arguments are
-parsed to variants, whose object keys are sorted, so that equal arguments are written alike.
+one level above the calls that it needs. Chains of calls with one need are measured by pointer doubling, the others
+placed level by level until no call is left that can be placed. Arguments are parsed to variants, whose object keys
+are sorted, so that equal arguments are written alike.
 """
 
 from __future__ import annotations
@@ -45,29 +46,61 @@ def argument_error(name: Column, arguments: Column, tools: dict[str, dict[str, t
     return out
 
 
+def _chain_ends(links: DataFrame, chained: DataFrame) -> DataFrame:
+    """(conv_id, call_id, end, steps) of the calls with one need: the first call up the chain that has no need or
+    several, and the steps to it. Calls whose chain runs into a cycle have no row.
+
+    Pointer doubling: a round joins each open pointer with the pointer of the call that it points to, so a chain of n
+    calls takes log2(n) rounds. A pointer still open after more steps than the conversation has chained calls is on a
+    cycle or leads into one.
+    """
+    spark = links.sparkSession
+    alone = chained.select("conv_id", F.col("call_id").alias("end"), F.lit(True).alias("goes_on"))
+    own = links.join(chained, ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", F.col("need").alias("end"), F.lit(1).alias("steps"))
+    pointers = written(own.join(alone, ["conv_id", "end"], "left").select("conv_id", "call_id", "end", "steps", F.col("goes_on").isNull().alias("ended")), "chains")
+    longest = chained.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach <= longest and pointers.where("not ended").take(1):
+        old = pointers
+        further = old.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"), F.col("ended").alias("at_end"))
+        moved = old.where("not ended").join(further, ["conv_id", "end"]).select("conv_id", "call_id", F.col("next").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("at_end").alias("ended"))
+        pointers = written(old.where("ended").unionByName(moved), "chains")
+        forget(spark, old)
+        reach *= 2
+    return pointers.where("ended").drop("ended")
+
+
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that need none, else one more than the highest call needed.
 
     ``calls`` has distinct (conv_id, call_id) and needs (array of call ids of the conversation). Needs of calls that
-    are not there, and null needs, count as met. Calls on a cycle, and those that need them, have no row. A round
-    joins the calls placed in the round before with the needs still open.
+    are not there, and null needs, count as met. Calls on a cycle, and those that need them, have no row. Chains of
+    calls with one need are first contracted to one weighted step; then a round joins the calls placed in the round
+    before with the needs still open of calls with several, so rounds grow with the depth of such calls alone.
     """
+    spark = calls.sparkSession
     nodes = calls.select("conv_id", "call_id")
     links = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct().join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"])
     links = written(links, "needs")
-    placed = written(nodes.join(links, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    done, level = placed, 0
-    while placed.take(1) and links.take(1):
-        level += 1
-        old = links
-        met = links.join(placed.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("met")), ["conv_id", "need"], "left")
-        met = written(met, "needs")
-        open_ = met.where("met is null").select("conv_id", "call_id").distinct()
-        placed = written(met.where("met").select("conv_id", "call_id").distinct().join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        links = written(met.where("met is null").drop("met"), "needs")
-        forget(calls.sparkSession, old)
+    needs = written(links.groupBy("conv_id", "call_id").count(), "counts")
+    ends = _chain_ends(links, needs.where("count = 1").drop("count"))
+    several = links.join(needs.where("count > 1").drop("count"), ["conv_id", "call_id"], "left_semi")
+    # A need on a cycle has no end and stays itself: it is never placed.
+    skipped = several.join(ends.withColumnsRenamed({"call_id": "need"}), ["conv_id", "need"], "left")
+    open_ = written(skipped.select("conv_id", "call_id", F.coalesce("end", "need").alias("need"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.lit(None).cast("int").alias("level")), "open")
+    placed = written(nodes.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    done = placed
+    while placed.take(1) and open_.take(1):
+        met = open_.join(placed.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("at")), ["conv_id", "need"], "left")
+        met = written(met.select("conv_id", "call_id", "need", "steps", F.coalesce("level", F.col("at") + F.col("steps")).alias("level")), "open")
+        ready = met.groupBy("conv_id", "call_id").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("left"))
+        placed = written(ready.where("left = 0").drop("left"), "levels")
+        old, open_ = open_, written(met.join(placed, ["conv_id", "call_id"], "left_anti"), "open")
+        forget(spark, old)
+        forget(spark, met)
         done = done.union(placed)
-    return done
+    chained = ends.join(done.withColumnRenamed("call_id", "end"), ["conv_id", "end"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return done.union(chained)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

@@ -40,6 +40,34 @@ def test_tool_calls(spark):
     assert toolchat.link_tool_calls(calls.limit(0), results.limit(0), TOOLS).count() == 0
 
 
+def _levels_one_by_one(needs):
+    level = {}
+    while True:
+        ready = {c for c, n in needs.items() if c not in level and all(x in level for x in n if x in needs)}
+        if not ready:
+            return level
+        level |= {c: max((level[x] + 1 for x in needs[c] if x in needs), default=0) for c in ready}
+
+
+def test_levels_of_chains_and_branches(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for conv in range(12):
+        size = [41, 1, 30][conv % 3]
+        needs = {}
+        for k in range(size):
+            below = [k - 1] if conv % 3 == 0 else [rng.randrange(max(0, k - 6), k) for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 3]))] if k else []
+            needs[f"k{k}"] = [f"k{n}" for n in below if n >= 0] + ["gone"] * (k % 5 == 0)
+        if conv in (3, 5):
+            needs["k4"] = ["k9", "k7"][: conv - 3 or 1]
+        rows += [(conv, c, [*n, *n[:1]]) for c, n in needs.items()]
+        want |= {(conv, c): v for c, v in _levels_one_by_one(needs).items()}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>").repartition(4)
+    got = toolchat.topological_levels(calls).collect()
+    assert len(got) == len(want) and {(r.conv_id, r.call_id): r.level for r in got} == want
+    assert max(want.values()) >= 39 and len(want) < len(rows)
+
+
 def test_hierarchical_bayes(spark):
     rng = random.Random(3)
     rows, labels = [], []
