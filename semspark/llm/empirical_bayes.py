@@ -1,6 +1,7 @@
 """A document classifier combined with what its host and path are like, by hierarchical empirical Bayes.
 
-A logistic model over the presence of telling words and a few figures of the text gives each document's evidence.
+A logistic model over the presence of telling words and word beginnings and a few figures of the text gives each
+document's evidence.
 Grouped aggregation of that evidence gives the rate of bad documents of all the corpus, of each host and of each path
 of a host. Rates of sparse groups are shrunk: a path's toward its host's, a host's toward the corpus's, by an amount
 that is estimated from how much the groups differ. A document's evidence is then read with its path's rate as prior.
@@ -21,6 +22,8 @@ from .texthash import slices, word_hashes
 
 #: Labelled documents that the model is fitted on (those with the least hashes of their ids), and words that it may use.
 SAMPLE, WORDS, LEAST_DOCS = 20_000, 400, 12
+#: Word beginnings of so many bytes count like words, for languages that inflect and compound.
+PREFIXES = (6, 7, 8)
 FIGURES = ("capitals", "signs", "shouts", "digits", "sameness", "word_length")
 
 
@@ -39,14 +42,20 @@ def _figures(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, index: n
     return np.minimum(np.stack(columns, axis=1), 10.0)
 
 
+def _word_and_prefix_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of hashes for the words and one for each length of prefix, and the index of each text's first word."""
+    hashes, index = word_hashes(data, offsets)
+    return np.stack([hashes, *(word_hashes(data, offsets, p)[0] for p in PREFIXES)]), index
+
+
 def _present(hashes: np.ndarray, index: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of the known words (sorted hashes) each text has."""
+    """Which of the known words and beginnings (sorted hashes) each text has."""
     n = len(index) - 1
     out = np.zeros((n, len(known)), bool)
-    if len(known):
-        at = np.searchsorted(known, hashes)
+    for row in hashes if len(known) else ():
+        at = np.searchsorted(known, row)
         at[at == len(known)] = 0
-        hit = np.flatnonzero(known[at] == hashes)
+        hit = np.flatnonzero(known[at] == row)
         out[np.searchsorted(index, hit, "right") - 1, at[hit]] = True
     return out
 
@@ -54,17 +63,17 @@ def _present(hashes: np.ndarray, index: np.ndarray, known: np.ndarray) -> np.nda
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, data, offsets in slices(batch.column(0)):
-            hashes, index = word_hashes(data, offsets)
+            hashes, index = _word_and_prefix_hashes(data, offsets)
             bad = np.asarray(batch.column(1))[first : first + len(offsets) - 1]
             for i in range(len(bad)):
-                own = np.unique(hashes[index[i] : index[i + 1]]).view(np.int64)
+                own = np.unique(hashes[:, index[i] : index[i + 1]]).view(np.int64)
                 yield pa.record_batch({"word": pa.array(own), "bad": pa.array(np.full(len(own), bad[i], np.int32))})
 
 
 def _features(known: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     for first, data, offsets in slices(column):
-        hashes, index = word_hashes(data, offsets)
-        yield first, np.concatenate([_present(hashes, index, known).astype(float), _figures(data, offsets, hashes, index)], axis=1)
+        hashes, index = _word_and_prefix_hashes(data, offsets)
+        yield first, np.concatenate([_present(hashes, index, known).astype(float), _figures(data, offsets, hashes[0], index)], axis=1)
 
 
 @dataclass

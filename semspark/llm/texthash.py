@@ -76,8 +76,11 @@ def slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, np.nda
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the index of its first word (n+1 entries)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text the index of its first word (n+1 entries).
+
+    With ``prefix`` the hashes are of the words' first bytes, that many at most.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
@@ -89,6 +92,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     end = letter.copy()
     end[:-1] &= ~letter[1:] | first[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    if prefix is not None:
+        ends = np.minimum(ends, starts + prefix)
     power, inverse = _power_tables(n + 1)
     with np.errstate(over="ignore"):
         sums = np.empty(n + 1, U)

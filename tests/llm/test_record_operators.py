@@ -92,6 +92,21 @@ def test_hierarchical_bayes(spark):
     assert empirical_bayes.classify(docs, known.limit(0)).count() == len(rows)
 
 
+def test_word_beginnings_tell(spark):
+    """Each bad document has compounds of one stem, no two alike, so only their beginnings tell."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(80)}" for _ in range(30)]
+        if i % 5 == 0:
+            words[3] = f"Rottenx{i}ung"
+        rows.append((i, " ".join(words), "h", "de"))
+        labels.append((i, 1, int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.kept for r in empirical_bayes.classify(docs, spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i] == (i % 5 > 0) for i in range(400, 600))
+
+
 def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES][1] == "MinHash near-dedup" and len(corpus_pipeline.STAGES) == 5
     rng = random.Random(9)
