@@ -116,6 +116,15 @@ def clusters(hits: DataFrame) -> DataFrame:
     return rows.groupBy("component").applyInArrow(run, "cluster_id long, members array<long>")
 
 
+def expanded(merges: DataFrame, classes: DataFrame) -> DataFrame:
+    """Merges (canonical_id, duplicate_ids) of the rows of ``classes`` (id, ids), with all ``ids`` for each id. A class
+    of several ids that is in no merge becomes one of its own."""
+    placed = merges.select("canonical_id", F.explode(F.concat(F.array("canonical_id"), "duplicate_ids")).alias("id"))
+    whole = classes.select("id", "ids").join(placed, "id", "left").where("size(ids) > 1 or canonical_id is not null")
+    grown = whole.groupBy(F.coalesce("canonical_id", "id").alias("canonical_id")).agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return grown.select("canonical_id", F.array_sort(F.array_remove("ids", F.col("canonical_id"))).alias("duplicate_ids"))
+
+
 _VERDICT = T.StructType([T.StructField("canonical_id", T.LongType()), T.StructField("duplicate_ids", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())])
 
 
@@ -140,7 +149,9 @@ def read_verdict(answer) -> dict:
 class SemanticDeduplicator:
     """Merges rows that mean the same.
 
-    ``id_col`` names a unique integer column. Without ``llm`` every candidate cluster is merged onto its least id.
+    ``id_col`` names a unique integer column. Rows with equal inputs are one class, merged without a question; the
+    neighbour search and the model see the row of least id of each, so ``top_k`` bounds distinct neighbours only.
+    Without ``llm`` equal vectors are one class too, and every candidate cluster is merged onto its least id.
     Calling it gives the merges (canonical_id, duplicate_ids), or with ``return_df`` the frame without duplicates.
     """
 
@@ -153,10 +164,19 @@ class SemanticDeduplicator:
         columns = input_columns(df, self.input_fields)
         if self.id_col not in df.columns:
             raise ValueError(f"id_col {self.id_col!r} is not a column of the frame")
-        vectors = written(embed(df, self.id_col, embedding_text([c for c in columns if c != self.id_col]), self.embedder), "vectors")
-        hits = written(nearest(vectors, self.top_k, self.sim_threshold, self.block), "hits")
+        inputs = [c for c in columns if c != self.id_col]
+        rows = df.select(col(self.id_col).cast("long").alias("id"), (F.sha2(serialised(inputs), 256) if inputs else col(self.id_col)).alias("row")).where("id is not null")
+        classes = written(rows.groupBy("row").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")).select("id", "ids"), "classes")
+        firsts = df.join(classes.select(F.col("id").alias("_first")), col(self.id_col).cast("long") == F.col("_first"), "left_semi")
+        vectors = written(embed(firsts, self.id_col, embedding_text(inputs), self.embedder), "vectors")
+        points = vectors
+        if self.llm is None:  # vectors of zeros are like no other
+            alone = F.when(~F.exists("vec", lambda v: v != 0), F.col("id"))
+            points = written(vectors.groupBy("vec", alone).agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")).select("id", "vec", "ids"), "points")
+        hits = written(nearest(points.select("id", "vec"), self.top_k, self.sim_threshold, self.block), "hits")
         found = written(clusters(hits), "clusters")
-        merges = written(self._confirmed(df, found, columns), "merges")
+        confirmed = self._confirmed(df, found, columns)
+        merges = written(expanded(confirmed if self.llm else expanded(confirmed, points), classes), "merges")
         if not self.return_df:
             return merges
         gone = merges.select(F.explode("duplicate_ids").alias("_gone")).distinct()

@@ -5,6 +5,7 @@ import pytest
 import semspark as ss
 from semspark.agent import AgentError, PlanError, run_plan
 from semspark.operators.dedup import greedy, read_verdict
+from semspark.plans.rules import same_text
 from semspark.runtime.clients import ScriptedLLM
 
 
@@ -105,6 +106,23 @@ def test_dedup(spark):
         ss.reduce(df, action="nope")
 
 
+@pytest.mark.parametrize("llm", [None, ss.CallableLLM(same_text)])
+def test_dedup_merges_groups_larger_than_top_k(spark, llm):
+    rows = [(k, f"red apple {k % 2}", "a" if k % 5 else None) for k in range(240)] + [(900, "blue whale", None), (901, "blue whale", None), (902, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, other string")
+    make = lambda whole: ss.reduce(df, action="dedup", llm=llm, id_col="id", input_fields=["text"], sim_threshold=0.9999, top_k=50, return_df=whole)
+    got = {m.canonical_id: m.duplicate_ids for m in make(False).collect()}
+    assert got == {0: list(range(2, 240, 2)), 1: list(range(3, 240, 2)), 900: [901]}
+    assert sorted(r.id for r in make(True).collect()) == [0, 1, 900, 902]
+
+
+def test_dedup_of_many_texts_with_one_vector(spark):
+    rows = [(k, " ".join("RED" if k >> b & 1 else "red" for b in range(7))) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    merges = ss.reduce(df, action="dedup", id_col="id", sim_threshold=0.9999, top_k=50).collect()
+    assert [(m.canonical_id, m.duplicate_ids) for m in merges] == [(0, list(range(1, 120)))]
+
+
 def test_plans_refuse_what_is_not_allowed(spark):
     df = people(spark)
     for expression in ("reflect('java.lang.System', 'getProperty', 'x')", "(select 1)", "java_method('a','b')", "1 +"):
