@@ -3,9 +3,10 @@
 Markup is cut into blocks of visible words. Elements whose tag, role or class says that they are menus, adverts,
 notices, forms or comments are left out; blocks inside an article or main element are marked as content. The word
 streams of a host's pages are then concatenated and a suffix array shows the long runs of words that recur on several
-pages. Words covered by such runs are boilerplate; what is left, the unique runs, stays. Marked content is not cut:
-what an author put into the article counts more than that other pages quote it. On a page with marked content
-nothing outside it is main text.
+pages. Large hosts have a suffix array for each group of pages; these only propose runs, whose pages are then counted
+over the whole host. Words covered by runs on enough pages are boilerplate; what is left, the unique runs, stays.
+Marked content is not cut: what an author put into the article counts more than that other pages quote it. On a page
+with marked content nothing outside it is main text.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import buffers, word_hashes
+from ..runtime.shared import written
+from .texthash import U, buffers, mix, word_hashes
 
-#: Words of a recurring run, and pages it must be on: at least so many, and this share of the pages looked at.
+#: Words of a recurring run, and pages it must be on: at least so many, and this share of the host's pages.
 RUN_WORDS, RUN_PAGES, RUN_SHARE = 6, 3, 0.05
 #: Pages of a host that share a suffix array, about; larger hosts are dealt out to several.
 GROUP_PAGES = 256
-#: Large hosts whose numbers of groups are broadcast; a longer list is joined by a shuffle.
+#: Hosts whose numbers of pages and groups are broadcast; a longer list is joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
 _RAW = r"script|style|template|noscript|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
@@ -162,40 +164,76 @@ def suffix_ranks(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated_words(words: np.ndarray, block: np.ndarray, page: np.ndarray, run: int = RUN_WORDS, pages: int = RUN_PAGES) -> np.ndarray:
-    """Which words lie in a run of ``run`` or more tokens that is on ``pages`` distinct pages or more.
-
-    words: hashes, in page order; block and page: the block and page of each. Each block begins with a token of its
-    own, the same for all, so that short blocks in a row can make a run; pages are kept apart by unique tokens.
-    """
-    n = len(words)
-    covered = np.zeros(n, bool)
-    if not n:
-        return covered
-    code = np.unique(words, return_inverse=True)[1] + 1
+def _laid_out(words: np.ndarray, block: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word in the stream, place of each block's token, place of each page's token)."""
     opens = np.concatenate([[True], block[1:] != block[:-1]])
     starts = np.concatenate([[True], page[1:] != page[:-1]])
-    place = np.arange(n) + np.cumsum(opens) + np.cumsum(starts)
+    place = np.arange(len(words)) + np.cumsum(opens | starts) + np.cumsum(starts)
+    return place, place[opens | starts] - 1, place[starts] - 2
+
+
+def _covered(at: np.ndarray, run: int, place: np.ndarray) -> np.ndarray:
+    """Which words lie in one of the runs that begin at ``at``."""
+    mark = np.zeros(int(place[-1]) + 2, np.int64)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + run, -1)
+    return np.cumsum(mark)[place] > 0
+
+
+def _recurring(words: np.ndarray, block: np.ndarray, page: np.ndarray, owner: np.ndarray, run: int, pages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array's beginnings of runs, interval of each, owners of each interval): of all runs on ``pages`` owners or more.
+
+    Each block begins with a token of its own, the same for all, so that short blocks in a row can make a run; pages
+    are kept apart by unique tokens. owner: what counts as one page, for each page in order.
+    """
+    place, _, firsts = _laid_out(words, block, page)
     size = int(place[-1]) + 1
     stream = np.zeros(size, np.int64)
-    stream[place] = code
-    number = int(code.max()) + 1 + np.arange(int(starts.sum()))
-    stream[place[starts] - 2] = number  # before the block's token of the page's first block
-    owner = np.repeat(np.arange(len(number)), np.diff(np.append(place[starts] - 2, size)))
+    stream[place] = np.unique(words, return_inverse=True)[1] + 1
+    stream[firsts] = int(stream.max()) + 1 + np.arange(len(firsts))
+    owner = np.unique(owner, return_inverse=True)[1]
+    total = int(owner.max()) + 1
+    owner = np.repeat(owner, np.diff(np.append(firsts, size)))
     order, rank = suffix_ranks(stream, run)
-    whole = np.arange(size) + run <= size
-    ranks, owners = rank[order], owner[order]
     # Equal ranks stand together in the suffix array: an interval for each run of tokens.
-    edges = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1], [True]]))
-    pairs = np.unique(ranks * len(number) + owners)
-    distinct = np.bincount(pairs // len(number), minlength=int(ranks.max()) + 1)
-    often = np.repeat(distinct[ranks[edges[:-1]]] >= pages, np.diff(edges))
-    at = order[often]
-    at = at[whole[at]]
-    mark = np.zeros(size + 1, np.int64)
-    np.add.at(mark, at, 1)
-    np.add.at(mark, at + run, -1)
-    return np.cumsum(mark)[:size][place] > 0
+    distinct = np.bincount(np.unique(rank * total + owner) // total, minlength=int(rank.max()) + 1)
+    at = order[distinct[rank[order]] >= pages]
+    apart = np.zeros(size + 1, np.int64)
+    apart[firsts + 1] = 1
+    apart = np.cumsum(apart)
+    at = at[at + run <= size]
+    at = at[apart[at + run] == apart[at]]
+    return at, rank[at], distinct
+
+
+def repeated_words(words: np.ndarray, block: np.ndarray, page: np.ndarray, run: int = RUN_WORDS, pages: int = RUN_PAGES) -> np.ndarray:
+    """Which words lie in a run of ``run`` or more tokens that is on ``pages`` distinct pages or more.
+
+    words: hashes, in page order; block and page: the block and page of each.
+    """
+    if not len(words):
+        return np.zeros(0, bool)
+    place, _, firsts = _laid_out(words, block, page)
+    return _covered(_recurring(words, block, page, np.arange(len(firsts)), run, pages)[0], run, place)
+
+
+def run_hashes(words: np.ndarray, block: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the stream, number of the page, 64-bit hash) of each run of ``run`` tokens within a page."""
+    place, blocks, firsts = _laid_out(words, block, page)
+    size = int(place[-1]) + 1
+    stream = np.zeros(size, U)
+    stream[place] = words
+    stream[blocks] = U(0x632BE59BD9B4E019)
+    number = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, size)))
+    first = np.zeros(size, bool)
+    first[firsts] = True
+    at = np.arange(max(0, size - run + 1))
+    at = at[(number[at] == number[at + run - 1]) & ~first[at]]
+    value = np.zeros(len(at), U)
+    with np.errstate(over="ignore"):
+        for k in range(run):
+            value = mix(value + stream[at + k]) + U(k + 1)
+    return at, number[at], value.view(np.int64)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,35 +253,83 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _unique_runs(run: int, pages: int, share: float):
-    def clean(group: pa.Table) -> pa.Table:
-        blocks, marked = group.column("blocks").combine_chunks(), group.column("marked").combine_chunks()
-        flat, flags = blocks.flatten(), np.asarray(marked.flatten(), bool)
-        data, offsets = buffers(flat)
-        hashes, index = word_hashes(data, offsets)
-        block = np.repeat(np.arange(len(flat)), np.diff(index))
-        edge = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(np.int64)
-        page = np.searchsorted(edge, block, "right") - 1
-        covered = repeated_words(hashes, block, page, run, max(pages, int(np.ceil(share * len(group)))))
-        covered &= ~flags[block]
-        touched = np.zeros(len(flat), bool)
-        touched[block[covered]] = True
-        texts, removed, values = [], [], flat.to_pylist()
-        for i in range(len(group)):
-            own = range(int(edge[i]), int(edge[i + 1]))
-            if any(flags[b] for b in own):
-                own = [b for b in own if flags[b]]
+def _words(group: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, first word of each block, hash, block and row of each word) of a table with a column ``blocks``."""
+    blocks = group.column("blocks").combine_chunks()
+    flat = blocks.flatten()
+    hashes, index = word_hashes(*buffers(flat))
+    block = np.repeat(np.arange(len(flat)), np.diff(index))
+    edge = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(np.int64)
+    return flat, index, hashes, block, np.searchsorted(edge, block, "right") - 1
+
+
+def _owners(group: pa.Table, row: np.ndarray) -> np.ndarray:
+    """The page of each row that has words, in order."""
+    return np.asarray(group.column("page"))[row[np.concatenate([[True], row[1:] != row[:-1]])]]
+
+
+_RUNS = "host string, run long, pages long"
+
+
+def _runs_of(group: pa.Table, runs: np.ndarray, pages: np.ndarray) -> pa.Table:
+    host = pa.repeat(pa.scalar(group.column("host")[0].as_py() if len(group) else "", pa.string()), len(runs))
+    return pa.table({"host": host, "run": pa.array(runs, pa.int64()), "pages": pa.array(pages, pa.int64())})
+
+
+def _proposed(run: int):
+    def propose(group: pa.Table) -> pa.Table:
+        _, _, words, block, row = _words(group)
+        if not len(words):
+            return _runs_of(group, [], [])
+        at, interval, distinct = _recurring(words, block, row, _owners(group, row), run, group.column("least")[0].as_py())
+        interval, one = np.unique(interval, return_index=True)
+        places, _, values = run_hashes(words, block, row, run)
+        return _runs_of(group, values[np.searchsorted(places, at[one])], distinct[interval])
+
+    return propose
+
+
+def _counted(run: int):
+    def count(group: pa.Table, proposed: pa.Table) -> pa.Table:
+        if not len(group) or not len(proposed):
+            return _runs_of(group, [], [])
+        _, _, words, block, row = _words(group)
+        if not len(words):
+            return _runs_of(group, [], [])
+        _, number, values = run_hashes(words, block, row, run)
+        known = np.isin(values, np.asarray(proposed.column("run")))
+        owner = np.unique(_owners(group, row), return_inverse=True)[1]
+        runs, which = np.unique(values[known], return_inverse=True)
+        pairs = np.unique(which * (len(owner) + 1) + owner[number[known]])
+        return _runs_of(group, runs, np.bincount(pairs // (len(owner) + 1), minlength=len(runs)))
+
+    return count
+
+
+def _unique_runs(run: int):
+    def clean(group: pa.Table, often: pa.Table) -> pa.Table:
+        covered = np.zeros(0, bool)
+        if len(group):
+            flat, index, words, block, row = _words(group)
+            covered = np.zeros(len(words), bool)
+            if len(words) and len(often):
+                at, _, values = run_hashes(words, block, row, run)
+                covered = _covered(at[np.isin(values, np.asarray(often.column("run")))], run, _laid_out(words, block, row)[0])
+        texts, removed, b = [], [], 0
+        for blocks in group.column("blocks").to_pylist():
             kept, gone = [], 0
-            for b in own:
-                if touched[b]:
+            for text in blocks:
+                cut = covered[index[b] : index[b + 1]]
+                b += 1
+                if cut.any():
                     # Words here are those of ``word_hashes``; blocks hold single spaces only, but for odd spaces.
-                    words = re.findall(r"[^\x20\x09-\x0D]+", values[b])
-                    left = [w for w, c in zip(words, covered[index[b] : index[b + 1]].tolist(), strict=True) if not c]
+                    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+                    left = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
                     gone += len(words) - len(left)
                     if left:
                         kept.append(" ".join(left))
                 else:
-                    kept.append(values[b])
+                    kept.append(text)
             texts.append("\n\n".join(kept))
             removed.append(gone)
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()), "n_removed_tokens": pa.array(removed, pa.int64())})
@@ -251,15 +337,40 @@ def _unique_runs(run: int, pages: int, share: float):
     return clean
 
 
+def frequent_runs(pages: DataFrame, run: int, least_pages: int, share: float, group_pages: int) -> tuple[DataFrame, DataFrame, bool]:
+    """((host, run) of the runs that are on enough pages of their host, (host, groups), whether hosts are few).
+
+    pages: (host, page, blocks); rows of one ``page`` count once. A run on n pages of a host of g groups is on n / g
+    pages of one group at least, so runs below that in each group need no count over the host.
+    """
+    n = F.count_distinct("page")
+    needed = F.greatest(F.lit(least_pages), F.ceil(n * share - 1e-9))
+    hosts = pages.groupBy("host").agg(F.ceil(n / group_pages).alias("groups"), needed.alias("needed"))
+    hosts = written(hosts.withColumn("least", F.ceil(F.col("needed") / F.col("groups"))), "hosts")
+    few = hosts.count() <= BROADCAST_HOSTS
+    with_host = F.broadcast(hosts) if few else hosts
+    dealt = pages.join(with_host, "host").withColumn("part", F.pmod("page", "groups"))
+    proposed = dealt.select("host", "part", "page", "blocks", "least").groupBy("host", "part").applyInArrow(_proposed(run), _RUNS)
+    proposed = written(proposed, "proposed").join(with_host, "host")
+    # A host of one group is counted whole already.
+    wide = proposed.where("groups > 1").select("host", "run", "groups").distinct()
+    spread = wide.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "run")
+    left = dealt.where("groups > 1").select("host", "part", "page", "blocks").groupBy("host", "part")
+    counts = left.cogroup(spread.groupBy("host", "part")).applyInArrow(_counted(run), _RUNS)
+    sums = counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(with_host, "host").where("pages >= needed")
+    often = proposed.where("groups = 1").select("host", "run").union(sums.select("host", "run"))
+    return written(often, "often"), hosts.select("host", "groups"), few
+
+
 def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_PAGES, share: float = RUN_SHARE, group_pages: int = GROUP_PAGES) -> DataFrame:
     """(page_id, url, text, n_removed_tokens) of each row of ``pages`` (page_id, url, html).
 
     Blocks are joined by two line feeds. n_removed_tokens counts the words outside marked content that recurring runs
     covered. Null or empty html, and pages without visible words, give an empty text. Pages without a url share a
-    group. Hosts with more than ``group_pages`` pages are dealt out by a hash of page and url to groups of about that
-    size, so a task's memory is bounded; a run that recurs on the stated share of a host's pages recurs in each of its
-    groups. Rows that repeat are all returned; being one page, they do not count as distinct pages for each other
-    beyond their group. An empty table gives no rows. Extra columns are ignored.
+    host. A run is cut if it is on ``least_pages`` pages and on the given share of the host's pages that have words,
+    marked content included. Hosts with more than ``group_pages`` pages are dealt out to groups of about that size, so
+    a task's memory is bounded; pages are counted over the whole host. An empty table gives no rows. Extra columns are
+    ignored.
     """
     plain = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -268,12 +379,20 @@ def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_
         F.col("html").cast("string").alias("html"),
         F.xxhash64("page_id", "url").alias("tie"),
     )
-    hosts = plain.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1")
-    parsed = plain.mapInArrow(_parse, "page_id long, url string, host string, tie long, blocks array<string>, marked array<boolean>")
-    # Only large hosts are listed. A short list is broadcast, so that the texts are shuffled once, by host and part.
-    few = hosts.count() <= BROADCAST_HOSTS
-    joined = parsed.join(F.broadcast(hosts) if few else hosts, "host", "left")
-    dealt = joined.withColumn("part", F.pmod("tie", F.coalesce("groups", F.lit(1)))).drop("groups", "tie")
-    if not few:
-        dealt = dealt.repartition("host", "part")
-    return dealt.groupBy("host", "part").applyInArrow(_unique_runs(run, least_pages, share), "page_id long, url string, text string, n_removed_tokens long")
+    parsed = written(plain.mapInArrow(_parse, "page_id long, url string, host string, tie long, blocks array<string>, marked array<boolean>"), "parsed")
+    uncut = F.exists("marked", lambda m: m) | (F.size("blocks") == 0)
+    own = F.transform(F.filter(F.arrays_zip("blocks", "marked"), lambda b: b["marked"]), lambda b: b["blocks"])
+    whole = parsed.where(uncut).select("page_id", "url", F.array_join(own, "\n\n").alias("text"), F.lit(0).cast("long").alias("n_removed_tokens"))
+    # Only hosts with pages to cut are counted. A short list is broadcast.
+    hosts = written(parsed.where(~uncut).select("host").distinct(), "hosts")
+    n = hosts.count()
+    if not n:
+        return whole
+    seen = parsed.where(F.size("blocks") > 0).join(F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts, "host", "left_semi")
+    streams = seen.select("host", F.xxhash64("tie", F.monotonically_increasing_id()).alias("page"), "blocks")
+    often, sizes, few = frequent_runs(written(streams, "streams"), run, least_pages, share, group_pages)
+    sizes = F.broadcast(sizes) if few else sizes
+    dealt = parsed.where(~uncut).join(sizes, "host").select("page_id", "url", "host", "blocks", F.pmod("tie", "groups").alias("part"))
+    spread = often.join(sizes, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "run")
+    cut = dealt.groupBy("host", "part").cogroup(spread.groupBy("host", "part")).applyInArrow(_unique_runs(run), "page_id long, url string, text string, n_removed_tokens long")
+    return whole.union(cut)

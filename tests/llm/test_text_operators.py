@@ -263,3 +263,17 @@ def test_pages_without_marked_content_lose_their_boilerplate(spark):
     texts = {r.page_id: r.text for r in got}
     assert all(texts[k] == own[k] for k in range(1, 12)) and texts[20] == texts[21] == "" and texts[None] == "x"
     assert html_suffix.extract_text(pages.limit(0)).count() == 0
+
+
+def test_recurrence_is_counted_over_the_whole_host(spark):
+    rng = random.Random(5)
+    footer, rare = "this footer is on many of the pages here", "this other line is on too few pages here"
+    rows, want = [], {}
+    for k in range(1000):
+        own = " ".join(f"w{k}x{rng.randrange(10**6)}" for _ in range(12))
+        rows.append((k, f"http://a.org/{k}", f"<p>{own}</p>" + f"<div>{footer}</div>" * (k < 50) + f"<div>{rare}</div>" * (k >= 951)))
+        want[k] = own + ("\n\n" + rare) * (k >= 951)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (64, 256, 2000):
+        got = html_suffix.extract_text(pages, group_pages=size).collect()
+        assert {r.page_id: r.text for r in got} == want and sum(r.n_removed_tokens for r in got) == 50 * 9
