@@ -366,7 +366,8 @@ def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_
     """(page_id, url, text, n_removed_tokens) of each row of ``pages`` (page_id, url, html).
 
     Blocks are joined by two line feeds. n_removed_tokens counts the words outside marked content that recurring runs
-    covered. Null or empty html, and pages without visible words, give an empty text. Pages without a url share a
+    covered. Rows that repeat are all returned; rows of one page_id and url, and pages of the same blocks, count as one
+    page. Null or empty html, and pages without visible words, give an empty text. Pages without a url share a
     host. A run is cut if it is on ``least_pages`` pages and on the given share of the host's pages that have words,
     marked content included. Hosts with more than ``group_pages`` pages are dealt out to groups of about that size, so
     a task's memory is bounded; pages are counted over the whole host. An empty table gives no rows. Extra columns are
@@ -389,7 +390,8 @@ def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_
     if not n:
         return whole
     seen = parsed.where(F.size("blocks") > 0).join(F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts, "host", "left_semi")
-    streams = seen.select("host", F.xxhash64("tie", F.monotonically_increasing_id()).alias("page"), "blocks")
+    # Pages of equal words count once, under the least of their ties; so do the rows of one page_id and url.
+    streams = seen.groupBy("host", F.xxhash64("blocks")).agg(F.min("tie").alias("page"), F.first("blocks").alias("blocks")).select("host", "page", "blocks")
     often, sizes, few = frequent_runs(written(streams, "streams"), run, least_pages, share, group_pages)
     sizes = F.broadcast(sizes) if few else sizes
     dealt = parsed.where(~uncut).join(sizes, "host").select("page_id", "url", "host", "blocks", F.pmod("tie", "groups").alias("part"))

@@ -277,3 +277,16 @@ def test_recurrence_is_counted_over_the_whole_host(spark):
     for size in (64, 256, 2000):
         got = html_suffix.extract_text(pages, group_pages=size).collect()
         assert {r.page_id: r.text for r in got} == want and sum(r.n_removed_tokens for r in got) == 50 * 9
+
+
+def test_repeated_rows_are_one_page(spark):
+    line = "a line of more than six words that one page alone has"
+    rows = [(1, "http://a.org/1", f"<p>{line}</p>")] * 4  # one row, repeated
+    rows += [(2, "http://a.org/2", f"<p>{word} {line} two</p>") for word in ("new", "newer", "newest")]  # one page, changed
+    rows += [(k, f"http://b.org/{k}", "<p>these pages are copies of each other under several names</p>") for k in range(5)]
+    rows += [(k, f"http://c.org/{k}", f"<p>own{k}</p><p>a footer that three other pages of this host share</p>") for k in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_suffix.extract_text(pages).collect()
+    plain = lambda h: h.replace("</p><p>", "\n\n").replace("<p>", "").replace("</p>", "")
+    want = [(u, plain(h) if "c.org" not in u else f"own{k}") for k, u, h in rows]
+    assert sorted((r.url, r.text) for r in got) == sorted(want)
