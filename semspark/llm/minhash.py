@@ -29,7 +29,7 @@ from .texthash import U, mix, shingle_hashes, slices, word_hashes
 WORDS, THRESHOLD, PLACES, BANDS = 5, 75, 128, 32
 #: Members of a bucket that are compared with each other at once; larger buckets are cut into pairs of blocks.
 BLOCK = 512
-SLACK = 4.5
+SLACK = 5.5
 #: Further rounds with drawn centres before the blocks.
 ROUNDS = 2
 

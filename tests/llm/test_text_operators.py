@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 import zlib
@@ -290,3 +291,9 @@ def test_repeated_rows_are_one_page(spark):
     plain = lambda h: h.replace("</p><p>", "\n\n").replace("<p>", "").replace("</p>", "")
     want = [(u, plain(h) if "c.org" not in u else f"own{k}") for k, u, h in rows]
     assert sorted((r.url, r.text) for r in got) == sorted(want)
+
+
+def test_sketch_drops_no_more_than_one_pair_in_ten_million():
+    least, p = minhash._least_matches(75, 128), 0.75
+    lost = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(least))
+    assert least == 69 and lost < 1e-7
