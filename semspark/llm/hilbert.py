@@ -50,10 +50,20 @@ def hilbert_index(axes: list[str], bits: int) -> Column:
     return F.expr(f"aggregate(sequence({bits - 1}, 0, -1), named_struct('h', 0L, 'e', 0, 'd', 0), (s, i) -> {body}, s -> s.h)")
 
 
-def ordered_code(value: Column) -> Column:
-    """A long that orders strings as their first seven bytes do; nulls come first."""
-    head = F.rpad(F.substring(F.hex(F.encode(value, "UTF-8")), 1, 14), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def text_cuts(base: DataFrame, name: str, levels: int, total: int) -> list[str | None]:
+    """The values of a string column at its quantiles, by whole strings in byte order, nulls first; ``total`` rows.
+
+    Distinct values are counted and sorted in ranges, so no task gets more than a range of them.
+    """
+    order = F.col(name).asc_nulls_first()
+    values = base.groupBy(name).agg(F.count("*").alias("rows")).repartitionByRange(order).withColumn("run", F.spark_partition_id())
+    values = written(values, "values")
+    runs = values.groupBy("run").agg(F.sum("rows").alias("all"))
+    runs = runs.select("run", F.coalesce(F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    last = F.col("before") + F.sum("rows").over(Window.partitionBy("run").orderBy(order))
+    placed = values.join(F.broadcast(runs), "run").withColumn("last", last)
+    # A quantile k / levels lies on the rows of the value.
+    return [r[0] for r in placed.where(f"least(last * {levels} div {total}, {levels - 1}) > (last - rows) * {levels} div {total}").select(name).collect()]
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("source", "lang"), bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:
@@ -70,19 +80,21 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        *[ordered_code(F.col(f"`{c}`").cast("string")).alias(k) for c, k in zip(by, names, strict=True)],
+        *[F.col(f"`{c}`").cast("string").alias(k) for c, k in zip(by, names, strict=True)],
     )
     base = written(base, "sizes")
-    names.append("size")
     levels = 1 << bits
-    steps = F.lit([k / levels for k in range(1, levels)])
-    bounds = base.agg(*[F.percentile_approx(c, steps, F.lit(10_000)).alias(c) for c in names]).first()
-    if bounds[0] is None:
+    total = base.count()
+    if not total:
         empty = base.where("false").select("doc_id", "size", "text_crc32")
         return empty.select("*", F.lit(0).cast("long").alias("curve"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    steps = F.lit([k / levels for k in range(1, levels)])
+    cuts = [text_cuts(base, c, levels, total) for c in names]
+    cuts.append(sorted(set(base.agg(F.percentile_approx("size", steps, F.lit(10_000))).first()[0])))
+    names.append("size")
     for k, c in enumerate(names):
-        cuts = ",".join(f"{x}L" for x in sorted(set(bounds[c])))
-        base = base.withColumn(f"axis{k}", F.expr(f"size(filter(array({cuts}), x -> {c} > x))"))
+        above = [F.col(c).isNotNull() if x is None else F.coalesce(F.col(c) > F.lit(x), F.lit(False)) for x in cuts[k]]
+        base = base.withColumn(f"axis{k}", sum((a.cast("int") for a in above), F.lit(0)))
     cells = base.withColumn("curve", hilbert_index([f"axis{k}" for k in range(len(names))], bits)).select("doc_id", "size", "text_crc32", "curve")
     # A row for each occupied cell: at most 2 ** (bits * dimensions).
     counted = cells.groupBy("curve").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
@@ -90,7 +102,6 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     dealt = written(dealt.drop("parts"), "cells")
     parts = dealt.groupBy("curve", "part").agg(F.count("*").alias("rows"))
     parts = parts.withColumn("first", F.sum("rows").over(Window.orderBy("curve", "part").rowsBetween(Window.unboundedPreceding, -1)))
-    total = dealt.count()
     least, longer = divmod(total, shards)
     cut = longer * (least + 1)
     within = F.row_number().over(Window.partitionBy("curve", "part").orderBy("doc_id", "text_crc32", "size"))

@@ -297,3 +297,11 @@ def test_sketch_drops_no_more_than_one_pair_in_ten_million():
     least, p = minhash._least_matches(75, 128), 0.75
     lost = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(least))
     assert least == 69 and lost < 1e-7
+
+
+def test_hilbert_dimensions_are_whole_strings(spark):
+    rows = [(k, f"https://www.example.org/{k % 4}" if k % 5 else None, "en", "same text") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = {r.doc_id: r.curve for r in hilbert.hilbert_shards(docs).collect()}
+    cells = {(k % 4 if k % 5 else None): {got[j] for j in range(200) if rows[j][1] == rows[k][1]} for k in range(200)}
+    assert all(len(c) == 1 for c in cells.values()) and len(set.union(*cells.values())) == 5
