@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..runtime.shared import forget, written
 
+#: Up to so many links, whose number is checked in each round, the centres are broadcast; more are joined by shuffles.
+BROADCAST_LINKS = 500_000
+
 
 def union_find(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the links and for each the smallest node that the links reach."""
@@ -40,25 +43,26 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. edges: u > v. The least neighbour (or the node itself) becomes the new centre."""
+def _stars(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """One star step. edges: u > v. The least neighbour (or the node itself) becomes the new centre. few: whether the
+    centres may be broadcast, so that a centre of many links makes no large task."""
     both = edges.select("u", "v")
     if large:
         both = both.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+    linked = both.join(F.broadcast(least) if few else least, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether each node has one link and no centre has a link of its own."""
-    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)).distinct())
-    worst = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or out = 1 and into > 0")
-    return not worst.take(1)
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    worst = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into > 0")
+    return worst.isEmpty()
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -72,6 +76,7 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     edges = written(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), label)
     while not _settled(edges):
         old = edges
-        edges = written(_stars(_stars(edges, True), False), label)
+        few = edges.count() <= BROADCAST_LINKS
+        edges = written(_stars(_stars(edges, True, few), False, few).distinct(), label)
         forget(spark, old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
