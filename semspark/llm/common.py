@@ -10,6 +10,8 @@ from ..runtime.shared import forget, new_path, shared_dir, written  # noqa: F401
 #: A word is a run of characters other than the space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of a few numbers that may be broadcast; their count is checked first, and longer lists are joined by shuffles.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

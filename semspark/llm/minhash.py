@@ -3,12 +3,16 @@
 Two texts are linked if 100 * |A & B| >= threshold * |A | B| for their sets of distinct word shingles. Candidates
 come from bands of SuperMinHash signatures; a link counts only once the full sets confirm it.
 
-No step emits the pairs of a group. Texts with equal sets are one class from the start. In each bucket of equal
-band keys every member is first compared with one centre, and a bucket whose members then lie in one component is
-done. Buckets that still hold several components get another centre, drawn anew in each of ``ROUNDS`` rounds. In
-those that are left, the signatures of members in different components are compared in blocks of bounded size inside one operator;
-members whose estimate is within ``SLACK`` standard deviations of the threshold are compared there by their full sets,
-and only links come out. So no pair in a common bucket goes unseen, whatever the bucket's size.
+Texts with equal sets are one class from the start. The members of all buckets of equal band keys that have the same
+least id, the centre, are one group, so a pair that shares several bands is met once. A group is cut into blocks of
+bounded size, each with the centre, and all pairs of a block are compared: first by sketches, which tell the members
+whose sets have to be made at all, then by their full sets. Only a spanning forest of the links comes out. A group of
+one block is done then. Where a group of several blocks still holds two components or more, the members outside its
+largest component are compared with all its other blocks. So no pair in a common bucket goes unseen, whatever the
+bucket's size, and a large group of copies takes work in proportion to its members.
+
+Shingles are compared by 64-bit hashes that are no polynomials (see ``texthash``); classes of equal sets are told by
+their size and 128 bits, of which half come from hashes with a key of their own.
 """
 
 from __future__ import annotations
@@ -18,40 +22,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.components import components, union_find
-from .common import fresh, written
+from ..functions.components import components
+from .common import BROADCAST_IDS, fresh, written
 from .superminhash import band_keys, signatures
-from .texthash import U, mix, shingle_hashes, slices, word_hashes
+from .texthash import KEY, SECOND_KEY, U, keyed_word_hashes, mix, shingle_hashes, slices
 
 WORDS, THRESHOLD, PLACES, BANDS = 5, 75, 128, 32
-#: Members of a bucket that are compared with each other at once; larger buckets are cut into pairs of blocks.
-BLOCK = 512
+#: Members of a group that are compared with each other at once, and shingles of their sets; larger groups are cut.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Pairs whose sketches are more standard deviations than this below the threshold are not compared by their sets.
 SLACK = 5.5
-#: Further rounds with drawn centres before the blocks.
-ROUNDS = 2
 
 
-def _each_set(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _each_set(column: pa.Array, words: int, keys: tuple[int, ...] = (KEY,)) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(first row, hashes of the shingles for each key, index of each text's first shingle) of each run of texts."""
     for first, data, offsets in slices(column):
-        hashes, index = word_hashes(data, offsets)
-        yield first, *shingle_hashes(hashes, index, words)
+        hashes, index = keyed_word_hashes(data, offsets, keys)
+        made = [shingle_hashes(h, index, words) for h in hashes]
+        yield first, [m[0] for m in made], made[0][1]
+
+
+def _sum(elements: np.ndarray) -> np.ndarray:
+    return np.add.reduce(elements, dtype=U)
 
 
 def _sign(words: int, places: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, elements, index in _each_set(batch.column(1), words):
+            for first, (elements, seconds), index in _each_set(batch.column(1), words, (KEY, SECOND_KEY)):
                 n = len(index) - 1
                 matrix = signatures(elements, index, places)
                 keys = band_keys(matrix, bands).view(np.int64)
                 sketch = (matrix & U(255)).astype(np.uint8)
                 size, a, b = np.zeros(n, np.int64), np.zeros(n, U), np.zeros(n, U)
                 for i in np.flatnonzero(np.diff(index)):
-                    own = np.unique(elements[index[i] : index[i + 1]])
-                    size[i], a[i], b[i] = len(own), np.add.reduce(own), np.add.reduce(mix(own))
+                    own, one = np.unique(elements[index[i] : index[i + 1]], return_index=True)
+                    size[i], a[i], b[i] = len(own), _sum(mix(own)), _sum(mix(seconds[index[i] : index[i + 1]][one]))
                 full = np.repeat(size > 0, bands)
                 offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
                 yield pa.record_batch(
@@ -71,26 +80,11 @@ def _sign(words: int, places: int, bands: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, elements, index in _each_set(batch.column(1), words):
+            for first, (elements,), index in _each_set(batch.column(1), words):
                 n = len(index) - 1
-                own = [np.unique(elements[index[i] : index[i + 1]]).tobytes() for i in range(n)]
-                yield pa.record_batch({"id": batch.column(0).slice(first, n), "shingles": pa.array(own, pa.binary())})
-
-    return run
-
-
-def _verify(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            left, right = batch.column(2), batch.column(3)
-            for i in range(len(batch)):
-                a, b = (np.frombuffer(x[i].as_buffer(), U) for x in (left, right))
-                both = np.concatenate([a, b])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * shared >= threshold * (len(both) - shared)
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "linked": pa.array(keep)})
+                own = [np.unique(elements[index[i] : index[i + 1]]) for i in range(n)]
+                tags = np.array([_sum(mix(x)) for x in own], U).view(np.int64)
+                yield pa.record_batch({"id": batch.column(0).slice(first, n), "tag": pa.array(tags), "shingles": pa.array([x.tobytes() for x in own], pa.binary())})
 
     return run
 
@@ -103,103 +97,38 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     )
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the texts named by ``ids`` (doc_id) alone. The join always shuffles both sides by id."""
-    return written(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary"), "sets")
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, linked) of each pair, by their full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    checked = joined.mapInArrow(_verify(threshold), "a long, b long, linked boolean")
-    return written(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
-
-
-def _fit(threshold: int):
-    """Sets of sizes this far apart cannot reach the threshold."""
-    return 100 * F.least("n", "m") >= threshold * F.greatest("n", "m")
-
-
 def _least_matches(threshold: int, places: int) -> int:
     p = threshold / 100
     return max(0, math.floor(places * (p - SLACK * math.sqrt(p * (1 - p) / places))))
 
 
-def _matrix(column: pa.Array, places: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), places)
+def _rows(held: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    if held is None:
+        return batch
+    return pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
 
 
-def _estimate(least: int, places: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = (_matrix(batch.column(2), places) == _matrix(batch.column(3), places)).sum(axis=1) >= least
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(near))
-
-    return run
-
-
-def _across(least: int, places: int, threshold: int):
-    """Confirmed links between members of a block pair that lie in different components.
-
-    Rows come sorted by (key, i, j); a group holds two blocks at most. Members whose sketches agree enough are compared
-    by their full sets: the sizes of all intersections of a member are counted at once over the sets that hold its
-    shingles. Of the links of a group only a spanning forest is let out.
-    """
-
-    def links(rep, n, component, own, sketch, sets, diagonal):
-        near: dict[int, np.ndarray] = {}
-        for k in range(len(rep)):
-            other = slice(k + 1, None)
-            may = component[other] != component[k]
-            if not diagonal:
-                may &= own[other] != own[k]
-            may &= 100 * np.minimum(n[other], n[k]) >= threshold * np.maximum(n[other], n[k])
-            at = np.flatnonzero(may) + k + 1
-            if len(at):
-                at = at[(sketch[at] == sketch[k]).sum(axis=1) >= least]
-                if len(at):
-                    near[k] = at
-        if not near:
-            return None
-        values = [np.frombuffer(s.as_buffer(), U) for s in sets]
-        shingle = np.unique(np.concatenate(values), return_inverse=True)[1]
-        edge = np.concatenate([[0], np.cumsum([len(v) for v in values])])
-        holder = np.repeat(np.arange(len(values)), np.diff(edge))[np.argsort(shingle, kind="stable")]
-        first = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
-        left, right = [], []
-        for k, at in near.items():
-            mine = shingle[edge[k] : edge[k + 1]]
-            many = first[mine + 1] - first[mine]
-            posting = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            shared = np.bincount(holder[posting], minlength=len(values))[at]
-            at = at[100 * shared >= threshold * (n[at] + n[k] - shared)]
-            left.append(np.full(len(at), rep[k]))
-            right.append(rep[at])
-        nodes, roots = union_find(np.concatenate(left), np.concatenate(right))
-        return nodes[nodes != roots], roots[nodes != roots]
+def _grouped(compare):
+    """An operator over rows that come sorted by their first three columns: ``compare`` gets the rows of a group."""
 
     def groups(rows: pa.RecordBatch):
-        key, i, j, rep, n, component, own = (np.asarray(rows.column(c)) for c in range(7))
-        sketch = _matrix(rows.column(7), places)
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        edges = np.concatenate([[0], cut, [len(key)]])
+        parts = [np.asarray(rows.column(c)) for c in range(3)]
+        cut = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
+        edges = np.concatenate([[0], cut, [len(rows)]])
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if e - s > 1 and (found := links(rep[s:e], n[s:e], component[s:e], own[s:e], sketch[s:e], rows.column(8).slice(s, e - s), i[s] == j[s])):
-                yield pa.record_batch({"a": pa.array(found[1]), "b": pa.array(found[0])})
+            if e - s > 1 and (found := compare(rows.slice(s, e - s))) is not None:
+                yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not len(batch):
                 continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            rows = table.to_batches()[0]
-            tail = [rows.column(c)[len(rows) - 1].as_py() for c in range(3)]
+            rows = _rows(held, batch)
             same = np.ones(len(rows), bool)
             for c in range(3):
-                same &= np.asarray(rows.column(c)) == tail[c]
+                part = np.asarray(rows.column(c))
+                same &= part == part[-1]
             first = int(np.argmax(same))
             if first:
                 yield from groups(rows.slice(0, first))
@@ -210,26 +139,139 @@ def _across(least: int, places: int, threshold: int):
     return run
 
 
-def _crossed(open_: DataFrame, sets: DataFrame, threshold: int, places: int) -> DataFrame:
-    """Links across the components of each open bucket, compared block by block. Of buckets with the same members one
-    is looked at."""
-    members = F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")
-    shapes = open_.groupBy("key").agg(F.count("*").alias("size"), *members)
-    chosen = shapes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    own = open_.join(chosen, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    own = own.join(sets, own.rep == sets.id)
-    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "n", "component", "own", "sketch", "shingles")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_across(_least_matches(threshold, places), places, threshold), "a long, b long").distinct()
+def _matrix(column: pa.Array, places: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), places)
+
 
+class _Group:
+    """The rows of a block, or of a block and a chunk that it is compared with."""
 
-def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold two components or more, with their components so far."""
-    found = components(links)
-    rows = buckets.join(found, buckets.rep == found.node, "left").select("key", "rep", "n", "sketch", F.coalesce("component", "rep").alias("component"))
-    split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return rows.join(split, "key")
+    def __init__(self, rows: pa.RecordBatch, least: int, places: int, threshold: int):
+        self.rep, self.n, self.side, component = (np.asarray(rows.column(c)) for c in (3, 5, 6, 7))
+        self.label = np.unique(component, return_inverse=True)[1]
+        self.within = rows.column(2)[0].as_py() < 0
+        self.sketch, self.least, self.threshold = _matrix(rows.column(8), places), least, threshold
+
+    def alike(self, k: int, among: np.ndarray) -> np.ndarray:
+        """Those rows that are in another component than row k and may be linked with it, by sizes and sketches."""
+        among = among[self.label[among] != self.label[k]]
+        if not self.within:
+            among = among[self.side[among] != self.side[k]]
+        among = among[100 * np.minimum(self.n[among], self.n[k]) >= self.threshold * np.maximum(self.n[among], self.n[k])]
+        return among[(self.sketch[among] == self.sketch[k]).sum(axis=1) >= self.least] if len(among) else among
+
+
+def _near(least: int, places: int, threshold: int):
+    """The rows that may be linked with a row of another component in their group. Pairs of rows that are both found
+    already are not looked at."""
+
+    def compare(rows: pa.RecordBatch):
+        group = _Group(rows, least, places, threshold)
+        near = np.zeros(len(rows), bool)
+        for k in range(len(rows) - 1):
+            later = np.arange(k + 1, len(rows))
+            at = group.alike(k, later[~near[k + 1 :]] if near[k] else later)
+            if len(at):
+                near[at] = near[k] = True
+        return rows.filter(pa.array(near)) if near.any() else None
+
+    return _grouped(compare)
+
+
+def _linked(least: int, places: int, threshold: int):
+    """Confirmed links (a, b) between components of a group: a spanning forest of all that there are.
+
+    The sizes of all intersections of a row are counted at once, over the sets that hold its shingles. Rows that a
+    link has brought into one component are not compared again.
+    """
+
+    def compare(rows: pa.RecordBatch):
+        group = _Group(rows, least, places, threshold)
+        shingle = first = holder = edge = None
+        left, right = [], []
+        for k in range(len(rows) - 1):
+            at = group.alike(k, np.arange(k + 1, len(rows)))
+            if not len(at):
+                continue
+            if shingle is None:
+                values = [np.frombuffer(s.as_buffer(), U) for s in rows.column(9)]
+                shingle = np.unique(np.concatenate(values), return_inverse=True)[1]
+                edge = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+                holder = np.repeat(np.arange(len(values)), np.diff(edge))[np.argsort(shingle, kind="stable")]
+                first = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+            mine = shingle[edge[k] : edge[k + 1]]
+            many = first[mine + 1] - first[mine]
+            posting = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            shared = np.bincount(holder[posting], minlength=len(rows))[at]
+            at = at[100 * shared >= threshold * (group.n[at] + group.n[k] - shared)]
+            merged, one = np.unique(group.label[at], return_index=True)
+            left += [group.rep[k]] * len(merged)
+            right += group.rep[at[one]].tolist()
+            group.label[np.isin(group.label, merged)] = group.label[k]
+        return pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())}) if left else None
+
+    return _grouped(compare)
+
+
+_MEMBER = "centre long, block int, chunk int, rep long, tag long, n long, side int, component long, sketch binary"
+_GROUP = ["centre", "block", "chunk"]
+
+
+class _Comparison:
+    """How groups are compared, and the sets that confirm links."""
+
+    def __init__(self, docs: DataFrame, words: int, threshold: int, places: int):
+        self.docs, self.words, self.places, self.threshold = docs, words, places, threshold
+        self.least = _least_matches(threshold, places)
+
+    def near(self, members: DataFrame, label: str) -> DataFrame:
+        members = members.select(*[c.split()[0] for c in _MEMBER.split(", ")])
+        return written(members.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_near(self.least, self.places, self.threshold), _MEMBER), label)
+
+    def sets(self, ids: DataFrame, repeated: bool) -> DataFrame:
+        """(id, tag, shingles) of the texts named by ``ids`` (doc_id) alone. A long list of ids is joined by shuffles."""
+        ids = written(ids.distinct(), "wanted")
+        made = self.docs.join(ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "merge"), "doc_id", "left_semi").mapInArrow(_sets(self.words), "id long, tag long, shingles binary")
+        return written(made.groupBy("id", "tag").agg(F.first("shingles").alias("shingles")) if repeated else made, "sets")
+
+    def links(self, near: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+        sets = sets.withColumnsRenamed({"id": "rep"})
+        full = near.join(sets, ["rep", "tag"]).select(*near.columns, "shingles")
+        full = full.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        return written(full.mapInArrow(_linked(self.least, self.places, self.threshold), "a long, b long"), label)
+
+
+def _split(members: DataFrame) -> tuple[DataFrame, int]:
+    """(centre, blocks) of the centres whose members make more than one block, and the number of such centres."""
+    sizes = members.groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = written(sizes.where("blocks > 1"), "blocks")
+    return sizes, sizes.count()
+
+
+def _across(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the comparisons that are left between blocks of a centre.
+
+    ``members`` (centre, blocks, own, rep, tag, n, sketch): those of centres with several blocks. A centre's largest
+    component needs no comparisons within itself. The other members are cut into chunks, and each block meets each
+    chunk: pairs of the chunk and the block that lie in one block have met already.
+    """
+    placed = members.join(found, members.rep == found.node, "left").select(members["*"], F.coalesce("component", "rep").alias("component"))
+    counts = placed.groupBy("centre", "component").agg(F.count("*").alias("rows"))
+    largest = counts.groupBy("centre").agg(F.max(F.struct("rows", "component"))["component"].alias("largest"), F.sum("rows").alias("all"), F.max("rows").alias("most"))
+    largest = largest.where("all > most").select("centre", "largest", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("chunks"))
+    open_ = written(placed.join(largest, "centre"), "open")
+    common = ["centre", "rep", "tag", "n", "component", "sketch"]
+    all_ = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    blocks = open_.select(*common, F.col("own").alias("block"), F.lit(0).alias("side"), all_)
+    chunk = F.pmod(F.xxhash64("rep", "tag", F.lit(1)), F.col("chunks")).cast("int")
+    others = open_.where("component <> largest").select(*common, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), chunk.alias("chunk"))
+    return blocks.unionByName(others.where("block <> own").drop("own"))
+
+
+def _repeats(table: DataFrame) -> DataFrame:
+    """(doc_id, first_row) of the ids that several rows have; the first row is the least by its set, then by place."""
+    least = F.min(F.struct("n", "set_a", "set_b", "row"))["row"]
+    return written(table.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), least.alias("first_row")).where("rows > 1").drop("rows"), "repeats")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, places: int = PLACES, bands: int = BANDS) -> DataFrame:
@@ -243,50 +285,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     - An empty table gives no rows. Other columns of ``docs`` are not looked at, whatever their names.
     """
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    table = written(signed(plain, words=words, places=places, bands=bands), "signed")
+    table = written(signed(plain, words=words, places=places, bands=bands).withColumn("row", F.monotonically_increasing_id()), "signed")
+    repeats = _repeats(table)
+    repeated = not repeats.isEmpty()
     known = table.where("doc_id is not null and n > 0")
-    classes = written(known.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    copies = known.select("doc_id", "n", "set_a", "set_b").join(classes.where("rep < last"), ["n", "set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    heads = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    keys = heads.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    small = heads.select(F.col("doc_id").alias("rep"), "n", "sketch")
-    buckets = written(keys.join(shared, "key").select("key", "rep", F.col("lo").alias("centre")).join(small, "rep"), "buckets")
-    sets = _shingle_sets(plain, buckets.select(F.col("rep").alias("doc_id")).distinct(), words)
-    least = _least_matches(threshold, places)
-
-    def compared(near: DataFrame) -> DataFrame:
-        """near: centre, rep, m, n, other, sketch. Pairs whose estimates allow a link are confirmed."""
-        ends = F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")
-        near = near.where(_fit(threshold)).select(*ends, "other", "sketch").dropDuplicates(["a", "b"])
-        return near.mapInArrow(_estimate(least, places), "a long, b long")
-
-    centres = small.select(F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    near = buckets.where("rep <> centre").select("rep", "centre", "n", "sketch").dropDuplicates(["rep", "centre"])
-    checked = _confirm(compared(near.join(centres, "centre")), sets, threshold)
-    for turn in range(1, ROUNDS + 1):
-        open_ = written(_open(buckets, checked.where("linked").select("a", "b")), "open")
-        drawn = F.min(F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("h"), "rep", "n", "sketch", "component")).alias("c")
-        drawn = open_.groupBy("key").agg(drawn).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"), F.col("c.sketch").alias("other"), F.col("c.component").alias("at"))
-        near = compared(open_.join(drawn, "key").where("component <> at"))
-        checked = checked.union(_confirm(near.join(checked, ["a", "b"], "left_anti"), sets, threshold))
-    links = checked.where("linked").select("a", "b")
-    more = _crossed(written(_open(buckets, links), "open"), sets, threshold, places)
-    found = components(links.union(more).union(copies))
-
-    numbered = table.where("doc_id is not null").select("doc_id", "n", "set_a", "set_b").withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "set_a", "set_b")))
-    grouped = numbered.join(found, numbered.doc_id == found.node, "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    out = grouped.select("doc_id", F.col("n").alias("n_shingles"), "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("turn") == 1)).alias("kept"))
+    heads = written(known.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "heads")
+
+    keys = heads.select("rep", F.col("set_a").alias("tag"), F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
+    centres = keys.join(shared, "key").groupBy("rep", "tag").agg(F.collect_set("centre").alias("centres"))  # one for each band at most
+    small = heads.select("rep", F.col("set_a").alias("tag"), "n", "sketch")
+    members = written(centres.join(small, ["rep", "tag"]).select(F.explode("centres").alias("centre"), "rep", "tag", "n", "sketch"), "members")
+    sizes, split = _split(members)
+    blocks = members.join(F.broadcast(sizes) if split <= BROADCAST_IDS else sizes, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("rep", "tag"), F.col("blocks")).cast("int"))
+
+    comparison = _Comparison(plain, words, threshold, places)
+    # The centre goes to each block, so that what is like it becomes one component at once.
+    place = F.explode(F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("block")
+    near = comparison.near(blocks.select("centre", place, F.lit(-1).alias("chunk"), "rep", "tag", "n", F.lit(0).alias("side"), F.col("rep").alias("component"), "sketch"), "near")
+    wanted = near.select(F.col("rep").alias("doc_id"))
+    if split:
+        wanted = wanted.union(blocks.where("blocks > 1").select("rep"))
+    sets = comparison.sets(wanted, repeated)
+    links = comparison.links(near, sets, "links")
+
+    placed = table.select("doc_id", "row", "n", "set_a", "set_b")
+    if repeated:
+        of_class = placed.join(repeats, "doc_id", "left_semi").join(heads, ["n", "set_a", "set_b"])
+        links = links.union(of_class.where("doc_id <> rep").select("doc_id", "rep").distinct())
+    found = components(links)
+    if split:
+        more = comparison.links(comparison.near(_across(blocks.where("blocks > 1"), found), "near"), sets, "links")
+        if not more.isEmpty():
+            found = components(found.union(more))
+    found = written(found, "found")
+
+    of_class = heads.join(found, heads.rep == found.node, "left").select("n", "set_a", "set_b", F.coalesce("component", "rep").alias("of_class"))
+    out = placed.where("doc_id is not null").join(of_class, ["n", "set_a", "set_b"], "left").withColumn("component_id", F.coalesce("of_class", "doc_id"))
+    kept = F.col("doc_id") == F.col("component_id")
+    if repeated:
+        own = repeats.join(found, repeats.doc_id == found.node, "left").select("doc_id", "first_row", F.col("component").alias("of_id"))
+        out = out.join(own, "doc_id", "left").withColumn("component_id", F.coalesce("of_id", "component_id"))
+        kept = kept & (F.coalesce("first_row", "row") == F.col("row"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
     return out.union(table.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each near-duplicate group (columns unchanged)."""
+    """The rows of ``docs`` without all but one document of each near-duplicate group (columns unchanged).
+
+    The document of least id stays. Rows with a null id, and those without words, stay; of the rows that repeat an id
+    one stays, that with the least hash of its text. An empty table gives no rows. Helper columns get names that
+    clash with none of ``docs``.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null")
-    (key, turn) = fresh(docs.columns, "kept_id", "kept_turn")
-    ids = kept.select(F.col("doc_id").alias(key)).distinct()
-    joined = docs.join(ids, F.col(f"`{id_col}`") == F.col(key))
-    first = joined.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`"))))).where(F.col(turn) == 1)
-    return first.drop(key, turn).union(docs.where(F.col(f"`{id_col}`").isNull()))
+    found = written(near_duplicates(docs, **options).where("not kept"), "dropped")
+    (key,) = fresh(docs.columns, "dropped_id")
+    ident = F.col(f"`{id_col}`").cast("long")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    left = docs.join(gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge"), ident == F.col(key), "left_anti")
+    twice = written(found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "twice")
+    n = twice.count()
+    if not n:
+        return left
+    twice = twice.hint("broadcast" if n <= BROADCAST_IDS else "merge")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(twice, ident == F.col(key), "left_semi").groupBy(ident.alias(key)).agg(F.min_by(row, F.xxhash64(F.col(f"`{text_col}`"))).alias("one"))
+    return left.join(twice, ident == F.col(key), "left_anti").union(one.select("one.*"))

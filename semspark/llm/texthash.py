@@ -1,20 +1,23 @@
 """Vectorised hashing of words and word shingles over Arrow string buffers.
 
-A word's hash is a polynomial over random 64-bit values of its bytes, taken from one running sum over the
-whole buffer, so that no Python object is made for a word. ASCII capitals share the value of the small letter.
+A word is mixed into its hash eight bytes at a time, so that no Python object is made for a word. Two words of one
+length up to eight bytes never have the same hash, and no fixed words of other lengths are known that do. ASCII
+capitals count as the small letters.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Keys of the hashes: one for words and pieces, another for the second half of 128-bit fingerprints.
+KEY, SECOND_KEY = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Longer spans are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,27 +28,40 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-_VALUES[65:91] = _VALUES[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
+#: The low 0 to 8 bytes of a word of eight.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        tables = []
-        for base in (_BASE, _INVERSE):
-            t = np.ones(1, U)
-            step = base
-            with np.errstate(over="ignore"):
-                while len(t) < size:
-                    t = np.concatenate([t, t * U(step)])
-                    step = step * step & _MASK
-            tables.append(t[:size])
-        _powers[:] = tables
-    return _powers[0][:n], _powers[1][:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end, as little-endian numbers (a view of overlapping parts)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[int, ...] = (KEY,)) -> list[np.ndarray]:
+    """Hashes of the given spans of bytes, an array for each key. Arrays of several keys are independent."""
+    size = ends - starts
+    eight = eights(data)
+    chunk = eight[starts] & MASKS[np.minimum(size, 8)]
+    with np.errstate(over="ignore"):
+        out = [mix(mix(size.astype(U) * U(0xD1342543DE82EF95) + U(key)) ^ chunk) for key in keys]
+    rows = np.flatnonzero((size > 8) & (size <= LONG))
+    at, left = starts[rows] + 8, size[rows] - 8
+    while len(rows):
+        chunk = eight[at] & MASKS[np.minimum(left, 8)]
+        for state in out:
+            state[rows] = mix(state[rows] ^ chunk)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for row in np.flatnonzero(size > LONG).tolist():
+        span = data[starts[row] : ends[row]].tobytes()
+        for state, key in zip(out, keys, strict=True):
+            state[row] = int.from_bytes(hashlib.blake2b(span, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +97,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, prefix: int | None = None
 
     With ``prefix`` the hashes are of the words' first bytes, that many at most.
     """
+    (hashes,), index = keyed_word_hashes(data, offsets, (KEY,), prefix)
+    return hashes, index
+
+
+def keyed_word_hashes(data: np.ndarray, offsets: np.ndarray, keys: tuple[int, ...], prefix: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``word_hashes``, with an array of hashes for each key."""
     n = len(data)
     if not n:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return [np.zeros(0, U) for _ in keys], np.zeros(len(offsets), np.int64)
     letter = ~_SPACE[data]
     first = np.zeros(n + 1, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
@@ -94,26 +116,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, prefix: int | None = None
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     if prefix is not None:
         ends = np.minimum(ends, starts + prefix)
-    power, inverse = _power_tables(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(n + 1, U)
-        sums[0] = 0
-        np.cumsum(_VALUES[data] * power[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
-    return hashes, np.searchsorted(starts, offsets)
-
-
-_EXACT = mix(np.arange(501, 757, dtype=U))
-
-
-def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the given spans of bytes; letter case counts."""
-    n = len(data)
-    power, inverse = _power_tables(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_EXACT[data] * power[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+    return span_hashes(_LOWER[data], starts, ends, keys), np.searchsorted(starts, offsets)
 
 
 _STEPS = mix(np.arange(101, 164, dtype=U)) | U(1)

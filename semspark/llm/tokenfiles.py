@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, written
-from .texthash import U, buffers, byte_hashes, mix
+from .texthash import LONG, MASKS, U, buffers, eights, span_hashes
 
 MAGIC = b"STKZ0001"
 LEVEL = 1
@@ -42,7 +42,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 #: Distinct pieces that an encoder remembers before it starts anew; it bounds memory and changes no result.
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
 #: Kinds of bytes: the parts of letters, digits, other printable signs, space, line feed, and all others.
 LETTER, DIGIT, SIGN, SPACE, LINE, OTHER = range(6)
 
@@ -64,9 +64,11 @@ class ByteLevelEncoder:
     """Encodes with a byte-level BPE tokenizer, each distinct piece of its first split once.
 
     Texts of ASCII and Latin-1 letters with lone white space are split here: a piece is a run of letters, digits or
-    other signs with the lone space before it, or a lone line feed. Pieces are told apart by a 64-bit hash and their
-    length. New ones are encoded by the tokenizer, those with a space together: there, a token that begins with the
-    space's byte begins a piece. The tokenizer encodes all other texts whole.
+    other signs with the lone space before it, or a lone line feed. Pieces are looked up by a 64-bit hash and then
+    compared byte by byte with the piece remembered. New ones are encoded by the tokenizer, those with a space
+    together: there, a token that begins with the space's byte begins a piece. The tokenizer encodes all other texts
+    whole: those with other signs, with pieces of over 64 bytes, with strings of special tokens, or with a piece
+    whose bytes are not those remembered under its hash.
     """
 
     def __init__(self, path: str):
@@ -74,8 +76,8 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         size = self._tokenizer.get_vocab_size()
+        self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         sample = ["Aé", ",", " bü", " 12", "\n", "c", "#.", " ("]
         whole, parts = self._direct(["".join(sample)])[0], self._direct(sample)
@@ -84,25 +86,40 @@ class ByteLevelEncoder:
 
     def _forget(self) -> None:
         self._keys, self._start, self._length, self._pool = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self._from, self._size, self._bytes = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        spaced = np.array([p[0] == " " for p in pieces])
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        spaced = np.array([p[0] == 32 for p in raw])
         order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
-        joined = self._direct(["".join(p for p in pieces if p[0] == " ")])[0]
-        alone = self._direct([p for p in pieces if p[0] != " "])
+        joined = self._direct([b"".join(p for p in raw if p[0] == 32).decode()])[0]
+        alone = self._direct([p.decode() for p in raw if p[0] != 32])
         start = np.flatnonzero(self._spaced[joined])
         length = np.concatenate([np.diff(np.append(start, len(joined))), np.array([len(a) for a in alone], np.int64)])
-        ids = np.concatenate([joined, *alone])
         begin = np.concatenate([[0], np.cumsum(length)])[:-1] + len(self._pool)
-        self._pool = np.concatenate([self._pool, ids])
+        self._pool = np.concatenate([self._pool, joined, *alone])
+        sizes = np.array([len(raw[k]) for k in order], np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1] + len(self._bytes)
+        self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(raw[k] for k in order), np.uint8)])
         keys = np.concatenate([self._keys, keys[order]])
         at = np.argsort(keys, kind="stable")
         self._keys = keys[at]
-        self._start = np.concatenate([self._start, begin])[at]
-        self._length = np.concatenate([self._length, length.astype(np.int32)])[at]
+        self._start, self._from = np.concatenate([self._start, begin])[at], np.concatenate([self._from, first])[at]
+        self._length, self._size = np.concatenate([self._length, length.astype(np.int32)])[at], np.concatenate([self._size, sizes.astype(np.int32)])[at]
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes of the piece remembered in its slot."""
+        same = sizes == self._size[slots]
+        text, known = eights(data), eights(self._bytes)
+        rows, at, other, left = np.arange(len(starts)), starts, self._from[slots], sizes
+        while len(rows):
+            mask = MASKS[np.minimum(left, 8)]
+            same[rows] &= (text[at] & mask) == (known[np.minimum(other, len(self._bytes))] & mask)
+            more = left > 8
+            rows, at, other, left = rows[more], at[more] + 8, other[more] + 8, left[more] - 8
+        return same
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self._split or not texts:
@@ -123,6 +140,12 @@ class ByteLevelEncoder:
         odd |= blank[:n] & blank[1:] & ~fresh[1:]  # white space that touches more of it
         last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
         odd[last] |= blank[last]  # or that ends a text
+        raw = data.tobytes()
+        for special in self._special:
+            at = raw.find(special)
+            while at >= 0:
+                odd[at] = True
+                at = raw.find(special, at + 1)
         plain = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) == 0
         cut = fresh[:n].copy()
         if n:
@@ -131,7 +154,9 @@ class ByteLevelEncoder:
         starts = np.flatnonzero(cut)
         owner = np.searchsorted(offsets, starts, "right") - 1
         ends = np.minimum(np.append(starts[1:], n), offsets[owner + 1]) if len(starts) else starts
-        keys = byte_hashes(data, starts, ends)
+        plain[owner[ends - starts > LONG]] = False
+        starts, ends = starts[plain[owner]], ends[plain[owner]]
+        keys = span_hashes(data, starts, ends)[0]
         known, code = np.unique(keys, return_inverse=True)
         at = np.searchsorted(self._keys, known)
         missing = np.ones(len(known), bool)
@@ -140,10 +165,11 @@ class ByteLevelEncoder:
         if missing.any():
             first = np.full(len(known), -1, np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            raw = data.tobytes()
             new = first[missing]
-            self._learn(known[missing], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self._learn(known[missing], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at = np.searchsorted(self._keys, known)
+        unlike = starts[~self._same(data, starts, ends - starts, at[code])]
+        plain[np.searchsorted(offsets, unlike, "right") - 1] = False
         length = self._length[at].astype(np.int64)[code]
         edge = np.concatenate([[0], np.cumsum(length)])
         ids = self._pool[np.repeat(self._start[at][code] - edge[:-1], length) + np.arange(edge[-1])]
@@ -160,7 +186,7 @@ def _encoder(path: str) -> ByteLevelEncoder:
 
 
 def encode(texts: list[str], path: str, end_id: int | None) -> list[np.ndarray]:
-    """Ids of each text with the end id after them; strings of special tokens are ordinary text."""
+    """Ids of each text, as the tokenizer's plain call gives them (strings of special tokens are such tokens), with the end id after them."""
     end = np.array([] if end_id is None else [end_id], "<u4")
     return [np.concatenate([ids, end]) for ids in _encoder(path).encode(texts)]
 
