@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import logging
 import os
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from .protocol import END, framed_rows
+from .protocol import END, estimate_tokens, framed_rows
 from .runner import BatchRunner, Clock, RateWindow
 
 log = logging.getLogger(__name__)
@@ -16,31 +18,50 @@ log = logging.getLogger(__name__)
 # Request and token limits a minute, by model.
 RATE_LIMITS: dict[str, dict[str, int]] = {
     "gpt-3.5-turbo": {"tpm": 200_000, "rpm": 500},
+    "gpt-3.5-turbo-0125": {"tpm": 200_000, "rpm": 500},
+    "gpt-3.5-turbo-1106": {"tpm": 200_000, "rpm": 500},
+    "gpt-3.5-turbo-16k": {"tpm": 200_000, "rpm": 500},
     "gpt-3.5-turbo-instruct": {"tpm": 90_000, "rpm": 3_500},
+    "gpt-3.5-turbo-instruct-0914": {"tpm": 90_000, "rpm": 3_500},
     "gpt-4": {"tpm": 10_000, "rpm": 500},
+    "gpt-4-0613": {"tpm": 10_000, "rpm": 500},
     "gpt-4-turbo": {"tpm": 30_000, "rpm": 500},
+    "gpt-4-turbo-2024-04-09": {"tpm": 30_000, "rpm": 500},
+    "gpt-4-turbo-preview": {"tpm": 30_000, "rpm": 500},
+    "gpt-4-0125-preview": {"tpm": 30_000, "rpm": 500},
+    "gpt-4-1106-preview": {"tpm": 30_000, "rpm": 500},
     "gpt-4.1": {"tpm": 30_000, "rpm": 500},
+    "gpt-4.1-2025-04-14": {"tpm": 30_000, "rpm": 500},
     "gpt-4.1-mini": {"tpm": 200_000, "rpm": 500},
+    "gpt-4.1-mini-2025-04-14": {"tpm": 200_000, "rpm": 500},
     "gpt-4.1-nano": {"tpm": 200_000, "rpm": 500},
+    "gpt-4.1-nano-2025-04-14": {"tpm": 200_000, "rpm": 500},
     "gpt-4.5-preview": {"tpm": 125_000, "rpm": 1_000},
+    "gpt-4.5-preview-2025-02-27": {"tpm": 125_000, "rpm": 1_000},
     "gpt-4o": {"tpm": 30_000, "rpm": 500},
+    "gpt-4o-2024-05-13": {"tpm": 30_000, "rpm": 500},
+    "gpt-4o-2024-08-06": {"tpm": 30_000, "rpm": 500},
+    "gpt-4o-2024-11-20": {"tpm": 30_000, "rpm": 500},
 }
 DEFAULT_MODEL = "gpt-3.5-turbo"
 MAX_TOKENS = {"gpt-3.5-turbo": 4_096, "gpt-4": 4_096}
 DEFAULT_MAX_TOKENS = 4_096
+#: Requests a minute that a task has at least.
+LEAST_SHARE = 4
 
 
 def limits_of(model: str) -> dict[str, int] | None:
-    """Limits of a model; a dated or suffixed name has those of the longest known name that it begins with."""
-    known = [n for n in RATE_LIMITS if model == n or model.startswith(n + "-")]
-    return RATE_LIMITS[max(known, key=len)] if known else None
+    """Limits of a model by its exact name."""
+    return RATE_LIMITS.get(model)
 
 
 class LLM:
     """A model named ``provider/model`` behind an HTTP chat endpoint.
 
     Keyword arguments: api_key, api_base, api_version, temperature (0.0), rpm, tpm, max_tokens, parallelism (tasks
-    that share the limits), timeout; others are sent with each request.
+    that call the model at a time; without it as many as the session runs and the limits serve), threads (requests in
+    flight in a task), metrics (a RunMetrics), timeout; others are sent with each request. Each task keeps to its
+    share of the limits.
     """
 
     url = "https://api.openai.com/v1"
@@ -52,13 +73,15 @@ class LLM:
         options = {k: v for k, v in kwargs.items() if v is not None}
         limits = limits_of(self.model)
         if limits is None:
-            if not {"rpm", "tpm"} <= options.keys():
-                log.warning("no rate limits known for %s: those of %s are used", model_name, DEFAULT_MODEL)
+            missing = [k for k in ("rpm", "tpm") if k not in options]
+            if missing:
+                log.warning("no %s known for %s: that of %s is used; give %s to set it", " and ".join(missing), model_name, DEFAULT_MODEL, ", ".join(missing))
             limits = RATE_LIMITS[DEFAULT_MODEL]
         self.rpm, self.tpm = options.pop("rpm", limits["rpm"]), options.pop("tpm", limits["tpm"])
         self.temperature = options.pop("temperature", 0.0)
         self.max_tokens = options.pop("max_tokens", MAX_TOKENS.get(self.model, DEFAULT_MAX_TOKENS))
-        self.parallelism = options.pop("parallelism", 1)
+        self.parallelism, self.threads, self.metrics = options.pop("parallelism", None), options.pop("threads", 8), options.pop("metrics", None)
+        self._share = 1
         self.timeout = options.pop("timeout", 120)
         self.api_key, self.api_base, self.api_version = (options.pop(k, None) for k in ("api_key", "api_base", "api_version"))
         self.options = options
@@ -78,24 +101,46 @@ class LLM:
         with urllib.request.urlopen(self.request(prompt), timeout=self.timeout) as reply:  # noqa: S310  the address is the user's
             return json.load(reply)["choices"][0]["message"]["content"]
 
-    def complete_all(self, prompts: list[str]) -> list[str | Exception]:
-        """One prompt, one answer or error; the limits hold."""
+    def _tried(self, prompt: str) -> str | Exception:
+        try:
+            return self.complete(prompt)
+        except Exception as error:  # noqa: BLE001  a provider may raise anything; it becomes the prompt's answer
+            return error
+
+    def complete_all(self, prompts: list[str], max_retries: int = 0) -> list[str | Exception]:
+        """One prompt, one answer or last error, in order; ``threads`` at a time, within the limits."""
         window = self.window()
-        out: list[str | Exception] = []
-        for p in prompts:
-            window.admit(len(p) // 4)
-            try:
-                out.append(self.complete(p))
-            except Exception as error:  # noqa: BLE001
-                out.append(error)
+        out: list[str | Exception] = [RuntimeError("not sent")] * len(prompts)
+        open_ = list(range(len(prompts)))
+        with ThreadPoolExecutor(self.threads) as pool:
+            for _ in range(max_retries + 1):
+                waiting = []
+                for k in open_:
+                    window.admit(estimate_tokens(prompts[k]))
+                    waiting.append((k, pool.submit(self._tried, prompts[k])))
+                for k, reply in waiting:
+                    out[k] = reply.result()
+                open_ = [k for k in open_ if isinstance(out[k], Exception)]
+                if not open_:
+                    break
         return out
 
+    def tasks(self, slots: int) -> int:
+        """Tasks that may call the model at a time on a session that runs ``slots``: each needs a share of a few
+        requests a minute."""
+        return self.parallelism or max(1, min(slots, int(self.rpm // LEAST_SHARE)))
+
+    def shared_by(self, tasks: int) -> LLM:
+        """A copy whose limits are a share of these, for each of so many tasks."""
+        own = copy.copy(self)
+        own._share = max(1, tasks)
+        return own
+
     def window(self, clock: Clock | None = None) -> RateWindow:
-        share = max(1, self.parallelism)
-        return RateWindow(self.rpm / share, self.tpm / share, clock)
+        return RateWindow(self.rpm / self._share, self.tpm / self._share, clock)
 
     def runner(self) -> BatchRunner:
-        return BatchRunner(self.complete, self.max_tokens, self.window())
+        return BatchRunner(self.complete, self.max_tokens, self.window(), threads=self.threads, metrics=self.metrics)
 
     def __call__(self, rows, prefix: str = "", criteria: str = "", suffix: str = "", optimized: bool = True, max_retries: int = 5):
         """A string is completed; a list is answered row by row, packed (``optimized``) or one prompt each."""
@@ -103,7 +148,7 @@ class LLM:
             return self.complete(rows)
         if optimized:
             return self.runner().run(list(rows), prefix, criteria, suffix, max_retries)
-        return self.complete_all([f"{prefix}{criteria}\n{r}{suffix}" for r in rows])
+        return self.complete_all([f"{prefix}{criteria}\n{r}{suffix}" for r in rows], max_retries)
 
 
 class OpenAI(LLM):

@@ -47,8 +47,8 @@ class BatchRunner:
     A request that raises is retried like a malformed answer, as its error may pass; a row's last error is kept.
     """
 
-    def __init__(self, send: Callable[[str], str], budget: int, window: RateWindow | None = None, count: Callable[[str], int] = estimate_tokens, threads: int = 8):
-        self.send, self.budget, self.window, self.count, self.threads = send, budget, window, count, threads
+    def __init__(self, send: Callable[[str], str], budget: int, window: RateWindow | None = None, count: Callable[[str], int] = estimate_tokens, threads: int = 8, metrics=None):
+        self.send, self.budget, self.window, self.count, self.threads, self.metrics = send, budget, window, count, threads, metrics
 
     def _one(self, prompt: str) -> str | Exception:
         try:
@@ -61,19 +61,24 @@ class BatchRunner:
         answers: dict[int, str] = {}
         errors: dict[int, Exception] = {}
         open_ = list(range(len(rows)))
+        seen = dict.fromkeys(("requests", "failed_requests", "retried_rows", "tokens_sent"), 0)
         with ThreadPoolExecutor(self.threads) as pool:
-            for _ in range(max_retries + 1):
+            for turn in range(max_retries + 1):
                 if not open_:
                     break
+                seen["retried_rows"] += len(open_) if turn else 0
                 requests = pack([(i, rows[i]) for i in open_], prefix, criteria, suffix, self.budget, self.count)
                 waiting = []
                 for request in requests:
                     if self.window:
                         self.window.admit(request.tokens)
+                    seen["requests"] += 1
+                    seen["tokens_sent"] += request.tokens
                     waiting.append((request, pool.submit(self._one, request.prompt)))
                 for request, reply in waiting:
                     got = reply.result()
                     if isinstance(got, Exception):
+                        seen["failed_requests"] += 1
                         errors.update(dict.fromkeys(request.rows, got))
                     else:
                         found = read_answers(got, request.rows)
@@ -81,4 +86,6 @@ class BatchRunner:
                         for i in request.rows:
                             errors.pop(i, None)
                 open_ = [i for i in open_ if i not in answers]
+        if self.metrics:
+            self.metrics.add(rows=len(rows), unanswered_rows=len(open_), **seen)
         return [answers[i] if i in answers else errors.get(i, RowError(FAILED)) for i in range(len(rows))]

@@ -1,8 +1,11 @@
+import json
 import random
+import threading
+import time
 
 import pytest
 
-from semspark.runtime.clients import CallableLLM, limits_of
+from semspark.runtime.clients import LLM, RATE_LIMITS, Azure, CallableLLM, Gemini, Huggingface, Mistral, Ollama, OpenAI, limits_of
 from semspark.runtime.protocol import END, escape, estimate_tokens, find_dict, framed_rows, pack, read_answers
 from semspark.runtime.runner import FAILED, BatchRunner, Clock, RateWindow
 
@@ -93,9 +96,54 @@ def test_hostile_rows_survive_the_round_trip():
     assert [g.split() for g in got] == [(escape(r) + ".").strip().split() for r in rows]
 
 
-def test_limits_by_longest_name():
-    assert limits_of("gpt-4-0613")["tpm"] == 10_000 and limits_of("gpt-4-turbo-x")["tpm"] == 30_000 and limits_of("other") is None
-
-
 def test_read_answers_ignores_noise():
     assert read_answers(f"hm index=0|{{'a': 1}}{END} index=x|1{END}|{END}", [0]) == {0: "{'a': 1}"}
+
+
+def test_limits_are_those_of_the_exact_name(caplog):
+    assert len(RATE_LIMITS) == 25
+    assert limits_of("gpt-4-0125-preview") == limits_of("gpt-4-1106-preview") == {"tpm": 30_000, "rpm": 500}
+    assert limits_of("gpt-4-0613")["tpm"] == 10_000 and limits_of("gpt-4o-mini") is None
+    llm = LLM("openai/gpt-4o-mini")
+    assert (llm.rpm, llm.tpm) == (500, 200_000) and "rpm and tpm" in caplog.text
+    assert LLM("openai/gpt-4o-mini", rpm=7, tpm=9).rpm == 7
+
+
+def test_tasks_share_the_limits():
+    llm = LLM("openai/gpt-4", rpm=100, tpm=1000)
+    assert llm.tasks(8) == 8 and llm.tasks(500) == 25 and LLM("openai/gpt-4", parallelism=3).tasks(8) == 3
+    own = llm.shared_by(llm.tasks(500))
+    assert own.window().rpm * 25 == 100 and own.window().tpm * 25 == 1000 and llm.window().rpm == 100
+
+
+def test_plain_batches_run_side_by_side_and_are_tried_again():
+    here, most, lock = [0], [0], threading.Lock()
+    failed = set()
+
+    class Slow(LLM):
+        def complete(self, prompt):
+            with lock:
+                here[0] += 1
+                most[0] = max(most[0], here[0])
+            time.sleep(0.05)
+            with lock:
+                here[0] -= 1
+            if prompt.endswith("3") and prompt not in failed or prompt.endswith("9"):
+                failed.add(prompt)
+                raise ValueError(prompt)
+            return prompt.upper()
+
+    llm = Slow("x/y", rpm=1000, tpm=10**9)
+    out = llm(["row1", "row3", "row9", "row4"], "p ", "c", "", optimized=False, max_retries=1)
+    assert most[0] > 1 and out[0] == "P C\nROW1" and out[1].endswith("ROW3") and isinstance(out[2], ValueError) and out[3].endswith("ROW4")
+    assert isinstance(llm.complete_all(["a9"])[0], ValueError) and llm.complete_all([]) == []
+
+
+def test_requests_of_the_clients():
+    body = lambda llm: json.loads(llm.request("hi").data)
+    assert OpenAI("gpt-4o").request("hi").full_url == "https://api.openai.com/v1/chat/completions" and body(OpenAI("gpt-4o", top_p=1))["top_p"] == 1
+    assert Ollama("m").request("x").full_url == "http://localhost:11434/v1/chat/completions" and body(Ollama("m"))["model"] == "m"
+    azure = Azure("gpt-4", api_key="k", api_base="https://h", api_version="v").request("x")
+    assert azure.full_url == "https://h/openai/deployments/gpt-4/chat/completions?api-version=v" and azure.get_header("Api-key") == "k"
+    for made, model in ((Gemini(api_key="k"), "gemma-3-1b-it"), (Mistral(api_key="k"), "mistral-tiny"), (Huggingface("a/b", api_key="k"), "a/b")):
+        assert body(made)["model"] == model and made.request("x").get_header("Authorization") == "Bearer k"
