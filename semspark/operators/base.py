@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 INTERNAL = "__sem_"
 DELETED = "__sem_deleted"
 ERROR = "__sem_error"
+#: Spark gives tables of unknown size one of about 2 ** 63 bytes.
+UNKNOWN_SIZE = 1 << 62
 
 _counts: Counter[str] = Counter()
 _lock = threading.Lock()
@@ -76,6 +78,42 @@ def flag(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
+def shared_model(spark, llm):
+    """(the model with each task's share of its limits, the number of tasks that call it at a time)."""
+    slots = spark.sparkContext.defaultParallelism
+    if not hasattr(llm, "shared_by"):
+        return llm, slots
+    tasks = llm.tasks(slots)
+    return llm.shared_by(tasks), tasks
+
+
+def _global_sort(plan) -> bool:
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "Sort" and getattr(plan, "global")()
+
+
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """``rows`` in as many partitions as tasks may call a model, so that none is idle and none calls beyond its share.
+
+    Rows that an earlier operator dealt out, and tables that make more tasks than the session runs at a time, are left
+    as they are. Rows in a global order keep it.
+    """
+    if rows.isStreaming:
+        return rows.repartition(tasks)
+    spark = rows.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    if _global_sort(plan):
+        return rows.coalesce(tasks) if tasks < slots else rows
+    if tasks >= slots:
+        split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        size = int(str(plan.stats().sizeInBytes()))
+        if DELETED in rows.columns or ERROR in rows.columns or slots * split <= size < UNKNOWN_SIZE:
+            return rows
+    return rows.repartition(tasks)
+
+
 def answer_udf(llm, prefix: str, criteria: str, suffix: str, parse, schema: T.StructType, max_retries: int = 5):
     """An iterator UDF: one struct for each row text. ``parse`` makes the struct from an answer or an exception.
 

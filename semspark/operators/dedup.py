@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.components import components
-from ..runtime.embedders import REQUEST_ROWS, HashingEmbedder, unit
+from ..functions.names import fresh
+from ..runtime.embedders import REQUEST_ROWS, HashingEmbedder, HTTPEmbedder, unit
 from ..runtime.protocol import parse_literal
 from ..runtime.shared import written
-from .base import answer_udf, col, input_columns, serialised
+from .base import answer_udf, col, dealt, input_columns, serialised, shared_model
 from .reduce import register_action
 
+log = logging.getLogger(__name__)
+
 #: Vectors of a block; a task compares two blocks.
 BLOCK = 2048
 NONE = "NO_DUPLICATES"
@@ -40,6 +45,17 @@ def embed(df: DataFrame, id_col: str, text, embedder) -> DataFrame:
     return df.select(col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null").mapInArrow(run, "id long, vec array<float>")
 
 
+def _best(score: np.ndarray, left: np.ndarray, right: np.ndarray, top_k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, hit, score) of each row's best columns; ties go to the lesser id."""
+    row, column = np.nonzero(score >= threshold)
+    value, hit = score[row, column], right[column]
+    order = np.lexsort((hit, -value, row))
+    row, value, hit = row[order], value[order], hit[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < top_k
+    return left[row[keep]], hit[keep], value[keep]
+
+
 def _block_hits(top_k: int, threshold: float):
     def hits(group: pa.Table) -> pa.Table:
         ids, home = np.asarray(group.column("id")), np.asarray(group.column("home"))
@@ -47,31 +63,80 @@ def _block_hits(top_k: int, threshold: float):
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(home == i), np.flatnonzero(home == j)
         found = []
-        for a, b in ((left, right), (right, left)) if i != j else ((left, right),):
-            if not len(a) or not len(b):
-                continue
-            score = vec[a] @ vec[b].T
-            for k in range(len(a)):
-                order = np.lexsort((ids[b], -score[k]))[:top_k]
-                order = order[score[k][order] >= threshold]
-                found.append((np.full(len(order), ids[a[k]]), ids[b][order], score[k][order]))
+        if len(left) and len(right):
+            score = vec[left] @ vec[right].T
+            found.append(_best(score, ids[left], ids[right], top_k, threshold))
+            if i != j:
+                found.append(_best(score.T, ids[right], ids[left], top_k, threshold))
         columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3)]
         return pa.table({"id": pa.array(columns[0].astype(np.int64)), "hit": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float32))})
 
     return hits
 
 
+_HITS = "id long, hit long, score float"
+
+
+def _ranked(hits: DataFrame, top_k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "hit"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= top_k).select("id", "hit", "score")
+
+
 def nearest(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, block: int = BLOCK) -> DataFrame:
     """(id, hit, score): for each id its ``top_k`` nearest vectors by cosine (itself among them), those that reach
-    the threshold. Exact: blocks of vectors are multiplied with each other. Ties go to the lesser id."""
+    the threshold. Exact: blocks of vectors are multiplied with each other, so the work grows with the square of their
+    number. Ties go to the lesser id."""
     n = vectors.count()
     blocks = max(1, -(-n // block))
     dealt = vectors.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("id", "vec", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
-    hits = dealt.groupBy("i", "j").applyInArrow(_block_hits(top_k, threshold), "id long, hit long, score float")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "hit"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= top_k).select("id", "hit", "score")
+    return _ranked(dealt.groupBy("i", "j").applyInArrow(_block_hits(top_k, threshold), _HITS), top_k)
+
+
+def bands_for(n: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(bits, tables): codes of ``bits`` signs deal n vectors out to buckets of a few hundred, and in one of ``tables``
+    codes at least a pair at the threshold agrees with the wanted probability."""
+    bits = max(4, (max(1, n) // 256).bit_length())
+    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    if agree >= 1:
+        return bits, 1
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+
+
+def _codes(bits: int, tables: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            vec = np.stack(batch.column(1).to_pylist()).astype(np.float32)
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((vec.shape[1], bits * tables)).astype(np.float32)
+            signs = (vec @ planes > 0).reshape(len(vec), tables, bits)
+            codes = (signs.astype(np.int64) << np.arange(bits)).sum(axis=2)
+            yield pa.record_batch({"id": batch.column(0), "vec": batch.column(1), "codes": pa.array(list(codes), pa.list_(pa.int64()))})
+
+    return run
+
+
+def nearest_banded(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, recall: float = 0.95, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """As ``nearest``, but pairs at the threshold are found with the probability ``recall`` only, nearer ones with more.
+
+    Vectors are dealt out by the signs of random projections, in several tables; only vectors of one code in some table
+    are compared, by their exact cosines. Buckets of more than ``block`` vectors are cut into blocks, and all their
+    pairs of blocks are compared.
+    """
+    bits, tables = bands_for(vectors.count(), threshold, recall)
+    coded = vectors.select("id", "vec").mapInArrow(_codes(bits, tables, seed), "id long, vec array<float>, codes array<long>")
+    rows = written(coded.select("id", "vec", F.posexplode("codes").alias("band", "code")), "codes")
+    sizes = rows.groupBy("band", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = rows.join(sizes, ["band", "code"]).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "code", "id", "vec", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+    hits = dealt.groupBy("band", "code", "i", "j").applyInArrow(_block_hits(top_k, threshold), _HITS)
+    alone = vectors.where(F.exists("vec", lambda v: v != 0)).select("id", F.col("id").alias("hit"), F.lit(1.0).cast("float").alias("score"))
+    return _ranked(hits.where("id <> hit").groupBy("id", "hit").agg(F.max("score").alias("score")).union(alone), top_k)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -153,12 +218,23 @@ class SemanticDeduplicator:
     neighbour search and the model see the row of least id of each, so ``top_k`` bounds distinct neighbours only.
     Without ``llm`` equal vectors are one class too, and every candidate cluster is merged onto its least id.
     Calling it gives the merges (canonical_id, duplicate_ids), or with ``return_df`` the frame without duplicates.
+
+    index: 'exact' compares all distinct vectors; 'banded' those that agree in a band of random projections, and finds
+    a pair at the threshold with the probability ``recall``. ``embedding_model`` names a model of the HTTP endpoint in
+    place of an ``embedder``. ``hnsw_m`` and ``ef_search`` belong to graph indexes, which are not built here: they are
+    taken for callers that pass them, change nothing, and are logged.
     """
 
-    def __init__(self, llm=None, id_col: str = "id", embedder=None, sim_threshold: float = 0.90, top_k: int = 50, input_fields=None, return_df: bool = False, max_retries: int = 3, block: int = BLOCK):
-        self.llm, self.id_col, self.embedder = llm, id_col, embedder or HashingEmbedder()
+    def __init__(self, llm=None, id_col: str = "id", embedder=None, sim_threshold: float = 0.90, top_k: int = 50, input_fields=None, return_df: bool = False, max_retries: int = 3, block: int = BLOCK, index: str = "exact", recall: float = 0.95, embedding_model: str | None = None, hnsw_m: int | None = None, ef_search: int | None = None):
+        if index not in ("exact", "banded"):
+            raise ValueError("index is 'exact' or 'banded'")
+        if hnsw_m is not None or ef_search is not None:
+            log.warning("hnsw_m and ef_search change nothing: the index is %s; recall sets how much a banded one finds", index)
+        self.llm, self.id_col = llm, id_col
+        self.embedder = embedder or (HTTPEmbedder(embedding_model) if embedding_model else HashingEmbedder())
         self.sim_threshold, self.top_k, self.input_fields = sim_threshold, top_k, input_fields
         self.return_df, self.max_retries, self.block = return_df, max_retries, block
+        self.index, self.recall = index, recall
 
     def __call__(self, df: DataFrame) -> DataFrame:
         columns = input_columns(df, self.input_fields)
@@ -167,33 +243,40 @@ class SemanticDeduplicator:
         inputs = [c for c in columns if c != self.id_col]
         rows = df.select(col(self.id_col).cast("long").alias("id"), (F.sha2(serialised(inputs), 256) if inputs else col(self.id_col)).alias("row")).where("id is not null")
         classes = written(rows.groupBy("row").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")).select("id", "ids"), "classes")
-        firsts = df.join(classes.select(F.col("id").alias("_first")), col(self.id_col).cast("long") == F.col("_first"), "left_semi")
+        first, gone_id = fresh(df.columns, "first_id", "gone_id")
+        firsts = df.join(classes.select(F.col("id").alias(first)), col(self.id_col).cast("long") == F.col(first), "left_semi")
         vectors = written(embed(firsts, self.id_col, embedding_text(inputs), self.embedder), "vectors")
-        points = vectors
+        points = equal = vectors
         if self.llm is None:  # vectors of zeros are like no other
             alone = F.when(~F.exists("vec", lambda v: v != 0), F.col("id"))
-            points = written(vectors.groupBy("vec", alone).agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")).select("id", "vec", "ids"), "points")
-        hits = written(nearest(points.select("id", "vec"), self.top_k, self.sim_threshold, self.block), "hits")
+            points = equal = written(vectors.groupBy("vec", alone).agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")).select("id", "vec", "ids"), "points")
+        points = points.select("id", "vec")
+        if self.index == "banded":
+            near = nearest_banded(points, self.top_k, self.sim_threshold, self.recall, self.block)
+        else:
+            near = nearest(points, self.top_k, self.sim_threshold, self.block)
+        hits = written(near, "hits")
         found = written(clusters(hits), "clusters")
         confirmed = self._confirmed(df, found, columns)
-        merges = written(expanded(confirmed if self.llm else expanded(confirmed, points), classes), "merges")
+        merges = written(expanded(confirmed if self.llm else expanded(confirmed, equal), classes), "merges")
         if not self.return_df:
             return merges
-        gone = merges.select(F.explode("duplicate_ids").alias("_gone")).distinct()
-        return df.join(gone, col(self.id_col).cast("long") == F.col("_gone"), "left_anti")
+        gone = merges.select(F.explode("duplicate_ids").alias(gone_id)).distinct()
+        return df.join(gone, col(self.id_col).cast("long") == F.col(gone_id), "left_anti")
 
     def _confirmed(self, df: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
         if self.llm is None:
             own = found.select(F.array_min("members").alias("canonical_id"), "members")
             return own.select("canonical_id", F.array_sort(F.array_remove("members", F.col("canonical_id"))).alias("duplicate_ids"))
+        llm, tasks = shared_model(df.sparkSession, self.llm)
         rows = df.select(col(self.id_col).cast("long").alias("member"), serialised([c for c in columns if c != self.id_col]).alias("row"))
         placed = found.select("cluster_id", "members", F.posexplode("members").alias("at", "member")).join(rows, "member")
         lines = placed.groupBy("cluster_id").agg(F.first("members").alias("members"), F.array_sort(F.collect_list(F.struct("at", "member", "row"))).alias("rows"))
         line = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("ID "), r["member"].cast("string"), F.lit(": "), r["row"])), "\n")
         text = F.concat(F.lit("CLUSTER "), F.col("cluster_id").cast("string"), F.lit(" START\n"), line, F.lit("\nCLUSTER "), F.col("cluster_id").cast("string"), F.lit(" END"))
         prefix = f"Each record is a cluster of rows. Answer with a dictionary of canonical_id and duplicate_ids (a list) for the rows that mean the same, or with the string '{NONE}'.\n"
-        ask = answer_udf(self.llm, prefix, "Find duplicates.", "\nAnswer all clusters.", read_verdict, _VERDICT, self.max_retries)
-        verdicts = lines.withColumn("v", ask(text)).select("members", "v.canonical_id", "v.duplicate_ids")
+        ask = answer_udf(llm, prefix, "Find duplicates.", "\nAnswer all clusters.", read_verdict, _VERDICT, self.max_retries)
+        verdicts = dealt(lines.select("members", text.alias("text")), tasks).withColumn("v", ask(F.col("text"))).select("members", "v.canonical_id", "v.duplicate_ids")
         valid = verdicts.where("canonical_id is not null and array_contains(members, canonical_id) and size(array_except(duplicate_ids, members)) = 0")
         out = valid.select("canonical_id", F.array_sort(F.array_distinct(F.filter("duplicate_ids", lambda d: d != F.col("canonical_id")))).alias("duplicate_ids"))
         return out.where("size(duplicate_ids) > 0")

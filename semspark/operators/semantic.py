@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import fresh
 from ..functions.types import ddl_of
 from ..runtime.protocol import find_dict
 from ..runtime.shared import written
-from .base import DELETED, ERROR, INTERNAL, Op, answer_udf, col, flag, input_columns, require_frame, serialised
+from .base import DELETED, ERROR, INTERNAL, Op, answer_udf, col, dealt, flag, input_columns, require_frame, serialised, shared_model
 
 FILTER_KEY = "__filter__"
 _MAP_ANSWER = T.StructType([T.StructField("raw", T.StringType()), T.StructField("error", T.StringType()), T.StructField("fields", T.StringType())])
@@ -65,27 +66,34 @@ class _Semantic(Op):
         self.prompt, self.input_fields, self.clusters, self.id_col, self.collapse, self.max_retries = prompt, input_fields, clusters, id_col, collapse, max_retries
         self.input, self.output = f"{INTERNAL}{self.name}_input", f"{INTERNAL}{self.name}_output"
 
-    def _answered(self, llm, df: DataFrame, ask, fields: list[str] | None = None) -> DataFrame:
-        """``df`` with the serialised input and the struct of answers. Deleted rows are not sent."""
+    def _answered(self, llm, df: DataFrame, question) -> DataFrame:
+        """``df`` with the serialised input and the struct of answers. Deleted rows are not sent.
+
+        Helper columns get names that clash with none of ``df``. question: a model to the UDF that asks it.
+        """
+        llm, tasks = shared_model(df.sparkSession, llm)
+        ask = question(llm)
         text = serialised(input_columns(df, self.input_fields))
         rows = df.withColumn(self.input, F.when(~flag(df, DELETED), text))
         if self.clusters is None:
-            return self._ask(rows, ask)
-        pairs = cluster_map(df, self.clusters)
-        rows = rows.join(pairs, col(self.id_col) == F.col("dup"), "left").drop("dup")
+            return self._ask(rows, ask, tasks)
+        canonical, dup, key, given = fresh([*rows.columns, self.output], "canonical", "dup", "of_canonical", "given")
+        pairs = cluster_map(df, self.clusters).toDF(dup, canonical)
+        rows = rows.join(pairs, col(self.id_col) == F.col(dup), "left").drop(dup)
         # Used twice below, so the answers are made once and kept.
-        asked = written(self._ask(rows.withColumn(self.input, F.when(F.col("canonical").isNull(), F.col(self.input))), ask), "answers")
-        given = asked.where("canonical is null").select(col(self.id_col).alias("_canonical"), F.col(self.output).alias("_given")).dropDuplicates(["_canonical"])
-        out = asked.join(given, F.col("canonical") == F.col("_canonical"), "left")
-        out = out.withColumn(self.output, F.when(F.col("canonical").isNull() | flag(df, DELETED), F.col(self.output)).otherwise(F.col("_given")))
-        return out.withColumn(self.input, F.when(~flag(df, DELETED), text)).drop("canonical", "_canonical", "_given")
+        asked = written(self._ask(rows.withColumn(self.input, F.when(F.col(canonical).isNull(), F.col(self.input))), ask, tasks), "answers")
+        known = asked.where(F.col(canonical).isNull()).select(col(self.id_col).alias(key), F.col(self.output).alias(given)).dropDuplicates([key])
+        out = asked.join(known, F.col(canonical) == F.col(key), "left")
+        out = out.withColumn(self.output, F.when(F.col(canonical).isNull() | flag(df, DELETED), F.col(self.output)).otherwise(F.col(given)))
+        return out.withColumn(self.input, F.when(~flag(df, DELETED), text)).drop(canonical, key, given)
 
-    def _ask(self, rows: DataFrame, ask) -> DataFrame:
+    def _ask(self, rows: DataFrame, ask, tasks: int) -> DataFrame:
         if not self.collapse:
-            return rows.withColumn(self.output, ask(F.col(self.input)))
-        distinct = rows.select(F.col(self.input).alias("_text")).where("_text is not null").distinct()
-        given = distinct.withColumn(self.output, ask(F.col("_text")))
-        return rows.join(given, F.col(self.input) == F.col("_text"), "left").drop("_text")
+            return dealt(rows, tasks).withColumn(self.output, ask(F.col(self.input)))
+        (sent,) = fresh([*rows.columns, self.output], "sent")
+        distinct = rows.select(F.col(self.input).alias(sent)).where(F.col(sent).isNotNull()).distinct()
+        given = dealt(distinct, tasks).withColumn(self.output, ask(F.col(sent)))
+        return rows.join(given, F.col(self.input) == F.col(sent), "left").drop(sent)
 
 
 class SemanticMap(_Semantic):
@@ -99,8 +107,8 @@ class SemanticMap(_Semantic):
         require_frame(df)
         names = list(self.types) or [c for c in df.columns if not c.startswith(INTERNAL)]
         wanted = f"the keys {', '.join(names)}" if self.types else "the fields to change"
-        ask = answer_udf(llm, f"Change each record as the task says and answer with a dictionary of {wanted}.\n", f"Task: {self.prompt}", "\nAnswer all records.", _read_map, _MAP_ANSWER, self.max_retries)
-        out = self._answered(llm, df, ask)
+        question = lambda llm: answer_udf(llm, f"Change each record as the task says and answer with a dictionary of {wanted}.\n", f"Task: {self.prompt}", "\nAnswer all records.", _read_map, _MAP_ANSWER, self.max_retries)
+        out = self._answered(llm, df, question)
         found = F.from_json(F.col(self.output)["fields"], "map<string,string>")
         known = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         values: dict[str, Column] = {}
@@ -130,8 +138,8 @@ class SemanticFilter(_Semantic):
 
     def __call__(self, llm, df: DataFrame) -> DataFrame:
         require_frame(df)
-        ask = answer_udf(llm, f"Decide for each record whether the condition holds and answer with the record's dictionary and a key {FILTER_KEY} that is True or False.\n", f"Condition: {self.prompt}", "\nAnswer all records.", _read_filter, _FILTER_ANSWER, self.max_retries)
-        out = self._answered(llm, df, ask)
+        question = lambda llm: answer_udf(llm, f"Decide for each record whether the condition holds and answer with the record's dictionary and a key {FILTER_KEY} that is True or False.\n", f"Condition: {self.prompt}", "\nAnswer all records.", _read_filter, _FILTER_ANSWER, self.max_retries)
+        out = self._answered(llm, df, question)
         asked = ~flag(df, DELETED)
         keep = F.col(self.output)["keep"]
         result = F.when(keep, 1).when(~keep, 0).when(asked, -1).cast("int")

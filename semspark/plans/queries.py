@@ -161,7 +161,7 @@ def sem_filter_clusters(spark, d):
 
 def _dedup(spark, d, return_df: bool):
     df = _table(spark, d, "documents").select("doc_id", "text", "lang")
-    return reduce(df, action="dedup", llm=CallableLLM(rules.same_text), id_col="doc_id", input_fields=["text"], sim_threshold=0.9999, top_k=50, return_df=return_df)
+    return reduce(df, action="dedup", llm=CallableLLM(rules.same_text), id_col="doc_id", input_fields=["text"], sim_threshold=0.9999, top_k=50, return_df=return_df, index="banded", recall=0.999)
 
 
 @_query("SELECT min(doc_id) AS canonical_id, count(*) - 1 AS n_duplicates, sum(doc_id)::BIGINT - min(doc_id) AS sum_of_ids FROM documents GROUP BY text HAVING count(*) > 1")

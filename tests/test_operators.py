@@ -1,12 +1,16 @@
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import semspark as ss
 from semspark.agent import AgentError, PlanError, run_plan
-from semspark.operators.dedup import greedy, read_verdict
+from semspark.operators.dedup import BLOCK, greedy, nearest, nearest_banded, read_verdict
 from semspark.plans.rules import same_text
 from semspark.runtime.clients import ScriptedLLM
+from semspark.runtime.embedders import unit
+from semspark.runtime.metrics import RunMetrics
 
 
 def people(spark, parts=3):
@@ -156,3 +160,55 @@ def test_streams_run_the_same_operator(spark, tmp_path):
     out = ss.finalize(ss.filter(prompt="odd", max_retries=0)(ss.CallableLLM(decide), read_parquet_stream(spark, str(tmp_path / "in"))))
     run_available(out, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_user_columns_may_have_any_name(spark):
+    names = ["canonical", "dup", "of_canonical", "given", "sent", "first_id", "gone_id"]
+    df = people(spark).select("*", *[F.lit(n).alias(n) for n in names])
+    rule = lambda t: {"tag": str(json.loads(t)["id"])}
+    op = ss.map(prompt="p", output_fields=["tag"], clusters=[{"canonical_id": 1, "duplicate_ids": [3]}], id_col="id")
+    got = ss.finalize(op(ss.CallableLLM(rule), df))
+    assert got.columns == [*df.columns, "tag"] and {r.id: r.tag for r in got.collect()}[3] == "1"
+    got = ss.finalize(ss.map(prompt="p", output_fields=["tag"], collapse=True)(ss.CallableLLM(rule), df))
+    assert got.columns == [*df.columns, "tag"] and all(r.tag == str(r.id) and r.sent == "sent" for r in got.collect())
+    left = ss.reduce(df, action="dedup", id_col="id", return_df=True, sim_threshold=0.9999)
+    assert left.columns == df.columns
+
+
+def test_rows_are_dealt_out_before_model_calls(spark):
+    df = people(spark).coalesce(1)
+    out = ss.map(prompt="p", output_fields=["tag"])(ss.CallableLLM(lambda t: {"tag": "x"}), df)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    again = ss.filter(prompt="p")(ss.CallableLLM(lambda t: {"__filter__": True}), out)
+    assert again.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    slow = ss.CallableLLM(lambda t: {"tag": "x"}, rpm=9)
+    assert ss.map(prompt="p", output_fields=["tag"])(slow, df).rdd.getNumPartitions() == 2
+    ordered = ss.map(prompt="p", output_fields=["tag"])(ss.CallableLLM(lambda t: {"tag": "x"}), people(spark).orderBy(F.desc("id")))
+    assert [r.id for r in ordered.collect()] == list(range(9, -1, -1))
+
+
+def test_run_metrics(spark):
+    metrics = RunMetrics(spark)
+    ss.finalize(ss.filter(prompt="odd", max_retries=1)(ss.CallableLLM(decide, metrics=metrics), people(spark))).collect()
+    got = metrics.values()
+    assert got["rows"] == 10 and got["retried_rows"] == 2 and got["unanswered_rows"] == 2 and got["requests"] >= 2 and got["tokens_sent"] > 0
+
+
+def test_banded_neighbours_find_nine_in_ten(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((700, 64))
+    near = base[:400] + 0.45 * rng.standard_normal((400, 64))
+    vec = unit(np.concatenate([base, near]).astype(np.float32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "id long, vec array<float>")
+    exact = {(r.id, r.hit) for r in nearest(vectors, 50, 0.9, block=300).collect()}
+    for block in (BLOCK, 20):
+        got = {(r.id, r.hit): r.score for r in nearest_banded(vectors, 50, 0.9, block=block).collect()}
+        assert got.keys() <= exact and len(got) >= 0.9 * len(exact) and len({p for p in got if p[0] != p[1]}) >= 0.9 * sum(a != b for a, b in exact)
+        assert all(abs(s - float(vec[a] @ vec[b])) < 1e-4 for (a, b), s in got.items())
+    full = vec @ vec.T
+    assert exact == {(i, j) for i in range(len(vec)) for j in range(len(vec)) if full[i, j] >= 0.9}
+    df = spark.createDataFrame([(k, f"red apple {k % 3} {'x' * (k % 2)}") for k in range(60)], "id long, text string")
+    made = [{m.canonical_id: m.duplicate_ids for m in ss.reduce(df, action="dedup", id_col="id", sim_threshold=0.9999, index=i, hnsw_m=32, ef_search=128).collect()} for i in ("exact", "banded")]
+    assert made[0] == made[1] and len(made[0]) == 6
+    with pytest.raises(ValueError, match="index"):
+        ss.SemanticDeduplicator(index="graph")
