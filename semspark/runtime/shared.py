@@ -5,21 +5,41 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made inside open ``scratch`` blocks, the innermost last.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, a fresh local one."""
+    """The folder named by ``spark.checkpoint.dir`` or given to ``setCheckpointDir``.
+
+    Where both are unset, a session whose only machine is this one, as in tests, gets a fresh local folder. On a
+    cluster that is an error, as executors would write to their own disks.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("semspark.shared.dir", None)
-    if not known:
+    if known:
+        return known
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        known = given.get()
+    elif context.master == "local" or context.master.startswith("local["):
         known = "file://" + tempfile.mkdtemp(prefix="semspark-")
-        spark.conf.set("semspark.shared.dir", known)
+    else:
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    spark.conf.set("semspark.shared.dir", known)
     return known
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -29,9 +49,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path) -> None:
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a frame made by ``written`` once nothing reads them again."""
     jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, jvm.org.apache.hadoop.fs.Path(file).getParent())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written to the shared folder inside it. Frames made inside are not to be read later;
+    write what is to stay outside of it, or to a path of your own."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
