@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh  # noqa: F401  used by the operators
 from ..runtime.shared import forget, new_path, shared_dir, written  # noqa: F401  used by the operators
 
 #: A word is a run of characters other than the space and the controls 9 to 13.
@@ -18,16 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(columns: list[str], *wanted: str) -> list[str]:
-    """Names for helper columns that clash with none of ``columns`` (Spark ignores case)."""
-    taken = {c.lower() for c in columns}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def short(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table with a hint to broadcast it if it has ``most`` rows or fewer, else to join it by shuffles."""
+    return df.hint("broadcast" if df.count() <= most else "merge")
 
 
 def words_of(text: Column) -> Column:

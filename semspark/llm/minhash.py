@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.components import components
-from .common import BROADCAST_IDS, fresh, written
+from .common import BROADCAST_IDS, fresh, short, written
 from .superminhash import band_keys, signatures
 from .texthash import KEY, SECOND_KEY, U, keyed_word_hashes, mix, shingle_hashes, slices
 
@@ -231,7 +231,7 @@ class _Comparison:
     def sets(self, ids: DataFrame, repeated: bool) -> DataFrame:
         """(id, tag, shingles) of the texts named by ``ids`` (doc_id) alone. A long list of ids is joined by shuffles."""
         ids = written(ids.distinct(), "wanted")
-        made = self.docs.join(ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "merge"), "doc_id", "left_semi").mapInArrow(_sets(self.words), "id long, tag long, shingles binary")
+        made = self.docs.join(short(ids), "doc_id", "left_semi").mapInArrow(_sets(self.words), "id long, tag long, shingles binary")
         return written(made.groupBy("id", "tag").agg(F.first("shingles").alias("shingles")) if repeated else made, "sets")
 
     def links(self, near: DataFrame, sets: DataFrame, label: str) -> DataFrame:
@@ -344,12 +344,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     (key,) = fresh(docs.columns, "dropped_id")
     ident = F.col(f"`{id_col}`").cast("long")
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
-    left = docs.join(gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge"), ident == F.col(key), "left_anti")
+    left = docs.join(short(gone), ident == F.col(key), "left_anti")
     twice = written(found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "twice")
-    n = twice.count()
-    if not n:
+    if twice.isEmpty():
         return left
-    twice = twice.hint("broadcast" if n <= BROADCAST_IDS else "merge")
+    twice = short(twice)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     one = left.join(twice, ident == F.col(key), "left_semi").groupBy(ident.alias(key)).agg(F.min_by(row, F.xxhash64(F.col(f"`{text_col}`"))).alias("one"))
     return left.join(twice, ident == F.col(key), "left_anti").union(one.select("one.*"))
