@@ -2,8 +2,9 @@
 
 Texts and benchmark items are reduced to lower-case words with single spaces. An item of m bytes that occurs with at
 most k edits shares at least m - q + 1 - k q of its q-grams with the text, on diagonals that lie within 2 k of each
-other (the q-gram lemma). Shared q-grams are counted in overlapping diagonal bands; bands that reach the bound are
-verified by an alignment of the whole item inside the band.
+other (the q-gram lemma). q is 10, or less for short items, so that the bound is one q-gram at least. Shared q-grams
+are counted in overlapping diagonal bands; bands that reach the bound are verified by an alignment of the whole item
+inside the band. Items of fewer than ten bytes have to stand between word bounds.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import U, mix
+from .common import fresh, short, written
+from .texthash import MASKS, U, eights, mix
 
+#: Bytes of a q-gram, less for items that allow edits in fewer than 20 bytes or are shorter.
 Q = 10
 #: Edits allowed, as a share of the item's length.
 EDITS = 0.06
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 BLOCK_BYTES = 4 << 20
-#: Texts of about this many bytes are searched at once.
-CHUNK_BYTES = 1 << 20
+#: Texts of about this many bytes are searched at once, and shared q-grams counted for items of about so many at once.
+CHUNK_BYTES, HITS = 1 << 20, 1 << 22
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -33,64 +36,102 @@ def normalised(text: str | None) -> bytes:
     return _NOT_WORD.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each run of Q bytes."""
-    n = len(data) - Q + 1
+def pattern(text: str | None) -> bytes:
+    """The bytes that are searched for: the reduced item, with its word bounds if it has fewer than Q bytes."""
+    reduced = normalised(text)
+    return b" " + reduced + b" " if 0 < len(reduced) < Q else reduced
+
+
+def edits_of(item: bytes) -> int:
+    return int(len(item) * EDITS)
+
+
+def gram_size(item: bytes) -> int:
+    """The largest q up to Q with which the lemma asks for one shared q-gram at least."""
+    return min(Q, len(item) // (edits_of(item) + 1))
+
+
+def indexes(items: list[tuple[int, str]]) -> list[ItemIndex]:
+    """An index for each q among the items; items without words are left out."""
+    by: dict[int, list[tuple[int, bytes]]] = {}
+    for i, text in items:
+        if item := pattern(text):
+            by.setdefault(gram_size(item), []).append((i, item))
+    return [ItemIndex(own, q) for q, own in sorted(by.items())]
+
+
+def _grams(data: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit value for each run of q bytes (10 at most)."""
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, U)
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    eight = np.empty((len(data) // 8 + 1) * 8, U)
-    for k in range(8):
-        part = padded[k : k + (len(padded) - k) // 8 * 8].view("<u8")
-        eight[k::8] = np.resize(part, len(eight) // 8) if len(part) < len(eight) // 8 else part[: len(eight) // 8]
+    first = eights(data)[:n] & MASKS[min(q, 8)]
     rest = np.zeros(n, U)
-    for k in range(8, Q):
+    for k in range(8, q):
         rest = rest << U(8) | data[k : k + n]
     with np.errstate(over="ignore"):
-        return mix(eight[:n] + rest * U(0x9E3779B97F4A7C15))
+        return mix(first + rest * U(0x9E3779B97F4A7C15))
 
 
 class ItemIndex:
-    """The q-grams of a block of benchmark items."""
+    """The q-grams of benchmark items that have one q, and the edits and bound of each."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        rows = [(i, normalised(t)) for i, t in items]
-        rows = [(i, t) for i, t in rows if len(t) >= Q]
-        self.ids = [i for i, _ in rows]
-        self.texts = [t for _, t in rows]
+    def __init__(self, items: list[tuple[int, bytes]], q: int):
+        self.q = q
+        self.ids = [i for i, _ in items]
+        self.texts = [t for _, t in items]
         self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.edits = (self.length * EDITS).astype(np.int64)
-        self.bound = np.maximum(1, self.length - Q + 1 - self.edits * Q)
+        self.edits = np.array([edits_of(t) for t in self.texts], np.int64)
+        self.bound = self.length - q + 1 - self.edits * q
         self.width = 2 * self.edits + 1
-        grams = [_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
+        grams = [_grams(np.frombuffer(t, np.uint8), q) for t in self.texts]
         values = np.concatenate(grams) if grams else np.zeros(0, U)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(values, kind="stable")
-        self.owner, self.at = owner[order], at[order]
+        self.owner, self.at = owner[order].astype(np.int32), at[order].astype(np.int32)
         self.grams, self.first = np.unique(values[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(values)))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.grams >> U(44)] = True
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position in the text, item and position in the item of each shared q-gram."""
-        grams = _grams(data)
+    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Position in the text, item and position in the item of each shared q-gram, for some items after others, so
+        that no more than about ``HITS`` are held unless one item has more."""
+        grams = _grams(data, self.q)
         where = np.flatnonzero(self.bits[grams >> U(44)])
         found = np.searchsorted(self.grams, grams[where])
         found[found == len(self.grams)] = 0
         good = self.grams[found] == grams[where] if len(self.grams) else np.zeros(len(where), bool)
         where, found = where[good], found[good]
-        many = self.count[found]
+        low, end = self.first[found], self.first[found] + self.count[found]
+        total = int((end - low).sum())
+        parts = min(len(self.ids), -(-total // HITS)) or 1
+        if parts == 1:
+            yield self._postings(where, low, end - low)
+            return
+        # A gram's postings are in the order of their items, so those of a run of items stand together.
+        gram = np.repeat(np.arange(len(self.grams)), self.count)
+        place = gram * len(self.ids) + self.owner
+        for k in range(parts):
+            a, b = k * len(self.ids) // parts, (k + 1) * len(self.ids) // parts
+            low, end = (np.searchsorted(place, found * len(self.ids) + x) for x in (a, b))
+            own = end > low
+            if own.any():
+                yield self._postings(where[own], low[own], (end - low)[own])
+
+    def _postings(self, where: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.concatenate([[0], np.cumsum(many)])
-        posting = np.repeat(self.first[found] - edge[:-1], many) + np.arange(edge[-1])
-        return np.repeat(where, many), self.owner[posting], self.at[posting]
+        posting = np.repeat(low - edge[:-1], many) + np.arange(edge[-1])
+        return np.repeat(where, many), self.owner[posting].astype(np.int64), self.at[posting].astype(np.int64)
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first, last) of each band of diagonals that reaches the bound; positions are in ``data``."""
-        where, item, at = self.hits(data)
-        if not len(where):
-            return
+        for where, item, at in self.hits(data):
+            if len(where):
+                yield from self._bands(where, item, at, offsets)
+
+    def _bands(self, where: np.ndarray, item: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         text = np.searchsorted(offsets, where, "right") - 1
         # A band holds twice the width and begins at each multiple of it, so that every drift fits into one band.
         shift = self.width[item]
@@ -128,30 +169,36 @@ def banded_edits(item: np.ndarray, region: np.ndarray, most: int) -> int:
     return min(int(row.min()), most + 1)
 
 
-def _search(index: ItemIndex):
+def _found(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], int]:
+    """Least edits by (text, item), of the items that occur."""
+    best: dict[tuple[int, int], int] = {}
+    for t, i, low, high in index.candidates(data, offsets):
+        most = int(index.edits[i])
+        if best.get((t, i), most + 1) == 0:
+            continue
+        a, b = max(low, int(offsets[t])), min(high + len(index.texts[i]) + most, int(offsets[t + 1]) - 1)
+        region = data[a:b]
+        edits = 0 if index.texts[i] in region.tobytes() else banded_edits(np.frombuffer(index.texts[i], np.uint8), region, most)
+        if edits <= most:
+            best[t, i] = min(edits, best.get((t, i), edits))
+    return best
+
+
+def _search(known: list[ItemIndex]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             found: list[tuple[object, int, int]] = []
             start, size, parts = 0, 0, []
             for k, text in enumerate(texts):
-                parts.append(normalised(text))
+                parts.append(b" " + normalised(text) + b" ")
                 size += len(parts[-1]) + 1
                 if size < CHUNK_BYTES and k + 1 < len(texts):
                     continue
                 data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
                 offsets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-                best: dict[tuple[int, int], int] = {}
-                for t, i, low, high in index.candidates(data, offsets):
-                    most = int(index.edits[i])
-                    if best.get((t, i), most + 1) == 0:
-                        continue
-                    a, b = max(low, int(offsets[t])), min(high + len(index.texts[i]) + most, int(offsets[t + 1]) - 1)
-                    region = data[a:b]
-                    edits = 0 if index.texts[i] in region.tobytes() else banded_edits(np.frombuffer(index.texts[i], np.uint8), region, most)
-                    if edits <= most:
-                        best[t, i] = min(edits, best.get((t, i), edits))
-                found += [(ids[start + t].as_py(), index.ids[i], e) for (t, i), e in best.items()]
+                for index in known:
+                    found += [(ids[start + t].as_py(), index.ids[i], e) for (t, i), e in _found(index, data, offsets).items()]
                 start, size, parts = k + 1, 0, []
             yield pa.record_batch({"doc_id": pa.array([x[0] for x in found], pa.int64()), "item_id": pa.array([x[1] for x in found], pa.int64()), "edits": pa.array([x[2] for x in found], pa.int64())})
 
@@ -161,10 +208,11 @@ def _search(index: ItemIndex):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits): the benchmark items that occur in each text, whole, with few edits.
 
-    A clean text has no row. Null and empty texts hold nothing; null, empty and very short items (fewer than Q bytes
-    once reduced) occur nowhere. Rows that repeat an id give their least number of edits once. Null ids are reported
-    as null. The benchmark is searched for in blocks of bounded size, one pass over the documents for each, so only a
-    block is ever held in memory. Extra columns of either table are ignored.
+    A clean text has no row. Null and empty texts hold nothing; null items and items without words occur nowhere. An
+    item of fewer than Q bytes once reduced occurs where it stands between word bounds, unchanged. Rows that repeat an
+    id give their least number of edits once. Null ids are reported as null. An empty table of either kind gives no
+    rows. The benchmark is searched for in blocks of bounded size, one pass over the documents for each, so only a
+    block is ever held in memory; a block has BLOCK_BYTES of items. Extra columns of either table are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -173,8 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = ItemIndex([(r.item_id, r.text) for r in own.orderBy("item_id").collect()])  # about BLOCK_BYTES
-        part = plain.mapInArrow(_search(index), "doc_id long, item_id long, edits long")
+        known = indexes([(r.item_id, r.text) for r in own.orderBy("item_id").collect()])  # about BLOCK_BYTES
+        part = plain.mapInArrow(_search(known), "doc_id long, item_id long, edits long")
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
@@ -182,7 +230,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs (columns unchanged).
 
-    The search runs in the rows' own order, beside their other columns, so no text is shuffled.
+    All rows of an id go if an item occurs in one of them, null ids included. Null and empty texts stay; a benchmark
+    without items drops nothing; an empty table gives no rows. The ids found are written first: up to BROADCAST_IDS of
+    them are broadcast and no text is shuffled, more are joined by a shuffle of ``docs``. The helper column's name
+    clashes with none of ``docs``.
     """
-    hits = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("_hit")), "left_anti")
+    (hit,) = fresh(docs.columns, "hit")
+    hits = written(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(hit)).distinct(), "hits")
+    return docs.join(short(hits), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(hit)), "left_anti")
