@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, short, written
 
 #: A larger mean is drawn as a sum of Poisson numbers of at most this mean each.
 LARGEST_MEAN = 32.0
+#: Sources whose rates are broadcast, about a kilobyte each; more are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -35,7 +37,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | float = 0.7, size:
     ``weights`` names the target share of each source (others get none), or is a power to which the sources' counts
     are raised to get their shares. ``size`` is the expected output as a multiple of the input.
     """
-    counts = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count("*").alias("n"))
+    counts = written(docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count("*").alias("n")), "sources")
     if isinstance(weights, dict):
         share = F.lit(0.0)
         for name, w in weights.items():
@@ -54,11 +56,12 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | float = 0.7, s
     """Copies of the rows of ``docs`` in shuffled order; columns unchanged, with ``extras`` also copy_no and mix_key.
 
     A null source is a source of its own; a null id is hashed as an empty part. Rows that repeat an id get the same
-    number of copies each. Texts are not looked at. An empty table gives no rows. Extra columns are carried along;
-    helper columns get names that clash with none of them.
+    number of copies each, and stand next to each other in no defined order, as do rows with null ids. Texts are not
+    looked at and are shuffled once, into the order of the copies. An empty table gives no rows. Extra columns are
+    carried along; helper columns get names that clash with none of them.
     """
     source, mean, draws, cdf, n, copy, key = fresh(docs.columns, "mix_source", "mix_mean", "mix_draws", "mix_cdf", "mix_n", "copy_no", "mix_key")
-    table = rates(docs, weights, size, source_col).toDF(source, mean, draws, cdf)
+    table = short(written(rates(docs, weights, size, source_col).toDF(source, mean, draws, cdf), "rates"), BROADCAST_SOURCES)
     joined = docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     count = F.aggregate(
