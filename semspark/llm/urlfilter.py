@@ -11,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, short, written
 
 FOREVER = "9999-12-31"
+#: Intervals, and decided urls, that are broadcast; their number is checked, and more are joined by shuffles.
+BROADCAST_ROWS = 200_000
+#: Parts that the lookups of one key and day are dealt out to when they are joined by a shuffle.
+SALTS = 32
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -40,14 +44,15 @@ def _keys() -> str:
     return f"concat({domains}, array(named_struct('kind', 'host', 'value', host, 'rank', 10000)), {prefixes})"
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``captures`` (with url and fetched) and for each row blocked, matched_action, matched_kind, matched_value and
     matched_from: the entry that decides, null if none was active.
 
     A null or malformed url or a null day matches nothing and is not blocked. Rows that repeat are judged alike. An
     empty table of captures gives no rows; without entries nothing is blocked. Columns of the matches' names in
-    ``captures`` are replaced. Lookups are made distinct by key and day before they are joined, so a host with a
-    third of all captures weighs no more than its days.
+    ``captures`` are replaced. Urls are made distinct by day before they are looked up. A short list of intervals is
+    broadcast. A longer one is joined by a shuffle, first with the distinct keys and days, then, with each active entry
+    copied to SALTS parts, with the urls; so the urls of one domain on one day are no single task.
     """
     names = [c for c in captures.columns if c.lower() not in ("blocked", "matched_action", "matched_kind", "matched_value", "matched_from")]
     url, day, hit = fresh(names, "uf_url", "uf_day", "uf_hit")
@@ -59,12 +64,16 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
     ).where("host <> ''")
     keys = split.select("url", "day", F.explode(F.expr(_keys())).alias("k")).select("url", "day", "k.*")
-    spans = intervals(entries)
-    lookups = keys.select("kind", "value", "day").distinct()
-    active = lookups.join(spans, ["kind", "value"]).where("day >= valid_from and day < valid_to")
-    matched = keys.join(active, ["kind", "value", "day"])
+    spans = written(intervals(entries), "intervals")
+    if spans.count() <= broadcast_rows:
+        matched = keys.join(F.broadcast(spans), ["kind", "value"]).where("day >= valid_from and day < valid_to")
+    else:
+        lookups = keys.select("kind", "value", "day").distinct()
+        active = lookups.join(spans, ["kind", "value"]).where("day >= valid_from and day < valid_to")
+        active = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = keys.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(active, ["kind", "value", "day", "salt"])
     best = F.max(F.struct("rank", (F.col("action") == "block").alias("block"), "action", "kind", "value", "valid_from")).alias(hit)
-    decided = matched.groupBy("url", "day").agg(best).withColumnsRenamed({"url": url, "day": day})
+    decided = short(written(matched.groupBy("url", "day").agg(best).withColumnsRenamed({"url": url, "day": day}), "decided"), broadcast_rows)
     out = captures.select(*[F.col(f"`{c}`") for c in names]).join(decided, (F.col("url").cast("string") == F.col(url)) & (F.col("fetched").cast("date") == F.col(day)), "left")
     h = F.col(hit)
     return out.select(
