@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, short, written
 
 #: Argument types by name, as ``schema_of_variant`` tells them.
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
@@ -103,6 +103,23 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     return done.union(chained)
 
 
+def positions(placed: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, position) of the calls (conv_id, call_id, turn, level): 1, 2, ... in each conversation.
+
+    Calls are dealt out to ranges of their order, so a conversation with a third of all calls is spread over many
+    tasks. A call's position is its number within its range after the calls of its conversation in ranges before.
+    """
+    order = ["conv_id", "level", "turn", "call_id"]
+    ranged = written(placed.repartitionByRange(*order).withColumn("run", F.spark_partition_id()), "ranges")
+    runs = ranged.groupBy("conv_id", "run").agg(F.count("*").alias("calls"))
+    # A row for each conversation and range; only conversations cut by a range have several.
+    before = F.sum("calls").over(Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    later = written(runs.withColumn("before", before).where("before is not null").select("conv_id", "run", "before"), "before")
+    within = F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("level", "turn", "call_id"))
+    numbered = ranged.withColumn("within", within).join(short(later), ["conv_id", "run"], "left")
+    return numbered.select("conv_id", "call_id", "level", (F.col("within") + F.coalesce("before", F.lit(0))).cast("int").alias("position"))
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """(conv_id, call_id, level, position, tool, status, error, message), a row for each identifier of a conversation.
 
@@ -120,7 +137,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[
     made = written(one(made, "name", "raw"), "calls")
     answers = one(results.where(known).select("conv_id", "call_id", F.col("turn").alias("turn"), "content"), "content")
     answers = answers.select("conv_id", "call_id", "content", F.lit(True).alias("answered"))
-    levels = topological_levels(made)
+    levels = positions(made.select("conv_id", "call_id", "turn").join(topological_levels(made), ["conv_id", "call_id"]))
     joined = made.join(levels, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "full")
     joined = joined.withColumn("arguments", F.try_parse_json("raw"))
     is_call = F.col("needs").isNotNull()
@@ -140,8 +157,6 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[
         F.lit("}"),
     )
     out = joined.withColumn("error", error).withColumn("status", status).withColumn("message", message)
-    order = Window.partitionBy("conv_id", F.col("level").isNull()).orderBy("level", "turn", "call_id")
-    out = out.withColumn("position", F.when(F.col("level").isNotNull(), F.row_number().over(order)))
     return out.select("conv_id", "call_id", "level", "position", F.col("name").alias("tool"), "status", "error", "message")
 
 
