@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import short, written
 
 #: Rows of a part of a cell, about.
 PART_ROWS = 50_000
@@ -70,8 +70,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     """(doc_id, size, text_crc32, curve, shard, slot): every row of ``docs`` in one of ``shards`` runs of the curve.
 
     Dimensions are the string columns ``by`` and the size (UTF-8 bytes of the text plus 1), each cut at its quantiles
-    over all rows. Row counts of shards differ by one at most; slots run without gaps from 0. Rows of one cell are in
-    the order of a hash, then id. Null texts have size 1 and crc 0; null dimensions come before all others; rows that
+    over all rows. Row counts of shards differ by one at most; slots run without gaps from 0. Rows of one cell are cut
+    into parts of about ``part_rows`` by a hash, and are in the order of id within a part; which of several equal rows
+    comes first is not defined. Null texts have size 1 and crc 0; null dimensions come before all others; rows that
     repeat an id or a whole row are all kept; an empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -81,6 +82,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         *[F.col(f"`{c}`").cast("string").alias(k) for c, k in zip(by, names, strict=True)],
+        F.monotonically_increasing_id().alias("row"),
     )
     base = written(base, "sizes")
     levels = 1 << bits
@@ -95,11 +97,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     for k, c in enumerate(names):
         above = [F.col(c).isNotNull() if x is None else F.coalesce(F.col(c) > F.lit(x), F.lit(False)) for x in cuts[k]]
         base = base.withColumn(f"axis{k}", sum((a.cast("int") for a in above), F.lit(0)))
-    cells = base.withColumn("curve", hilbert_index([f"axis{k}" for k in range(len(names))], bits)).select("doc_id", "size", "text_crc32", "curve")
-    # A row for each occupied cell: at most 2 ** (bits * dimensions).
-    counted = cells.groupBy("curve").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
-    dealt = cells.join(F.broadcast(counted), "curve").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("parts")))
-    dealt = written(dealt.drop("parts"), "cells")
+    cells = base.withColumn("curve", hilbert_index([f"axis{k}" for k in range(len(names))], bits)).select("doc_id", "size", "text_crc32", "curve", "row")
+    # A row for each occupied cell: at most 2 ** (bits * dimensions), that many more only if the caller wants it.
+    counted = written(cells.groupBy("curve").agg(F.ceil(F.count("*") / part_rows).alias("parts")), "counted")
+    # The row's number is in the hash, so that rows that repeat, and copies of one row, are dealt out too.
+    dealt = cells.join(short(counted), "curve").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "row"), F.col("parts")))
+    dealt = written(dealt.drop("parts", "row"), "cells")
+    # One task adds up a number for each part: a row for every ``part_rows`` of the input.
     parts = dealt.groupBy("curve", "part").agg(F.count("*").alias("rows"))
     parts = parts.withColumn("first", F.sum("rows").over(Window.orderBy("curve", "part").rowsBetween(Window.unboundedPreceding, -1)))
     least, longer = divmod(total, shards)
