@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, written
@@ -35,6 +35,8 @@ SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 #: Texts that are encoded at once.
 BATCH_BYTES = 1 << 20
 DOCS_PER_SHARD = 20_000
+#: Shards whose sizes are added up in one task.
+SHARDS_PER_RUN = 4096
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -297,11 +299,12 @@ def write_shards(docs: DataFrame, tokenizer: str, root: str | None = None, id_co
     ordered = plain.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     made = ordered.mapInArrow(_write_shard(root, dictionary, tokenizer, end_id), "shard long, file string, n_docs long, n_ids long, doc_ids array<long>")
     made = written(made, "shards")
-    starts, total = [], 0
-    for row in made.select("shard", "n_ids").orderBy("shard").collect():  # a row for each shard file
-        starts.append((row.shard, total))
-        total += row.n_ids
-    known = spark.createDataFrame(starts, "shard long, start long")
+    # Sums of all shards before, first in runs of shards, then over the runs, of which there are few.
+    sizes = made.select("shard", "n_ids", F.expr(f"shard div {SHARDS_PER_RUN}").alias("run"))
+    runs = sizes.groupBy("run").agg(F.sum("n_ids").alias("ids"))
+    runs = runs.select("run", F.coalesce(F.sum("ids").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("n_ids").over(Window.partitionBy("run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = sizes.withColumn("own", own).join(runs, "run").select("shard", (F.col("before") + F.col("own")).alias("start"))
     made.join(known, "shard").withColumn("root", F.lit(root)).write.parquet(f"{root}/manifest")
     return spark.read.parquet(f"{root}/manifest")
 
