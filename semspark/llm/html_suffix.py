@@ -1,12 +1,14 @@
 """Main text of web pages: page structure first, then a suffix array over the pages of a host.
 
 Markup is cut into blocks of visible words. Elements whose tag, role or class says that they are menus, adverts,
-notices, forms or comments are left out; blocks inside an article or main element are marked as content. The word
+notices, forms or comments are left out; blocks inside an article or main element are marked as content. Inside one, an
+element whose class or id only shares a part with such a name ("related-work", "social-history") is doubtful. The word
 streams of a host's pages are then concatenated and a suffix array shows the long runs of words that recur on several
 pages. Large hosts have a suffix array for each group of pages; these only propose runs, whose pages are then counted
 over the whole host. Words covered by runs on enough pages are boilerplate; what is left, the unique runs, stays.
-Marked content is not cut: what an author put into the article counts more than that other pages quote it. On a page
-with marked content nothing outside it is main text.
+Marked content is not cut, as what an author put into the article counts more than that other pages quote it, but for
+its doubtful elements: they stay as far as they do not recur. On a page with marked content nothing outside it is main
+text.
 """
 
 from __future__ import annotations
@@ -46,17 +48,37 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comments-area commentlist cookie cookies consent disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup popover promo promoted promotion related recommended replies respond reviews share sharing sidebar signup skip-link social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Parts that say nothing of an element: a name of these and of parts in _NAMES alone tells as much as those.
+_PLAIN = frozenset("area articles bar block bottom box button buttons container content footer form header icons inline inner items left link links list main outer page panel posts right section site slot text title top unit wrap wrapper".split())
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LANDMARKS = frozenset(("article", "main"))
-_NAME = re.compile(r"[\s_]+")
-_PART = re.compile(r"[\s_-]+")
+_NAME = re.compile(r"\s+")
+_PART = re.compile(r"[_-]+")
 
 
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
 
 
+def _named(classes: str, ident: str, inside: bool) -> int:
+    """1 if a class or id says that the element is not main text, 3 if it is doubtful, 0 if it says nothing.
+
+    A class tells by its last part ("top-ad"); an id, which may be made from a title, only as a whole.
+    """
+    doubtful = 0
+    for name, last in (*((c, True) for c in _NAME.split(classes)), *((i, False) for i in _NAME.split(ident))):
+        if name in _NAMES:
+            return 1
+        parts = [p for p in _PART.split(name) if p]
+        if not _NAMES.isdisjoint(parts):
+            if not inside or last and parts[-1] in _NAMES or all(p in _NAMES or p in _PLAIN for p in parts):
+                return 1
+            doubtful = 3
+    return doubtful
+
+
 def _role(tag: str, rest: str, inside: bool) -> int:
-    """1: not main text, 2: marks content, 0: neither."""
+    """1: not main text, 2: marks content, 3: doubtful, 0: none of these."""
     if tag in _CHROME or tag == "header" and not inside:
         return 1
     if rest and not rest.isspace():
@@ -65,25 +87,26 @@ def _role(tag: str, rest: str, inside: bool) -> int:
         if role in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
             return 1
         if tag not in ("html", "body", "article", "main"):
-            names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-            if names != " " and (_NAMES & set(_NAME.split(names)) or _NAMES & set(_PART.split(names))):
-                return 1
+            ident = "" if tag in _TITLES and inside else a.get("id", "")
+            if kind := _named(a.get("class", "").lower(), ident.lower(), inside):
+                return kind
         if role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody":
             return 2
     return 2 if tag in _LANDMARKS else 0
 
 
-def blocks_of(page: str | None) -> list[tuple[str, bool]]:
-    """(text, marked as content) of each block of visible words, in page order, without chrome.
+def blocks_of(page: str | None) -> list[tuple[str, int]]:
+    """(text, 0, 1 if marked as content, 2 if marked but doubtful) of each block of visible words, in page order,
+    without chrome.
 
     White space within a block is one space; character references are decoded. Unclosed and misnested elements are
     closed by the elements around them, as browsers do.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     if not page:
         return out
     stack: list[tuple[str, int]] = []
-    hidden = marked = 0
+    hidden = marked = doubtful = 0
     current: list[str] = []
     at = 0
 
@@ -91,15 +114,16 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         if current:
             words = " ".join(htmllib.unescape("".join(current)).split())
             if words:
-                out.append((words, marked > 0))
+                out.append((words, (1 + (doubtful > 0)) if marked else 0))
             current.clear()
 
     def close(k: int):
-        nonlocal hidden, marked
+        nonlocal hidden, marked, doubtful
         while len(stack) > k:
             kind = stack.pop()[1]
             hidden -= kind == 1
             marked -= kind == 2
+            doubtful -= kind == 3
 
     def innermost(tags, stops=()) -> int:
         for k in range(len(stack) - 1, -1, -1):
@@ -141,6 +165,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         stack.append((tag, kind))
         hidden += kind == 1
         marked += kind == 2
+        doubtful += kind == 3
     if at < len(page) and not hidden:
         current.append(page[at:])
     flush()
@@ -248,7 +273,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "host": part.column(2),
                     "tie": part.column(4),
                     "blocks": pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
-                    "marked": pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_())),
+                    "marked": pa.array([[m for _, m in f] for f in found], pa.list_(pa.int32())),
                 }
             )
 
@@ -316,12 +341,14 @@ def _unique_runs(run: int):
                 at, _, values = run_hashes(words, block, row, run)
                 covered = _covered(at[np.isin(values, np.asarray(often.column("run")))], run, _laid_out(words, block, row)[0])
         texts, removed, b = [], [], 0
-        for blocks in group.column("blocks").to_pylist():
-            kept, gone = [], 0
-            for text in blocks:
+        for blocks, marked in zip(group.column("blocks").to_pylist(), group.column("marked").to_pylist(), strict=True):
+            kept, gone, least = [], 0, int(any(marked))
+            for text, kind in zip(blocks, marked, strict=True):
                 cut = covered[index[b] : index[b + 1]]
                 b += 1
-                if cut.any():
+                if kind < least:  # outside the content that the page marks
+                    continue
+                if kind != 1 and cut.any():
                     # Words here are those of ``word_hashes``; blocks hold single spaces only, but for odd spaces.
                     words = re.findall(r"[^\x20\x09-\x0D]+", text)
                     left = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
@@ -365,8 +392,8 @@ def frequent_runs(pages: DataFrame, run: int, least_pages: int, share: float, gr
 def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_PAGES, share: float = RUN_SHARE, group_pages: int = GROUP_PAGES) -> DataFrame:
     """(page_id, url, text, n_removed_tokens) of each row of ``pages`` (page_id, url, html).
 
-    Blocks are joined by two line feeds. n_removed_tokens counts the words outside marked content that recurring runs
-    covered. Rows that repeat are all returned; rows of one page_id and url, and pages of the same blocks, count as one
+    Blocks are joined by two line feeds. n_removed_tokens counts the words that were cut because recurring runs covered
+    them, doubtful or on pages without marked content. Rows that repeat are all returned; rows of one page_id and url, and pages of the same blocks, count as one
     page. Null or empty html, and pages without visible words, give an empty text. Pages without a url share a
     host. A run is cut if it is on ``least_pages`` pages and on the given share of the host's pages that have words,
     marked content included. Hosts with more than ``group_pages`` pages are dealt out to groups of about that size, so
@@ -380,9 +407,9 @@ def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_
         F.col("html").cast("string").alias("html"),
         F.xxhash64("page_id", "url").alias("tie"),
     )
-    parsed = written(plain.mapInArrow(_parse, "page_id long, url string, host string, tie long, blocks array<string>, marked array<boolean>"), "parsed")
-    uncut = F.exists("marked", lambda m: m) | (F.size("blocks") == 0)
-    own = F.transform(F.filter(F.arrays_zip("blocks", "marked"), lambda b: b["marked"]), lambda b: b["blocks"])
+    parsed = written(plain.mapInArrow(_parse, "page_id long, url string, host string, tie long, blocks array<string>, marked array<int>"), "parsed")
+    uncut = (F.exists("marked", lambda m: m == 1) | (F.size("blocks") == 0)) & ~F.exists("marked", lambda m: m == 2)
+    own = F.transform(F.filter(F.arrays_zip("blocks", "marked"), lambda b: b["marked"] == 1), lambda b: b["blocks"])
     whole = parsed.where(uncut).select("page_id", "url", F.array_join(own, "\n\n").alias("text"), F.lit(0).cast("long").alias("n_removed_tokens"))
     # Only hosts with pages to cut are counted. A short list is broadcast.
     hosts = written(parsed.where(~uncut).select("host").distinct(), "hosts")
@@ -394,7 +421,7 @@ def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_
     streams = seen.groupBy("host", F.xxhash64("blocks")).agg(F.min("tie").alias("page"), F.first("blocks").alias("blocks")).select("host", "page", "blocks")
     often, sizes, few = frequent_runs(written(streams, "streams"), run, least_pages, share, group_pages)
     sizes = F.broadcast(sizes) if few else sizes
-    dealt = parsed.where(~uncut).join(sizes, "host").select("page_id", "url", "host", "blocks", F.pmod("tie", "groups").alias("part"))
+    dealt = parsed.where(~uncut).join(sizes, "host").select("page_id", "url", "host", "blocks", "marked", F.pmod("tie", "groups").alias("part"))
     spread = often.join(sizes, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "run")
     cut = dealt.groupBy("host", "part").cogroup(spread.groupBy("host", "part")).applyInArrow(_unique_runs(run), "page_id long, url string, text string, n_removed_tokens long")
     return whole.union(cut)
