@@ -76,6 +76,16 @@ def _features(known: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np.nda
         yield first, np.concatenate([_present(hashes, index, known).astype(float), _figures(data, offsets, hashes[0], index)], axis=1)
 
 
+def with_site(docs: DataFrame, url_col: str = "url", host_col: str = "host", path_col: str = "path") -> DataFrame:
+    """``docs`` with the host of each url, in small letters, and the first part of its path ('' if it has none). A null
+    url, and what is no url, has null for both."""
+    url = F.col(f"`{url_col}`").cast("string")
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/*([^/?#]*)", 1)
+    known = host != ""
+    return docs.withColumns({host_col: F.when(known, host), path_col: F.when(known, path)})
+
+
 @dataclass
 class Model:
     words: np.ndarray
