@@ -1,10 +1,12 @@
 import json
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from semspark.llm import empirical_bayes, toolchat, urlfilter
+from semspark.llm import empirical_bayes, texthash, toolchat, urlfilter
 
 
 def test_url_filter_by_day(spark):
@@ -18,6 +20,8 @@ def test_url_filter_by_day(spark):
     captures = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, fetched string, want boolean").withColumn("blocked", F.lit("clash"))
     got = urlfilter.filter_urls(captures, entries).collect()
     assert len(got) == len(rows) and all(r.blocked == r.want for r in got), [r for r in got if r.blocked != r.want]
+    salted = urlfilter.filter_urls(captures, entries, broadcast_rows=0).collect()
+    assert sorted(map(tuple, salted), key=str) == sorted(map(tuple, got), key=str)
     assert urlfilter.filter_urls(captures, entries.limit(0)).where("blocked").count() == 0
     assert urlfilter.filter_urls(captures.limit(0), entries).count() == 0
 
@@ -68,6 +72,82 @@ def test_levels_of_chains_and_branches(spark):
     assert max(want.values()) >= 39 and len(want) < len(rows)
 
 
+def test_positions_of_a_large_conversation(spark):
+    calls = spark.range(3000).selectExpr("if(id < 2900, 1, id % 7) as conv_id", "concat('c', id * 7919 % 3000) as call_id", "id % 50 as turn", "cast(id % 4 as int) as level").repartition(6)
+    rows = calls.collect()
+    want = {}
+    for conv in {r.conv_id for r in rows}:
+        own = sorted((r.level, r.turn, r.call_id) for r in rows if r.conv_id == conv)
+        want |= {(conv, c): k for k, (_, _, c) in enumerate(own, 1)}
+    got = toolchat.positions(calls).collect()
+    assert len(got) == len(rows) and {(r.conv_id, r.call_id): r.position for r in got} == want
+
+
+def _posteriors(rows, evidence):
+    """Host and path rates in plain Python: (doc_id -> host rate, path rate, p_bad)."""
+    p = {r[0]: 1 / (1 + math.exp(-max(-30, min(30, evidence[r[0]])))) for r in rows}
+    groups = lambda key: {k: [p[r[0]] for r in rows if key(r) == k] for k in {key(r) for r in rows}}
+
+    def strength(found, parent):
+        n = sum(len(v) for v in found.values())
+        q = sum(len(v) * (sum(v) / len(v) - parent(k)) ** 2 for k, v in found.items())
+        noise = sum(parent(k) * (1 - parent(k)) for k in found)
+        tau2 = max(0.0, (q - noise) / n)
+        spread = sum(len(v) * parent(k) * (1 - parent(k)) for k, v in found.items()) / n
+        return min(1e6, max(1.0, spread / tau2 - 1)) if tau2 > 0 else 1e6
+
+    rate = sum(p.values()) / len(p)
+    hosts, paths = groups(lambda r: r[2]), groups(lambda r: (r[2], r[3]))
+    k = strength(hosts, lambda h: rate)
+    host_rate = {h: (sum(v) + k * rate) / (len(v) + k) for h, v in hosts.items()}
+    k = strength(paths, lambda hp: host_rate[hp[0]])
+    path_rate = {hp: (sum(v) + k * host_rate[hp[0]]) / (len(v) + k) for hp, v in paths.items()}
+    out = {}
+    for r in rows:
+        q = path_rate[r[2], r[3]]
+        x = evidence[r[0]] + math.log(q / (1 - q)) - math.log(rate / (1 - rate))
+        out[r[0]] = (host_rate[r[2]], q, 1 / (1 + math.exp(-x)))
+    return out
+
+
+def test_posteriors_match_plain_python_and_turn_verdicts(spark):
+    """Hosts and paths come from urls; the model is given, so that the posteriors are known to the last place."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(1500):
+        host = rng.choice(["spam.org"] * 4 + ["news.org"] * 12 + [None] + [f"tiny{rng.randrange(60)}.org"] * 3)
+        path = rng.choice(["a", "b", "b", ""]) if host else None
+        odds = {"spam.org": 0.85 if path == "b" else 0.5, "news.org": 0.02}.get(host, 0.15)
+        words = ["foul"] * (rng.random() < odds) + ["doubt"] * (rng.random() < 0.5) + ["plain", "word"]
+        rows.append((i, " ".join(words), host, path, host and f"https://{host.upper()}/{path}/{i}.html?x#y"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, p string, url string")
+    sited = empirical_bayes.with_site(docs.drop("h", "p"))
+    # A url without a path ends in its page's name; here the first part of such a path is the page itself.
+    sited = sited.withColumn("path", F.when(F.col("path").endswith(".html"), "").otherwise(F.col("path")))
+    got = {r.doc_id: (r.host, r.path) for r in sited.collect()}
+    assert all(got[r[0]] == (r[2], r[3]) for r in rows)
+    hashes = np.sort(np.concatenate([texthash.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0] for w in (b"foul", b"doubt")]))
+    foul = texthash.word_hashes(np.frombuffer(b"foul", np.uint8), np.array([0, 4]))[0][0]
+    n = len(hashes) + len(empirical_bayes.FIGURES)
+    weights = np.array([-2.5, *(2.8 if h == foul else 1.7 for h in hashes), *[0.0] * len(empirical_bayes.FIGURES)])
+    model = empirical_bayes.Model(hashes, np.zeros(n), np.ones(n), weights, 0.1)
+    evidence = {r[0]: -2.5 + 2.8 * ("foul" in r[1]) + 1.7 * ("doubt" in r[1]) for r in rows}
+    want = _posteriors(rows, evidence)
+    result = empirical_bayes.classify(sited, None, "host", "path", model=model).collect()
+    assert len(result) == len(rows)
+    for r in result:
+        host, path, p_bad = want[r.doc_id]
+        assert abs(r.host_rate - host) < 1e-9 and abs(r.path_rate - path) < 1e-9 and abs(r.p_bad - p_bad) < 1e-9
+    site = {r[0]: r[2] for r in rows}
+    turned = [r for r in result if r.kept != (r.evidence < 0.5)]
+    assert sum(not r.kept and site[r.doc_id] == "spam.org" for r in turned) > 20 and any(r.kept for r in turned)
+    whole = sum(r.evidence for r in result) / len(result)
+    sizes = {h: sum(s == h for s in site.values()) for h in set(site.values())}
+    for r in result:  # sparse hosts stay near the corpus's rate, whatever their few documents are
+        if sizes[site[r.doc_id]] <= 2 and site[r.doc_id]:
+            assert abs(r.host_rate - whole) < 0.12
+
+
 def test_hierarchical_bayes(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -93,12 +93,11 @@ def test_large_bucket_needs_no_pairs_and_loses_no_link(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {i: find(i) for i in range(len(texts))}
 
 
-def test_token_shards_round_trip(spark):
+def test_token_shards_round_trip(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     docs = corpus(spark)
     own = Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
     root = new_path(spark, "t")
     tokenfiles.write_shards(docs, tokenizer_path(), root, docs_per_shard=7)
     got = tokenfiles.read_digest(spark, root).orderBy("start").collect()
@@ -113,11 +112,144 @@ def test_token_shards_round_trip(spark):
     with pytest.raises(ValueError):
         m = spark.read.parquet(f"{root}/manifest").first()
         tokenfiles.ShardReader(f"{root}/{m.file}", b"another")
+    total = spark.read.parquet(f"{root}/manifest").agg(F.sum("n_ids")).first()[0]
+    assert total == at and tokenfiles.SHARDS_PER_RUN > 1
+    monkeypatch.setattr(tokenfiles, "SHARDS_PER_RUN", 2)
+    again = new_path(spark, "t")
+    tokenfiles.write_shards(docs.withColumns({"shard": F.lit(1), "tie": F.lit(2), "raw": F.lit(3)}), tokenizer_path(), again, docs_per_shard=7)
+    assert sorted(map(tuple, tokenfiles.read_digest(spark, again).collect()), key=str) == sorted(map(tuple, got), key=str)
     empty = new_path(spark, "t")
     tokenfiles.write_shards(docs.limit(0), tokenizer_path(), empty)
     assert tokenfiles.read_digest(spark, empty).count() == 0
 
 
+def morse(k, other=False):
+    """Words of two letters that have one value under any polynomial hash modulo 2 ** 64 once they are long enough."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word.translate(str.maketrans("ab", "ba")) if other else word
+
+
+def test_encoder_is_the_plain_call():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(8)
+    letters = "ab cd E.é×\n'<|>12ß_日 \t"
+    texts = [morse(11), morse(11, True), f"q {morse(5)} x", f"q {morse(5, True)} x", f"q {morse(6)} x", f"q {morse(6, True)}b", "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>", "<|endoftext|", "", " ", "it's", "é×÷ ß"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [f"{'x' * n} {'y' * n}" for n in (7, 8, 9, 15, 16, 17, 62, 63, 64, 65, 66, 200)] + ["word " * 30_000 + "end"]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = tokenfiles.ByteLevelEncoder(tokenizer_path())
+    assert [x.tolist() for x in encoder.encode(texts)] == want  # all are new
+    assert [x.tolist() for x in encoder.encode(texts)] == want  # all are known
+
+
+def test_encoder_survives_equal_hashes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(tokenfiles, "span_hashes", lambda data, starts, ends: [(ends - starts).astype(np.uint64)])
+    texts = ["one two six", "ten ant bee", "plain letters", "other letters", "one two six"]
+    encoder = tokenfiles.ByteLevelEncoder(tokenizer_path())
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_unlike_words_are_no_copies(spark):
+    docs = spark.createDataFrame([(1, morse(11)), (2, morse(11, True)), (3, f"a b c d {morse(7)}"), (4, f"a b c d {morse(7, True)}"), (5, morse(11).upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_groups_of_several_blocks_lose_no_link(spark, monkeypatch):
+    """Families of like texts that share bands with others: each centre's members make many small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(90)]
+    texts = []
+    for f in range(14):
+        own = common + [f"f{f}x{i}" for i in range(30)]
+        for _ in range(rng.choice([1, 2, 12])):
+            w = own.copy()
+            for _ in range(rng.choice([0, 1, 3])):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[5]), (0, texts[5]), (3, None)], "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for i, j in [*links, (0, 5)]:
+        lo, hi = sorted((find(i), find(j)))
+        parent[hi] = lo
+    got = minhash.near_duplicates(docs).collect()
+    assert all(r.component_id == find(r.doc_id) for r in got) and len({find(i) for i in parent}) > 3
+    assert sorted(r.doc_id for r in got if r.kept) == sorted({find(i) for i in parent})
+    left = minhash.drop_near_duplicates(docs)
+    assert sorted(r.doc_id for r in left.collect()) == sorted({find(i) for i in parent})
+
+
+def test_items_of_any_length_are_found(spark):
+    rng = random.Random(15)
+    items = ["".join(rng.choice("abcdefgh ") for _ in range(n - 2)).strip() for n in [*range(5, 28)] * 3] + ["ab", "日本", "q"]
+    items = [decontamination.normalised(t).decode() for t in items]
+    docs = []
+    for t in items:
+        edited = t[: len(t) // 2] + "z" + t[len(t) // 2 + 1 :]
+        docs += [t, f"x{t}x", f"some words {t.upper()}! more", f"some {edited} more", edited, f"some {t[:-1]} more", f"y {t[1:]}"]
+    docs.append("long text " * 20_000 + f" {items[30]} end")
+
+    def edits(item, text):
+        row = [0] * (len(text) + 1)
+        for k, c in enumerate(item, 1):
+            new = [k]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontamination.contaminated(frame, bench).collect()}
+    want = {}
+    for j, t in enumerate(items):
+        raw = decontamination.normalised(t)
+        for i, d in enumerate(docs[:-1]):
+            text = decontamination.normalised(d)
+            if 0 < len(raw) < decontamination.Q:
+                if b" " + raw + b" " in b" " + text + b" ":
+                    want[i, j] = 0
+            elif raw and (e := edits(raw, text)) <= int(len(raw) * decontamination.EDITS):
+                want[i, j] = e
+    assert {k: v for k, v in got.items() if k[0] < len(docs) - 1} == want
+    assert got[len(docs) - 1, 30] == 0 and any(v == 1 for v in want.values())
+
+
+def test_many_items_with_one_phrase_are_searched_in_parts(monkeypatch):
+    monkeypatch.setattr(decontamination, "HITS", 500)
+    phrase = "a phrase that all of the items begin with "
+    items = [(i, f"{phrase}{i:04d} end {i * 7919 % 10007} of item") for i in range(200)]
+    (index,) = decontamination.indexes(items)
+    data = np.frombuffer(b" " + decontamination.normalised(phrase * 3 + items[77][1]) + b" \n", np.uint8)
+    assert decontamination._found(index, data, np.array([0, len(data)]))[0, 77] == 0
+    assert sum(len(w) for w, _, _ in index.hits(data)) > 10_000 and max(len(w) for w, _, _ in index.hits(data)) < 1000
+
+
+def test_drop_contaminated_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "the whole item text is here now", 5), (2, None, 6), (3, "", 7), (None, "clean text", 8), (4, "clean", 9), (4, "clean", 9)], "doc_id long, text string, hit long").withColumn("_hit", F.lit(1))
+    bench = spark.createDataFrame([(1, "whole item text is here"), (2, None), (3, "!!")], "item_id long, text string")
+    left = decontamination.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.hit) for r in left.collect()) == [(0, 8), (2, 6), (3, 7), (4, 9), (4, 9)]
+    assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == 6 and decontamination.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(5)
     items = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(12, 40))) for _ in range(25)]
@@ -225,9 +357,13 @@ def test_poisson_replication(spark):
 
 def test_html_blocks():
     page = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>H</header><nav><ul><li>M</ul></nav><div class="ad">A</div><main><article><header><h1>Head &amp; shoulders</h1></header><p><b>One\n  two<br>three<p>Four<script>var a="</p>";</script><aside>S</aside><form>F</form><!-- c --><div id="comments"><p>C</div></article></main><div class="cookie-notice">N</div><footer>F</footer>'
-    assert html_suffix.blocks_of(page) == [("Head & shoulders", True), ("One two three", True), ("Four", True)]
-    assert html_suffix.blocks_of(None) == [] and html_suffix.blocks_of("<p>a &lt;b&gt; c<div>d") == [("a <b> c", False), ("d", False)]
-    assert html_suffix.blocks_of("plain < text") == [("plain < text", False)]
+    assert html_suffix.blocks_of(page) == [("Head & shoulders", 1), ("One two three", 1), ("Four", 1)]
+    assert html_suffix.blocks_of(None) == [] and html_suffix.blocks_of("<p>a &lt;b&gt; c<div>d") == [("a <b> c", 0), ("d", 0)]
+    assert html_suffix.blocks_of("plain < text") == [("plain < text", 0)]
+    page = '<article>Intro<section id="related-work">R</section><h2 id="comments">C</h2><div class="social-history">S</div><div class="share-buttons">X</div><div class="top-ad">X</div><p class="notice">X</p><ul id="comments"><li>X</ul></article><div class="foo-ad-x">X</div>'
+    assert html_suffix.blocks_of(page) == [("Intro", 1), ("R", 2), ("C", 1), ("S", 2)]
+    long = "<article>" + "<p>word &amp; word</p>" * 40_000 + "</article>"
+    assert html_suffix.blocks_of(long) == [("word & word", 1)] * 40_000
 
 
 def test_suffix_array_finds_what_recurs():
@@ -266,6 +402,24 @@ def test_pages_without_marked_content_lose_their_boilerplate(spark):
     assert html_suffix.extract_text(pages.limit(0)).count() == 0
 
 
+def test_doubtful_parts_of_articles_stay_unless_they_recur(spark):
+    rng = random.Random(6)
+    story = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    advert = "order two of these now and get a third one free"
+    quote = "a saying that all of the writers of this site like to quote"
+    rows, want = [], {}
+    for k in range(20):
+        own, part = story(20), story(9)
+        rows.append((k, f"http://a.org/{k}", f'<nav>menu</nav><article><p>{own}</p><p>{quote}</p><div class="sponsored-word">{advert}</div><section id="related-work">{part}</section></article><div>{quote}</div>'))
+        want[k] = f"{own}\n\n{quote}\n\n{part}"
+    rows.append((50, "http://b.org/1", f'<article><p>one</p><div class="sponsored-word">{advert}</div></article>'))
+    want[50] = f"one\n\n{advert}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (4, 256):
+        got = html_suffix.extract_text(pages, group_pages=size).collect()
+        assert {r.page_id: r.text for r in got} == want and sum(r.n_removed_tokens for r in got) == 20 * len(advert.split())
+
+
 def test_recurrence_is_counted_over_the_whole_host(spark):
     rng = random.Random(5)
     footer, rare = "this footer is on many of the pages here", "this other line is on too few pages here"
@@ -299,6 +453,21 @@ def test_sketch_drops_no_more_than_one_pair_in_ten_million():
     assert least == 69 and lost < 1e-7
 
 
+def test_hilbert_shards_prune_by_each_dimension_and_split_copies(spark):
+    rng = random.Random(3)
+    rows = [(k, f"site{rng.randrange(16):02d}", f"l{rng.randrange(8)}", "x" * rng.randrange(2000)) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumns({"row": F.lit(1), "curve": F.lit(2), "part": F.lit(3), "size": F.lit("clash")})
+    got = hilbert.hilbert_shards(docs, shards=64).select("doc_id", "size", "shard").join(docs.drop("size"), "doc_id")
+    bounds = got.groupBy("shard").agg(F.min("source").alias("s0"), F.max("source").alias("s1"), F.min("lang").alias("l0"), F.max("lang").alias("l1"), F.min("size").alias("z0"), F.max("size").alias("z1")).collect()
+    touched = [sum(b.s0 <= "site03" <= b.s1 for b in bounds), sum(b.l0 <= "l2" <= b.l1 for b in bounds), sum(b.z0 <= 300 <= b.z1 for b in bounds)]
+    assert len(bounds) == 64 and all(t <= 36 for t in touched), touched
+    both = sum(b.s0 <= "site03" <= b.s1 and b.l0 <= "l2" <= b.l1 and b.z0 <= 300 <= b.z1 for b in bounds)
+    assert both <= 6, both
+    one = spark.createDataFrame([(7, "s", "l", "same")] * 300, "doc_id long, source string, lang string, text string")
+    placed = hilbert.hilbert_shards(one, part_rows=10).collect()
+    assert sorted((r.shard, r.slot) for r in placed) == [(k, j) for k in range(8) for j in range(38 if k < 4 else 37)]
+
+
 def test_hilbert_dimensions_are_whole_strings(spark):
     rows = [(k, f"https://www.example.org/{k % 4}" if k % 5 else None, "en", "same text") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
