@@ -43,6 +43,12 @@ def parse_literal(text: str) -> object:
         return json.loads(text)
 
 
+class Answer(str):
+    """An answer's text, with the value that it was read as."""
+
+    value: object = None
+
+
 def read_answers(reply: str, wanted: Iterable[int]) -> dict[int, str]:
     """Answers by index. Pieces that are malformed, unknown or come twice are passed over; the first one counts."""
     open_ = set(wanted)
@@ -53,7 +59,10 @@ def read_answers(reply: str, wanted: Iterable[int]) -> dict[int, str]:
         if not bar or not m or int(m[1]) not in open_:
             continue
         try:
-            out[int(m[1])] = str(parse_literal(value))
+            read = parse_literal(value)
+            answer = Answer(read)
+            answer.value = read
+            out[int(m[1])] = answer
         except (ValueError, RecursionError):
             continue
         open_.discard(int(m[1]))
@@ -62,6 +71,8 @@ def read_answers(reply: str, wanted: Iterable[int]) -> dict[int, str]:
 
 def find_dict(answer: str) -> dict:
     """The first dictionary in an answer, nested or not. Raises ValueError if there is none."""
+    if isinstance(answer, Answer) and isinstance(answer.value, dict):
+        return answer.value
     start = answer.find("{")
     while start >= 0:
         depth, quote, k = 0, "", start
