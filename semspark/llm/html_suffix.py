@@ -1,18 +1,20 @@
-"""Main text of web pages: page structure first, then a suffix array over the pages of a host.
-
-Markup is cut into blocks of visible words. Elements whose tag, role or class says that they are menus, adverts,
-notices, forms or comments are left out; blocks inside an article or main element are marked as content. Inside one, an
-element whose class or id only shares a part with such a name ("related-work", "social-history") is doubtful. The word
-streams of a host's pages are then concatenated and a suffix array shows the long runs of words that recur on several
-pages. Large hosts have a suffix array for each group of pages; these only propose runs, whose pages are then counted
-over the whole host. Words covered by runs on enough pages are boilerplate; what is left, the unique runs, stays.
-Marked content is not cut, as what an author put into the article counts more than that other pages quote it, but for
-its doubtful elements: they stay as far as they do not recur. On a page with marked content nothing outside it is main
-text.
+"""Main text of web pages: a suffix array over the pages of a host, beside the pages' structure.
+
+Markup is cut into blocks of visible words. Blocks inside an article or main element are content. Elements whose tag,
+role or class says that they are menus, adverts, notices, forms or comments are chrome. Inside content, an element whose
+class or id only shares a part with such a name ("related-work", "social-history") is doubtful.
+
+The word streams of a host's pages, without their content, are concatenated, and a suffix array shows the long runs of
+words that recur on several pages. Large hosts have a suffix array for each group of pages; these only propose runs,
+whose pages are then counted over the whole host. Words covered by runs on enough pages are boilerplate and go. Of what
+is left, the unique runs, those in chrome go as well, as an advert or a comment may be on one page only; the others
+stay. Content is not cut, as what an author put into the article counts more than that other pages quote it. On a page
+with content nothing outside it is main text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 from collections.abc import Iterator
@@ -29,8 +31,9 @@ from .texthash import U, buffers, mix, word_hashes
 RUN_WORDS, RUN_PAGES, RUN_SHARE = 6, 3, 0.05
 #: Pages of a host that share a suffix array, about; larger hosts are dealt out to several.
 GROUP_PAGES = 256
-#: Hosts whose numbers of pages and groups are broadcast; a longer list is joined by a shuffle.
-BROADCAST_HOSTS = 100_000
+#: Hosts whose numbers of pages and groups are broadcast, and frequent runs that each task gets; more are joined by
+#: shuffles.
+BROADCAST_HOSTS, BROADCAST_RUNS = 100_000, 500_000
 
 _RAW = r"script|style|template|noscript|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
 _PIECE = re.compile(
@@ -43,7 +46,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_P = _BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"} | {"li"}
-_CHROME = frozenset("nav footer aside form menu button head dialog search".split())
+_CHROME = frozenset("nav footer aside form menu button dialog search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comments-area commentlist cookie cookies consent disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup popover promo promoted promotion related recommended replies respond reviews share sharing sidebar signup skip-link social sponsor sponsored subscribe toolbar topbar widget widgets".split()
@@ -78,13 +81,15 @@ def _named(classes: str, ident: str, inside: bool) -> int:
 
 
 def _role(tag: str, rest: str, inside: bool) -> int:
-    """1: not main text, 2: marks content, 3: doubtful, 0: none of these."""
-    if tag in _CHROME or tag == "header" and not inside:
-        return 1
+    """1: chrome, 2: marks content, 3: doubtful, 4: not visible, 0: none of these."""
+    if tag == "head":
+        return 4
     if rest and not rest.isspace():
         a = _attributes(rest)
         role = a.get("role", "").lower()
-        if role in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+            return 4
+        if tag in _CHROME or tag == "header" and not inside or role in _ROLES:
             return 1
         if tag not in ("html", "body", "article", "main"):
             ident = "" if tag in _TITLES and inside else a.get("id", "")
@@ -92,12 +97,18 @@ def _role(tag: str, rest: str, inside: bool) -> int:
                 return kind
         if role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody":
             return 2
+    if tag in _CHROME or tag == "header" and not inside:
+        return 1
     return 2 if tag in _LANDMARKS else 0
 
 
+#: Kinds of blocks.
+PLAIN, CONTENT, DOUBTFUL, CHROME = range(4)
+
+
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
-    """(text, 0, 1 if marked as content, 2 if marked but doubtful) of each block of visible words, in page order,
-    without chrome.
+    """(text, kind) of each block of visible words, in page order; words of chrome inside a block make one of their own
+    after it.
 
     White space within a block is one space; character references are decoded. Unclosed and misnested elements are
     closed by the elements around them, as browsers do.
@@ -106,22 +117,25 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
     if not page:
         return out
     stack: list[tuple[str, int]] = []
-    hidden = marked = doubtful = 0
+    hidden = chrome = marked = doubtful = 0
     current: list[str] = []
+    other: list[str] = []
     at = 0
 
     def flush():
-        if current:
-            words = " ".join(htmllib.unescape("".join(current)).split())
-            if words:
-                out.append((words, (1 + (doubtful > 0)) if marked else 0))
-            current.clear()
+        for parts, kind in ((current, (DOUBTFUL if doubtful else CONTENT) if marked else PLAIN), (other, CHROME)):
+            if parts:
+                words = " ".join(htmllib.unescape("".join(parts)).split())
+                if words:
+                    out.append((words, kind))
+                parts.clear()
 
     def close(k: int):
-        nonlocal hidden, marked, doubtful
+        nonlocal hidden, chrome, marked, doubtful
         while len(stack) > k:
             kind = stack.pop()[1]
-            hidden -= kind == 1
+            hidden -= kind == 4
+            chrome -= kind == 1
             marked -= kind == 2
             doubtful -= kind == 3
 
@@ -135,7 +149,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
 
     for m in _PIECE.finditer(page):
         if m.start() > at and not hidden:
-            current.append(page[at : m.start()])
+            (other if chrome else current).append(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -144,6 +158,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             flush()
         elif tag == "br":
             current.append(" ")
+            other.append(" ")
         if tag in _VOID:
             continue
         if m["end"]:
@@ -163,11 +178,12 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             close(0)
         kind = _role(tag, m["rest"], marked > 0)
         stack.append((tag, kind))
-        hidden += kind == 1
+        hidden += kind == 4
+        chrome += kind == 1
         marked += kind == 2
         doubtful += kind == 3
     if at < len(page) and not hidden:
-        current.append(page[at:])
+        (other if chrome else current).append(page[at:])
     flush()
     return out
 
@@ -261,6 +277,10 @@ def run_hashes(words: np.ndarray, block: np.ndarray, page: np.ndarray, run: int)
     return at, number[at], value.view(np.int64)
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 256):
@@ -272,8 +292,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "url": part.column(1),
                     "host": part.column(2),
                     "tie": part.column(4),
+                    "same": pa.array([_digest("\0".join(t for t, _ in f)) for f in found], pa.int64()),
                     "blocks": pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
-                    "marked": pa.array([[m for _, m in f] for f in found], pa.list_(pa.int32())),
+                    "kinds": pa.array([[m for _, m in f] for f in found], pa.list_(pa.int32())),
                 }
             )
 
@@ -331,35 +352,69 @@ def _counted(run: int):
     return count
 
 
-def _unique_runs(run: int):
+def _host_runs(hosts: list[str], runs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each run of a host."""
+    code = {h: _digest(h) for h in set(hosts)}
+    with np.errstate(over="ignore"):
+        return mix(mix(np.array([code[h] for h in hosts], np.int64).view(U)) + runs.view(U))
+
+
+def _cleaned(rows: pa.Table, often: np.ndarray, run: int) -> pa.Table:
+    """Text and number of words cut of each page. often: sorted keys of the frequent runs of the pages' hosts."""
+    blocks, kinds = rows.column("blocks").to_pylist(), rows.column("kinds").to_pylist()
+    others = [[t for t, k in zip(b, m, strict=True) if k != CONTENT] for b, m in zip(blocks, kinds, strict=True)]
+    flat = pa.array([t for b in others for t in b], pa.string())
+    words, index = word_hashes(*buffers(flat))
+    block = np.repeat(np.arange(len(flat)), np.diff(index))
+    edge = np.concatenate([[0], np.cumsum([len(b) for b in others])]).astype(np.int64)
+    row = np.searchsorted(edge, block, "right") - 1
+    covered = np.zeros(len(words), bool)
+    if len(words) and len(often):
+        at, number, values = run_hashes(words, block, row, run)
+        hosts = rows.column("host").to_pylist()
+        owner = row[np.concatenate([[True], row[1:] != row[:-1]])]  # the row of each page that has words
+        keys = _host_runs([hosts[k] for k in owner[number].tolist()], values)
+        found = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+        covered = _covered(at[often[found] == keys], run, _laid_out(words, block, row)[0])
+    texts, removed, b = [], [], 0
+    for own, marks in zip(blocks, kinds, strict=True):
+        kept, gone, content = [], 0, any(k in (CONTENT, DOUBTFUL) for k in marks)
+        for text, kind in zip(own, marks, strict=True):
+            if kind == CONTENT:
+                kept.append(text)
+                continue
+            cut = covered[index[b] : index[b + 1]]
+            b += 1
+            gone += int(cut.sum())
+            if kind == CHROME or kind == PLAIN and content:
+                continue
+            if cut.any():
+                # Words here are those of ``word_hashes``; blocks hold single spaces only, but for odd spaces.
+                left = [w for w, c in zip(re.findall(r"[^\x20\x09-\x0D]+", text), cut.tolist(), strict=True) if not c]
+                text = " ".join(left)
+            if text:
+                kept.append(text)
+        texts.append("\n\n".join(kept))
+        removed.append(gone)
+    return pa.table({"page_id": rows.column("page_id"), "url": rows.column("url"), "text": pa.array(texts, pa.string()), "n_removed_tokens": pa.array(removed, pa.int64())})
+
+
+_CLEAN = "page_id long, url string, text string, n_removed_tokens long"
+
+
+def _clean_batches(often: np.ndarray, run: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                yield from _cleaned(pa.Table.from_batches([batch.slice(start, 256)]), often, run).combine_chunks().to_batches()
+
+    return clean
+
+
+def _clean_groups(run: int):
     def clean(group: pa.Table, often: pa.Table) -> pa.Table:
-        covered = np.zeros(0, bool)
-        if len(group):
-            flat, index, words, block, row = _words(group)
-            covered = np.zeros(len(words), bool)
-            if len(words) and len(often):
-                at, _, values = run_hashes(words, block, row, run)
-                covered = _covered(at[np.isin(values, np.asarray(often.column("run")))], run, _laid_out(words, block, row)[0])
-        texts, removed, b = [], [], 0
-        for blocks, marked in zip(group.column("blocks").to_pylist(), group.column("marked").to_pylist(), strict=True):
-            kept, gone, least = [], 0, int(any(marked))
-            for text, kind in zip(blocks, marked, strict=True):
-                cut = covered[index[b] : index[b + 1]]
-                b += 1
-                if kind < least:  # outside the content that the page marks
-                    continue
-                if kind != 1 and cut.any():
-                    # Words here are those of ``word_hashes``; blocks hold single spaces only, but for odd spaces.
-                    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-                    left = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
-                    gone += len(words) - len(left)
-                    if left:
-                        kept.append(" ".join(left))
-                else:
-                    kept.append(text)
-            texts.append("\n\n".join(kept))
-            removed.append(gone)
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()), "n_removed_tokens": pa.array(removed, pa.int64())})
+        hosts = often.column("host").to_pylist()
+        return _cleaned(group, np.sort(_host_runs(hosts, np.asarray(often.column("run"), np.int64))) if hosts else np.zeros(0, U), run)
 
     return clean
 
@@ -389,16 +444,16 @@ def frequent_runs(pages: DataFrame, run: int, least_pages: int, share: float, gr
     return written(often, "often"), hosts.select("host", "groups"), few
 
 
-def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_PAGES, share: float = RUN_SHARE, group_pages: int = GROUP_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_PAGES, share: float = RUN_SHARE, group_pages: int = GROUP_PAGES, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(page_id, url, text, n_removed_tokens) of each row of ``pages`` (page_id, url, html).
 
-    Blocks are joined by two line feeds. n_removed_tokens counts the words that were cut because recurring runs covered
-    them, doubtful or on pages without marked content. Rows that repeat are all returned; rows of one page_id and url, and pages of the same blocks, count as one
-    page. Null or empty html, and pages without visible words, give an empty text. Pages without a url share a
-    host. A run is cut if it is on ``least_pages`` pages and on the given share of the host's pages that have words,
-    marked content included. Hosts with more than ``group_pages`` pages are dealt out to groups of about that size, so
-    a task's memory is bounded; pages are counted over the whole host. An empty table gives no rows. Extra columns are
-    ignored.
+    Blocks are joined by two line feeds. n_removed_tokens counts the words, all of them outside content, that recurring
+    runs covered. Rows that repeat are all returned; rows of one page_id and url, and pages of the same blocks, count as
+    one page. Null or empty html, and pages without visible words, give an empty text. Pages without a url share a
+    host. A run is cut if it is on ``least_pages`` pages and on the given share of the host's pages that have words.
+    Hosts with more than ``group_pages`` pages are dealt out to groups of about that size, so a task's memory is
+    bounded; pages are counted over the whole host. Up to ``broadcast_runs`` frequent runs are given to every task, more
+    meet the pages of their host in a shuffle. An empty table gives no rows. Extra columns are ignored.
     """
     plain = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -407,21 +462,18 @@ def extract_text(pages: DataFrame, run: int = RUN_WORDS, least_pages: int = RUN_
         F.col("html").cast("string").alias("html"),
         F.xxhash64("page_id", "url").alias("tie"),
     )
-    parsed = written(plain.mapInArrow(_parse, "page_id long, url string, host string, tie long, blocks array<string>, marked array<int>"), "parsed")
-    uncut = (F.exists("marked", lambda m: m == 1) | (F.size("blocks") == 0)) & ~F.exists("marked", lambda m: m == 2)
-    own = F.transform(F.filter(F.arrays_zip("blocks", "marked"), lambda b: b["marked"] == 1), lambda b: b["blocks"])
-    whole = parsed.where(uncut).select("page_id", "url", F.array_join(own, "\n\n").alias("text"), F.lit(0).cast("long").alias("n_removed_tokens"))
-    # Only hosts with pages to cut are counted. A short list is broadcast.
-    hosts = written(parsed.where(~uncut).select("host").distinct(), "hosts")
-    n = hosts.count()
-    if not n:
-        return whole
-    seen = parsed.where(F.size("blocks") > 0).join(F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts, "host", "left_semi")
+    parsed = written(plain.mapInArrow(_parse, "page_id long, url string, host string, tie long, same long, blocks array<string>, kinds array<int>"), "parsed")
+    others = F.transform(F.filter(F.arrays_zip("blocks", "kinds"), lambda b: b["kinds"] != CONTENT), lambda b: b["blocks"])
     # Pages of equal words count once, under the least of their ties; so do the rows of one page_id and url.
-    streams = seen.groupBy("host", F.xxhash64("blocks")).agg(F.min("tie").alias("page"), F.first("blocks").alias("blocks")).select("host", "page", "blocks")
+    seen = parsed.where(F.size("blocks") > 0).select("host", "same", "tie", others.alias("blocks"))
+    streams = seen.groupBy("host", "same").agg(F.min("tie").alias("page"), F.first("blocks").alias("blocks")).select("host", "page", "blocks")
     often, sizes, few = frequent_runs(written(streams, "streams"), run, least_pages, share, group_pages)
+    rows = parsed.select("page_id", "url", "host", "tie", "blocks", "kinds")
+    if often.count() <= broadcast_runs:
+        known = often.toPandas()  # ``broadcast_runs`` rows at most
+        keys = np.sort(_host_runs(known["host"].tolist(), known["run"].to_numpy(np.int64))) if len(known) else np.zeros(0, U)
+        return rows.mapInArrow(_clean_batches(keys, run), _CLEAN)
     sizes = F.broadcast(sizes) if few else sizes
-    dealt = parsed.where(~uncut).join(sizes, "host").select("page_id", "url", "host", "blocks", "marked", F.pmod("tie", "groups").alias("part"))
+    dealt = rows.join(sizes, "host", "left").withColumn("part", F.pmod("tie", F.coalesce("groups", F.lit(1))))
     spread = often.join(sizes, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "run")
-    cut = dealt.groupBy("host", "part").cogroup(spread.groupBy("host", "part")).applyInArrow(_unique_runs(run), "page_id long, url string, text string, n_removed_tokens long")
-    return whole.union(cut)
+    return dealt.groupBy("host", "part").cogroup(spread.groupBy("host", "part")).applyInArrow(_clean_groups(run), _CLEAN)

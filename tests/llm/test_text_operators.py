@@ -357,11 +357,14 @@ def test_poisson_replication(spark):
 
 def test_html_blocks():
     page = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>H</header><nav><ul><li>M</ul></nav><div class="ad">A</div><main><article><header><h1>Head &amp; shoulders</h1></header><p><b>One\n  two<br>three<p>Four<script>var a="</p>";</script><aside>S</aside><form>F</form><!-- c --><div id="comments"><p>C</div></article></main><div class="cookie-notice">N</div><footer>F</footer>'
-    assert html_suffix.blocks_of(page) == [("Head & shoulders", 1), ("One two three", 1), ("Four", 1)]
+    main = lambda page: [b for b in html_suffix.blocks_of(page) if b[1] != html_suffix.CHROME]
+    assert main(page) == [("Head & shoulders", 1), ("One two three", 1), ("Four", 1)]
+    assert [t for t, k in html_suffix.blocks_of(page) if k == html_suffix.CHROME] == ["H", "M", "A", "S", "F", "C", "N", "F"]
+    assert html_suffix.blocks_of('<p>a <span class="ad">b<br>c</span> d</p><p hidden>e</p>') == [("a d", 0), ("b c", 3)]
     assert html_suffix.blocks_of(None) == [] and html_suffix.blocks_of("<p>a &lt;b&gt; c<div>d") == [("a <b> c", 0), ("d", 0)]
     assert html_suffix.blocks_of("plain < text") == [("plain < text", 0)]
     page = '<article>Intro<section id="related-work">R</section><h2 id="comments">C</h2><div class="social-history">S</div><div class="share-buttons">X</div><div class="top-ad">X</div><p class="notice">X</p><ul id="comments"><li>X</ul></article><div class="foo-ad-x">X</div>'
-    assert html_suffix.blocks_of(page) == [("Intro", 1), ("R", 2), ("C", 1), ("S", 2)]
+    assert main(page) == [("Intro", 1), ("R", 2), ("C", 1), ("S", 2)]
     long = "<article>" + "<p>word &amp; word</p>" * 40_000 + "</article>"
     assert html_suffix.blocks_of(long) == [("word & word", 1)] * 40_000
 
@@ -415,9 +418,10 @@ def test_doubtful_parts_of_articles_stay_unless_they_recur(spark):
     rows.append((50, "http://b.org/1", f'<article><p>one</p><div class="sponsored-word">{advert}</div></article>'))
     want[50] = f"one\n\n{advert}"
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for size in (4, 256):
-        got = html_suffix.extract_text(pages, group_pages=size).collect()
-        assert {r.page_id: r.text for r in got} == want and sum(r.n_removed_tokens for r in got) == 20 * len(advert.split())
+    for size, runs in ((4, 10**6), (256, 10**6), (4, 0), (256, 0)):
+        got = html_suffix.extract_text(pages, group_pages=size, broadcast_runs=runs).collect()
+        assert {r.page_id: r.text for r in got} == want
+        assert sum(r.n_removed_tokens for r in got) == 20 * (1 + len(advert.split()) + len(quote.split()))  # 1: the menu's word
 
 
 def test_recurrence_is_counted_over_the_whole_host(spark):
