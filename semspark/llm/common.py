@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh  # noqa: F401  used by the operators
-from ..runtime.shared import forget, new_path, shared_dir, written  # noqa: F401  used by the operators
+from ..runtime.shared import forget, new_path, scratch, shared_dir, written  # noqa: F401  used by the operators
 
 #: A word is a run of characters other than the space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"

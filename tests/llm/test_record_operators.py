@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from semspark.llm import empirical_bayes, texthash, toolchat, urlfilter
+from semspark.llm import empirical_bayes, quality_rules, texthash, toolchat, urlfilter
 
 
 def test_url_filter_by_day(spark):
@@ -204,3 +204,39 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == list(range(30))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= set(range(30)) and len(out) > 10
+
+
+def test_pipeline_stages_take_any_rows(spark, tmp_path):
+    rng = random.Random(10)
+    text = lambda: " ".join(f"v{rng.randrange(5000)}" for _ in range(60))
+    leak, same = text(), text()
+    long = " ".join(f"v{rng.randrange(50_000)}" for _ in range(40_000))
+    rows = [(1, same), (2, same), (2, same), (2, text()), (None, text()), (None, same), (5, None), (6, ""), (7, long), (8, f"{text()} {leak}"), (9, text()), (9, None)]
+    clash = ["_hit", "hit", "dropped_id", "kept_id", "qr_text", "qr_one", "n_words", "mix_n", "mix_key", "copy_no", "rep", "component", "tie", "row"]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(n) for n in clash})
+    spark.createDataFrame([(1, leak), (None, same), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, None), (1, 1, 0), (1, None, 0), (None, 0, 0), (77, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda df: sorted((r.doc_id or 0 for r in df.collect()))
+    quality, near, clean, mix, tokens = (f for _, f in corpus_pipeline.STAGES)
+    for stage, want in ((quality, [0, 0, 1, 2, 2, 2, 7, 8, 9]), (near, [0, 0, 1, 5, 6, 7, 8, 9]), (clean, [0, 0, 1, 2, 2, 2, 5, 6, 7, 9, 9])):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and ids(out) == want, stage
+        assert all(r[n] == n for r in out.collect() for n in clash)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    mixed = mix(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and set(ids(mixed)) <= {0, 1, 2, 5, 6, 7, 8, 9} and mix(spark, docs.limit(0), str(tmp_path)).count() == 0
+    out = tokens(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in out) == sorted(i or 0 for i, _ in rows) and sum(r.n_tokens == 1 for r in out) == 3
+    assert tokens(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_repeated_and_null_labels(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(["foul" if i % 3 == 0 and k == 4 else f"w{rng.randrange(60)}" for k in range(40)])) for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "s", "l") for i, t in rows] + [(None, "foul w1", None, None)], "doc_id long, text string, source string, lang string")
+    labels = [(i, int(i % 3 != 0), None) for i in range(240)]
+    worse = spark.createDataFrame([*labels, *labels[:90], (1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = empirical_bayes.classify(docs, worse).collect()
+    assert len(got) == 241 and all(r.kept == (r.doc_id % 3 != 0) for r in got if r.doc_id is not None) and not [r for r in got if r.doc_id is None][0].kept
+    assert empirical_bayes.fit(docs, worse).rate == empirical_bayes.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).rate
+    assert quality_rules.learn_from_labels(docs, worse) == quality_rules.learn_from_labels(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
