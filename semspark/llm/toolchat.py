@@ -28,21 +28,36 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def argument_error(name: Column, arguments: Column, tools: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """What is wrong with a call's arguments (a variant): the first of unknown_tool, not_an_object, missing:x, type:x
-    and unknown:x that applies; null if all is well."""
+def _faults(value: Column, fields: dict[str, tuple], path: str) -> list[tuple[Column, Column]]:
+    """(condition, message) of what may be wrong with an object's fields, in the order in which they count."""
+    keys = F.map_keys(F.from_json(F.to_json(value), "map<string,string>"))
+    missing, wrong, inner = [], [], []
+    for field, (kind, required, *more) in sorted(fields.items()):
+        own = F.try_variant_get(value, "$['" + field + "']", "variant")
+        there = F.array_contains(keys, field)
+        if required:
+            missing.append((~there, F.lit(f"missing:{path}{field}")))
+        wrong.append((there & ~F.coalesce(_kind(own).isin(list(TYPES[kind])), F.lit(False)), F.lit(f"type:{path}{field}")))
+        for limit in more:
+            if isinstance(limit, dict):
+                inner += [(there & (_kind(own) == "OBJECT") & c, m) for c, m in _faults(own, limit, f"{path}{field}.")]
+            else:
+                plain = F.try_variant_get(own, "$", "string")
+                inner.append((there & ~F.coalesce(plain.isin([str(x) for x in limit]), F.lit(False)), F.lit(f"value:{path}{field}")))
+    unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")))
+    return [*missing, *wrong, (F.size(unknown) > 0, F.concat(F.lit(f"unknown:{path}"), F.get(unknown, 0))), *inner]
+
+
+def argument_error(name: Column, arguments: Column, tools: dict[str, dict[str, tuple]]) -> Column:
+    """What is wrong with a call's arguments (a variant): the first of unknown_tool, not_an_object, missing:x, type:x,
+    unknown:x and, for fields with limits, value:x or the faults of x.y that applies; null if all is well.
+
+    A field of a tool is (type, required), and may go on with a dictionary of fields for an object, whose names are
+    written x.y, or with a list of the values that are allowed."""
     out = F.when(name.isNull() | ~name.isin(list(tools)), "unknown_tool").when(arguments.isNull() | (_kind(arguments) != "OBJECT"), "not_an_object")
-    keys = F.map_keys(F.from_json(F.to_json(arguments), "map<string,string>"))
     for tool, fields in tools.items():
-        for field, (_, required) in sorted(fields.items()):
-            if required:
-                out = out.when((name == tool) & ~F.array_contains(keys, field), f"missing:{field}")
-        for field, (kind, required) in sorted(fields.items()):
-            value = F.try_variant_get(arguments, f"$['{field}']", "variant")
-            wrong = F.array_contains(keys, field) & ~F.coalesce(_kind(value).isin(list(TYPES[kind])), F.lit(False))
-            out = out.when((name == tool) & wrong, f"type:{field}")
-        unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")))
-        out = out.when((name == tool) & (F.size(unknown) > 0), F.concat(F.lit("unknown:"), F.get(unknown, 0)))
+        for condition, message in _faults(arguments, fields, ""):
+            out = out.when((name == tool) & condition, message)
     return out
 
 
@@ -120,7 +135,7 @@ def positions(placed: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "call_id", "level", (F.col("within") + F.coalesce("before", F.lit(0))).cast("int").alias("position"))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple]]) -> DataFrame:
     """(conv_id, call_id, level, position, tool, status, error, message), a row for each identifier of a conversation.
 
     ``calls`` has conv_id, call_id, turn, name, arguments (JSON text) and needs (array of call ids); ``results`` has

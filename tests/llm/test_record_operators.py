@@ -44,6 +44,18 @@ def test_tool_calls(spark):
     assert toolchat.link_tool_calls(calls.limit(0), results.limit(0), TOOLS).count() == 0
 
 
+def test_nested_arguments_and_allowed_values(spark):
+    tools = {"f": {"where": ("object", True, {"city": ("string", True), "at": ("object", False, {"x": ("number", True)})}), "unit": ("string", False, ["C", "F"]), "n": ("integer", False, [1, 2])}}
+    want = {
+        '{"where": {"city": "a"}}': None, '{"where": {"city": "a", "at": {"x": 1.5}}, "unit": "F", "n": 2}': None, '{"where": {}}': "missing:where.city", '{"where": {"city": 1}}': "type:where.city",
+        '{"where": {"city": "a", "at": {"x": "1"}}}': "type:where.at.x", '{"where": {"city": "a", "b": 1, "c": 1}}': "unknown:where.b", '{"where": "a"}': "type:where", '{"where": {"city": "a"}, "unit": "K"}': "value:unit",
+        '{"where": {"city": "a"}, "n": 3}': "value:n", '{"unit": "K"}': "missing:where", '{"where": {"city": "a", "at": {}}}': "missing:where.at.x", '{"where": null}': "type:where"}
+    calls = spark.createDataFrame([(1, f"c{k}", k, "f", a, None) for k, a in enumerate(want)], "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r.error for r in toolchat.link_tool_calls(calls, results, tools).collect()}
+    assert [got[f"c{k}"] for k in range(len(want))] == list(want.values())
+
+
 def _levels_one_by_one(needs):
     level = {}
     while True:
