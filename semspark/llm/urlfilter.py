@@ -15,7 +15,7 @@ from .common import fresh, short, written
 
 FOREVER = "9999-12-31"
 #: Intervals, and decided urls, that are broadcast; their number is checked, and more are joined by shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 #: Parts that the lookups of one key and day are dealt out to when they are joined by a shuffle.
 SALTS = 32
 
