@@ -36,7 +36,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts", "n_distinct_words")
     keep = [c for c in docs.columns if c != text_col and c.lower() not in own]
-    text, words, lines, hashes, windows, ordered, places = fresh([*docs.columns, *own], "qr_text", "qr_words", "qr_lines", "qr_hashes", "qr_windows", "qr_ordered", "qr_places")
+    text, words, lines, hashes, pairs, fours, windows, ordered, places = fresh([*docs.columns, *own], "qr_text", "qr_words", "qr_lines", "qr_hashes", "qr_pairs", "qr_fours", "qr_windows", "qr_ordered", "qr_places")
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(text))
     bare = F.col(text)
     for sign in SYMBOLS:
@@ -60,7 +60,10 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_shouts",
         F.transform(words, lambda w: F.xxhash64(w)).alias(hashes),
     )
-    spans = F.expr(f"transform(sequence(1, size(`{hashes}`) - {WINDOW - 1}), i -> xxhash64(slice(`{hashes}`, i, {WINDOW})))")
+    # Hashes of two words, of four, and of the eight of a window, each from two of the step before.
+    joined = lambda array, step: f"(a, i) -> xxhash64(a, get(`{array}`, i + {step}))"
+    df = df.withColumn(pairs, F.expr(f"transform(`{hashes}`, {joined(hashes, 1)})")).withColumn(fours, F.expr(f"transform(`{pairs}`, {joined(pairs, 2)})"))
+    spans = F.expr(f"transform(slice(`{fours}`, 1, size(`{fours}`) - {WINDOW - 1}), {joined(fours, 4)})")
     df = df.withColumn(windows, F.when(F.size(hashes) > WINDOW, spans).otherwise(F.array().cast("array<bigint>")))
     # Only texts with a repeated window sort theirs: a window repeats if it equals a neighbour in that order.
     placed = F.expr(f"array_sort(transform(`{windows}`, (w, i) -> named_struct('w', w, 'i', i)))")
