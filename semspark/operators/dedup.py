@@ -42,7 +42,8 @@ def embed(df: DataFrame, id_col: str, text, embedder) -> DataFrame:
                 vectors = unit(np.asarray(embedder.embed([t or "" for t in part.column(1).to_pylist()]), np.float32))
                 yield pa.record_batch({"id": part.column(0), "vec": pa.array(list(vectors), pa.list_(pa.float32()))})
 
-    return df.select(col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null").mapInArrow(run, "id long, vec array<float>")
+    rows = df.select(col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
+    return dealt(rows, df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "id long, vec array<float>")
 
 
 def _best(score: np.ndarray, left: np.ndarray, right: np.ndarray, top_k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

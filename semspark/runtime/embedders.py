@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import urllib.request
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 
+from ..functions.hashing import U, mix
+
 REQUEST_ROWS = 256
 
 
@@ -24,25 +24,28 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-@lru_cache(maxsize=1 << 17)
-def _hash(gram: str) -> int:
-    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-
-
 class HashingEmbedder:
     """Deterministic and offline: signed counts of hashed character trigrams of the words."""
 
     def __init__(self, dim: int = 256):
         self.dim = dim
 
+    def _counts(self, text: str | None) -> np.ndarray:
+        words = (text or "").lower().split()
+        if not words:
+            return np.zeros(self.dim)
+        # Each word stands between spaces of its own; trigrams with two spaces in a row lie across words.
+        sign = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
+        blank = sign == U(32)
+        twice = blank[1:] & blank[:-1]
+        within = ~(twice[1:] | twice[:-1])
+        gram = mix((sign[:-2] | sign[1:-1] << U(21) | sign[2:] << U(42))[within])
+        return np.bincount((gram % U(self.dim)).astype(np.int64), np.where(gram >> U(63), 1.0, -1.0), self.dim)
+
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for k, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                padded = f" {word} "
-                for i in range(len(padded) - 2):
-                    h = _hash(padded[i : i + 3])
-                    out[k, h % self.dim] += 1 if h >> 63 else -1
+            out[k] = self._counts(text)
         return unit(out)
 
 

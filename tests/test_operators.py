@@ -9,7 +9,7 @@ from semspark.agent import AgentError, PlanError, run_plan
 from semspark.operators.dedup import BLOCK, greedy, nearest, nearest_banded, read_verdict
 from semspark.plans.rules import same_text
 from semspark.runtime.clients import ScriptedLLM
-from semspark.runtime.embedders import unit
+from semspark.runtime.embedders import HashingEmbedder, unit
 from semspark.runtime.metrics import RunMetrics
 
 
@@ -212,3 +212,11 @@ def test_banded_neighbours_find_nine_in_ten(spark):
     assert made[0] == made[1] and len(made[0]) == 6
     with pytest.raises(ValueError, match="index"):
         ss.SemanticDeduplicator(index="graph")
+
+
+def test_hashed_trigrams_are_those_of_the_words():
+    embedder = HashingEmbedder(64)
+    a, b, c, d, e = embedder.embed(["Red  apple", "apple\n red", "red applf", "", "ß\U0001f600 \ud800"])
+    assert np.allclose(a, b) and a @ c > 0.6 and not d.any() and abs(np.linalg.norm(e) - 1) < 1e-5
+    alone = [embedder._counts(w) for w in ("red", "apple", "x")]
+    assert np.array_equal(embedder._counts("red x apple red"), 2 * alone[0] + alone[1] + alone[2]) and np.abs(alone[2]).sum() == 1
