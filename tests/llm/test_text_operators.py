@@ -326,6 +326,36 @@ def test_decision_list_learns_planted_rules(spark):
     assert quality_rules.learn_from_labels(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == []
 
 
+def test_decision_list_grows_and_prunes_conjunctions(spark):
+    """Bad is what is shouted and full of signs; either alone is good. The first condition is the best of all."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(900):
+        words = [f"word{rng.randrange(500)}" for _ in range(60)]
+        loud, signs = rng.random() < 0.4, rng.random() < 0.4
+        words = [w.upper() if loud else w for w in words]
+        words = [w + "##" if signs and rng.random() < 0.8 else w for w in words]
+        rows.append((i, " ".join(words), loud and signs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad boolean")
+    labels = docs.where("doc_id < 600").selectExpr("doc_id", "if(bad, 0, 1) as quality", "0 as toxic")
+    rules = quality_rules.learn_from_labels(docs, labels)
+    assert any(len(r.conditions) >= 2 for r in rules)
+    got = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, rules).collect()}
+    assert sum(got[i] != bad for i, _, bad in rows[600:]) >= 298
+    stats = quality_rules.text_statistics(docs.where("doc_id < 600").select(F.col("doc_id").alias("key"), "text", "bad"))
+    values = quality_rules.features()
+    grow = stats.where(F.pmod(F.xxhash64("key"), F.lit(3)) > 0).select("bad", *[c.alias(n) for n, c in values.items()]).collect()
+    all_bad = sum(r.bad for r in grow)
+
+    def gain(test):
+        bad, good = sum(r.bad for r in grow if test(r)), sum(not r.bad for r in grow if test(r))
+        return quality_rules._gain(good, bad, len(grow) - all_bad, all_bad) if bad >= quality_rules.LEAST_CAUGHT else -1.0
+
+    first = rules[0].conditions[0]
+    best = max(gain(lambda r: (r[n] > x) == above) for n in values for x in {r[n] for r in grow} for above in (True, False))
+    assert gain(lambda r: (r[first.feature] > first.threshold) == first.above) >= 0.9 * best
+
+
 def test_hilbert_curve_and_shards(spark):
     cells = spark.range(512).selectExpr("cast(id % 8 as int) a", "cast(id div 8 % 8 as int) b", "cast(id div 64 as int) c")
     path = cells.withColumn("h", hilbert.hilbert_index(["a", "b", "c"], 3)).orderBy("h").collect()
@@ -369,6 +399,55 @@ def test_html_blocks():
     assert html_suffix.blocks_of(long) == [("word & word", 1)] * 40_000
 
 
+def _random_page(rng, article):
+    """(html, main text): an article of random blocks, with chrome around and inside it, or bare blocks."""
+    word = lambda: rng.choice(["plain", "word", "été", "x1", "a-b", "C.", "日本"]) + str(rng.randrange(10**6))
+    words = lambda n: [word() for _ in range(n)]
+    want, body = [], []
+    space = lambda: rng.choice([" ", "\n", "  \t", " \r\n "])
+
+    def marked_up(ws):
+        out = []
+        for w in ws:
+            kind = rng.randrange(9)
+            out.append({0: f"<b>{w}</b>", 1: f'<a href="/x?a=1&b=>">{w}</a>', 2: f"<!-- gone <p> -->{w}", 3: f"{w}<script>var p = '<p>gone</p>';</script>"}.get(kind, w.replace("a", "&#97;") if kind == 4 else w))
+        return space().join(out)
+
+    chrome = lambda: rng.choice(['<aside>{}</aside>', '<div class="ad">{}</div>', "<form><p>{}</p><input value='x'></form>", '<div id="comments"><p>{}</p><ul><li>{}</ul></div>', "<nav><ul><li>{}<li>{}</ul></nav>", '<p class="notice">{}</p>', '<section class="newsletter-signup"><h3>{}</h3></section>', "<style>p{{}}</style>", '<footer>{}</footer>', '<div hidden>{}</div>']).format(*words(2))
+    for _ in range(rng.randrange(1, 9)):
+        kind = rng.randrange(6)
+        if kind < 3:
+            ws = words(rng.randrange(1, 12))
+            body.append(f"<p>{marked_up(ws)}" + rng.choice(["</p>", ""]))
+            want.append(" ".join(ws))
+        elif kind == 3:
+            ws = words(3)
+            body.append(f"<h2>{marked_up(ws)}</h2>")
+            want.append(" ".join(ws))
+        elif kind == 4:
+            items = [words(2) for _ in range(3)]
+            body.append("<ul>" + "".join(f"<li>{marked_up(i)}" for i in items) + "</ul>")
+            want += [" ".join(i) for i in items]
+        else:
+            cells = [words(1) for _ in range(4)]
+            body.append("<table><tr>" + "".join(f"<td>{marked_up(c)}" for c in cells) + "</table>")
+            want += [" ".join(c) for c in cells]
+        if rng.random() < 0.4:
+            body.append(chrome())
+    inner = "".join(body)
+    around = [f"<header><h1>{word()}</h1></header>", chrome(), f"<footer>{word()}</footer>"]
+    return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{around[0]}{around[1]}" + (f"<article>{inner}</article>" if article else f"<div>{inner}</div>") + f"{around[2]}</body></html>", "\n\n".join(want)
+
+
+def test_extraction_of_random_pages(spark):
+    rng = random.Random(31)
+    made = [_random_page(rng, k % 3 > 0) for k in range(400)]
+    pages = spark.createDataFrame([(k, f"http://h{k % 9}.org/{k}", h) for k, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_suffix.extract_text(pages).collect()}
+    wrong = [(k, made[k], got[k]) for k in range(400) if got[k] != made[k][1]]
+    assert not wrong, wrong[0]
+
+
 def test_suffix_array_finds_what_recurs():
     rng = random.Random(2)
     for _ in range(30):
