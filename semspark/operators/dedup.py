@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.components import components
+from ..functions.hashing import U, mix
 from ..functions.names import fresh
 from ..runtime.embedders import REQUEST_ROWS, HashingEmbedder, HTTPEmbedder, unit
 from ..runtime.protocol import parse_literal
@@ -24,6 +25,11 @@ log = logging.getLogger(__name__)
 
 #: Vectors of a block; a task compares two blocks.
 BLOCK = 2048
+#: Width of the intervals of a projection, as a multiple of the distance at the threshold, and vectors that the number
+#: of projections is fitted on.
+RATIO, SAMPLE = 4.0, 1000
+#: Ids that may be broadcast; their number is checked, and more are joined by shuffles.
+BROADCAST_IDS = 1_000_000
 NONE = "NO_DUPLICATES"
 
 
@@ -46,6 +52,12 @@ def embed(df: DataFrame, id_col: str, text, embedder) -> DataFrame:
     return dealt(rows, df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "id long, vec array<float>")
 
 
+def _stacked(column) -> np.ndarray:
+    """A matrix of the vectors of a column, which have one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1)
+
+
 def _best(score: np.ndarray, left: np.ndarray, right: np.ndarray, top_k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, hit, score) of each row's best columns; ties go to the lesser id."""
     row, column = np.nonzero(score >= threshold)
@@ -57,18 +69,24 @@ def _best(score: np.ndarray, left: np.ndarray, right: np.ndarray, top_k: int, th
     return left[row[keep]], hit[keep], value[keep]
 
 
-def _block_hits(top_k: int, threshold: float):
+def _block_hits(top_k: int, threshold: float, keys: tuple[str, ...] = ("i", "j")):
+    """Hits between the blocks i and j of each bucket in a group; ``keys`` tell the buckets' pairs of blocks apart."""
+
     def hits(group: pa.Table) -> pa.Table:
-        ids, home = np.asarray(group.column("id")), np.asarray(group.column("home"))
-        vec = np.stack(group.column("vec").to_pylist()).astype(np.float32)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(home == i), np.flatnonzero(home == j)
+        parts = [np.asarray(group.column(k)) for k in keys]
+        order = np.lexsort(parts)
+        cut = np.flatnonzero(np.any([p[order][1:] != p[order][:-1] for p in parts], axis=0)) + 1
+        ids, home, first, second = (np.asarray(group.column(c)) for c in ("id", "home", "i", "j"))
+        vec = _stacked(group.column("vec"))
         found = []
-        if len(left) and len(right):
-            score = vec[left] @ vec[right].T
-            found.append(_best(score, ids[left], ids[right], top_k, threshold))
-            if i != j:
-                found.append(_best(score.T, ids[right], ids[left], top_k, threshold))
+        for own in np.split(order, cut):
+            i, j = first[own[0]], second[own[0]]
+            left, right = own[home[own] == i], own[home[own] == j]
+            if len(left) and len(right):
+                score = vec[left] @ vec[right].T
+                found.append(_best(score, ids[left], ids[right], top_k, threshold))
+                if i != j:
+                    found.append(_best(score.T, ids[right], ids[left], top_k, threshold))
         columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3)]
         return pa.table({"id": pa.array(columns[0].astype(np.int64)), "hit": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float32))})
 
@@ -95,28 +113,46 @@ def nearest(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, block:
     return _ranked(dealt.groupBy("i", "j").applyInArrow(_block_hits(top_k, threshold), _HITS), top_k)
 
 
-def bands_for(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(bits, tables): codes of ``bits`` signs deal n vectors out to buckets of a few hundred, and in one of ``tables``
-    codes at least a pair at the threshold agrees with the wanted probability."""
-    bits = max(4, (max(1, n) // 256).bit_length())
-    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    if agree >= 1:
-        return bits, 1
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+def _agreement(ratio: float) -> float:
+    """Probability that two points fall into one of the intervals of a random projection that are ``ratio`` times as
+    wide as the points are apart (Datar and others, 2004)."""
+    tail = 0.5 * math.erfc(ratio / math.sqrt(2))
+    return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * ratio) * (1 - math.exp(-ratio * ratio / 2))
+
+
+def interval(threshold: float) -> float:
+    """Width of the intervals for unit vectors whose cosine reaches the threshold."""
+    return RATIO * max(1e-3, math.sqrt(max(0.0, 2 - 2 * threshold)))
+
+
+def fit_bands(sample: np.ndarray, n: int, threshold: float, recall: float, seed: int = 7) -> tuple[int, int]:
+    """(projections of a code, tables): codes deal n vectors like those of the sample out to buckets of a few hundred,
+    and in one of the tables at least a pair at the threshold agrees with the wanted probability."""
+    if len(sample) < 2:
+        return 1, 1
+    rng = np.random.default_rng(seed)
+    cells = np.floor(sample @ rng.standard_normal((sample.shape[1], 64)) / interval(threshold) + rng.random(64))
+    equal = [(np.unique(c, return_counts=True)[1] ** 2).sum() / len(c) ** 2 for c in cells.T]
+    chance = min(0.99, float(np.mean(equal)))
+    size = min(64, max(1, math.ceil(math.log(max(1.0, n / 256)) / -math.log(chance))))
+    return size, max(1, math.ceil(math.log(1 - recall) / math.log(1 - _agreement(RATIO) ** size)))
 
 
-def _codes(bits: int, tables: int, seed: int):
+def _codes(threshold: float, size: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
             if not len(batch):
                 continue
-            vec = np.stack(batch.column(1).to_pylist()).astype(np.float32)
+            vec = _stacked(batch.column(1)).astype(np.float64)
             if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((vec.shape[1], bits * tables)).astype(np.float32)
-            signs = (vec @ planes > 0).reshape(len(vec), tables, bits)
-            codes = (signs.astype(np.int64) << np.arange(bits)).sum(axis=2)
-            yield pa.record_batch({"id": batch.column(0), "vec": batch.column(1), "codes": pa.array(list(codes), pa.list_(pa.int64()))})
+                rng = np.random.default_rng(seed)
+                planes, shift = rng.standard_normal((vec.shape[1], size * tables)), rng.random(size * tables)
+            cells = np.floor(vec @ planes / interval(threshold) + shift).astype(np.int64).view(U).reshape(len(vec), tables, size)
+            code = np.zeros((len(vec), tables), U)
+            for k in range(size):
+                code = mix(code ^ cells[:, :, k])
+            yield pa.record_batch({"id": batch.column(0), "codes": pa.array(list(code.view(np.int64)), pa.list_(pa.int64()))})
 
     return run
 
@@ -124,18 +160,25 @@ def _codes(bits: int, tables: int, seed: int):
 def nearest_banded(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, recall: float = 0.95, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """As ``nearest``, but pairs at the threshold are found with the probability ``recall`` only, nearer ones with more.
 
-    Vectors are dealt out by the signs of random projections, in several tables; only vectors of one code in some table
-    are compared, by their exact cosines. Buckets of more than ``block`` vectors are cut into blocks, and all their
-    pairs of blocks are compared.
+    Vectors are dealt out by the intervals that they fall into on random projections, in several tables; only vectors
+    of one code in some table are compared, by their exact cosines. The number of projections is fitted on SAMPLE
+    vectors at most; all vectors are dealt out. Buckets of more than ``block`` vectors are cut into blocks, and all
+    their pairs of blocks are compared.
     """
-    bits, tables = bands_for(vectors.count(), threshold, recall)
-    coded = vectors.select("id", "vec").mapInArrow(_codes(bits, tables, seed), "id long, vec array<float>, codes array<long>")
-    rows = written(coded.select("id", "vec", F.posexplode("codes").alias("band", "code")), "codes")
-    sizes = rows.groupBy("band", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    vectors = vectors.select("id", "vec")
+    sample = [r.vec for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()]
+    size, tables = fit_bands(np.array(sample, np.float64).reshape(len(sample), -1), vectors.count(), threshold, recall, seed)
+    coded = vectors.mapInArrow(_codes(threshold, size, tables, seed), "id long, codes array<long>")
+    rows = written(coded.select("id", F.posexplode("codes").alias("band", "code")), "codes")
+    sizes = written(rows.groupBy("band", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    # Small buckets share a group; a pair of blocks is never split, so a group has about two pairs of blocks at most.
+    bins = -(-(sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // (2 * block)) or 1
+    sizes = sizes.drop("n")
     dealt = rows.join(sizes, ["band", "code"]).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "code", "id", "vec", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
-    hits = dealt.groupBy("band", "code", "i", "j").applyInArrow(_block_hits(top_k, threshold), _HITS)
+    dealt = dealt.select("band", "code", "id", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j")).join(vectors, "id")
+    keys = ("band", "code", "i", "j")
+    hits = dealt.groupBy(F.pmod(F.xxhash64(*keys), F.lit(bins))).applyInArrow(_block_hits(top_k, threshold, keys), _HITS)
     alone = vectors.where(F.exists("vec", lambda v: v != 0)).select("id", F.col("id").alias("hit"), F.lit(1.0).cast("float").alias("score"))
     return _ranked(hits.where("id <> hit").groupBy("id", "hit").agg(F.max("score").alias("score")).union(alone), top_k)
 
@@ -245,7 +288,8 @@ class SemanticDeduplicator:
         rows = df.select(col(self.id_col).cast("long").alias("id"), (F.sha2(serialised(inputs), 256) if inputs else col(self.id_col)).alias("row")).where("id is not null")
         classes = written(rows.groupBy("row").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")).select("id", "ids"), "classes")
         first, gone_id = fresh(df.columns, "first_id", "gone_id")
-        firsts = df.join(classes.select(F.col("id").alias(first)), col(self.id_col).cast("long") == F.col(first), "left_semi")
+        heads = classes.select(F.col("id").alias(first)).hint("broadcast" if classes.count() <= BROADCAST_IDS else "merge")
+        firsts = df.join(heads, col(self.id_col).cast("long") == F.col(first), "left_semi")
         vectors = written(embed(firsts, self.id_col, embedding_text(inputs), self.embedder), "vectors")
         points = equal = vectors
         if self.llm is None:  # vectors of zeros are like no other
