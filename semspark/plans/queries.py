@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..agent import Agent, run_plan
@@ -16,24 +15,12 @@ from ..operators.semantic import finalize
 from ..operators.semantic import map as sem_map
 from ..runtime.clients import CallableLLM, ScriptedLLM
 from ..runtime.protocol import END, framed_rows
-from . import rules
+from . import rules, source_queries  # noqa: F401  registers its queries
+from .registry import ORACLE_SQL, QUERIES
+from .registry import query as _query
+from .registry import table as _table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _table(spark, d, name) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 class FlakyLLM(CallableLLM):

@@ -85,3 +85,15 @@ def same_text(text: str) -> object:
     rows.sort()
     same = [i for i, t in rows[1:] if t == rows[0][1]]
     return {"canonical_id": rows[0][0], "duplicate_ids": same} if same else "NO_DUPLICATES"
+
+
+def loud_nation(text: str) -> dict:
+    return {"loud": _row(text)["n_name"].upper()}
+
+
+def answer_name(prompt: str) -> str:
+    """Answers a whole prompt, whose last line is a name."""
+    name = prompt.rsplit("\n", 1)[-1]
+    if name.startswith("A"):
+        raise ValueError("refused")
+    return f"name: {name}"

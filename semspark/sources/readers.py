@@ -53,8 +53,10 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).saveAsTable(name)
+def write_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> None:
+    """``df`` as a catalog table, in the warehouse or at ``path``, which outlives the table's name."""
+    writer = df.write.mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **options) -> None:
@@ -71,6 +73,13 @@ def _local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+def local_file(spark: SparkSession, name: str) -> str:
+    """A path for a new local database inside the shared folder."""
+    folder = _local(new_path(spark, "database"))
+    os.makedirs(folder)
+    return os.path.join(folder, name)
+
+
 def read_duckdb(spark: SparkSession, database: str, table: str) -> DataFrame:
     """A table of a DuckDB file. DuckDB writes it to the shared folder as Parquet, which Spark reads; nothing passes
     through the driver's memory as a whole."""
