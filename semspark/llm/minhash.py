@@ -33,13 +33,15 @@ from .texthash import KEY, SECOND_KEY, U, keyed_word_hashes, mix, shingle_hashes
 WORDS, THRESHOLD, PLACES, BANDS = 5, 75, 128, 32
 #: Members of a group that are compared with each other at once, and shingles of their sets; larger groups are cut.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Texts that are hashed at once; a shingle of a short text takes some 600 bytes while its signature is made.
+RUN_BYTES = 512 << 10
 #: Pairs whose sketches are more standard deviations than this below the threshold are not compared by their sets.
 SLACK = 5.5
 
 
 def _each_set(column: pa.Array, words: int, keys: tuple[int, ...] = (KEY,)) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
     """(first row, hashes of the shingles for each key, index of each text's first shingle) of each run of texts."""
-    for first, data, offsets in slices(column):
+    for first, data, offsets in slices(column, RUN_BYTES):
         hashes, index = keyed_word_hashes(data, offsets, keys)
         made = [shingle_hashes(h, index, words) for h in hashes]
         yield first, [m[0] for m in made], made[0][1]
@@ -54,13 +56,14 @@ def _sign(words: int, places: int, bands: int):
         for batch in batches:
             for first, (elements, seconds), index in _each_set(batch.column(1), words, (KEY, SECOND_KEY)):
                 n = len(index) - 1
-                matrix = signatures(elements, index, places)
+                # The distinct shingles of each text: a long text of few keeps no more than these while places are open.
+                sets = [np.unique(elements[index[i] : index[i + 1]], return_index=True) for i in range(n)]
+                size = np.array([len(own) for own, _ in sets], np.int64)
+                a = np.array([_sum(mix(own)) for own, _ in sets], U)
+                b = np.array([_sum(mix(seconds[index[i] + one])) for i, (_, one) in enumerate(sets)], U)
+                matrix = signatures(np.concatenate([own for own, _ in sets]), np.concatenate([[0], np.cumsum(size)]), places)
                 keys = band_keys(matrix, bands).view(np.int64)
                 sketch = (matrix & U(255)).astype(np.uint8)
-                size, a, b = np.zeros(n, np.int64), np.zeros(n, U), np.zeros(n, U)
-                for i in np.flatnonzero(np.diff(index)):
-                    own, one = np.unique(elements[index[i] : index[i + 1]], return_index=True)
-                    size[i], a[i], b[i] = len(own), _sum(mix(own)), _sum(mix(seconds[index[i] : index[i + 1]][one]))
                 full = np.repeat(size > 0, bands)
                 offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
                 yield pa.record_batch(
