@@ -10,6 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to a Python worker, about; a longer row is a batch of its own.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Paths made inside open ``scratch`` blocks, the innermost last.
 _open: list[list[str]] = []
 
@@ -42,10 +44,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the Arrow batches of jobs inside it by their bytes, so that a batch of long texts, which the JVM and
+    Python both hold, takes no more memory than one of short texts. A lower bound of the session stays."""
+    before = spark.conf.get(BATCH_CONF, None)
+    try:
+        if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before or "64m") > BATCH_BYTES:
+            spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before) if before else spark.conf.unset(BATCH_CONF)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

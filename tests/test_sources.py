@@ -84,6 +84,20 @@ def test_scratch_tables_go(spark):
     assert spark.read.parquet(kept).count() == 5
 
 
+def test_batches_of_written_tables_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"bytes": pa.array([b.nbytes])})
+
+    before = spark.conf.get(shared.BATCH_CONF)
+    rows = spark.range(0, 9000, 1, 1).selectExpr("id", "repeat('x', 2000) AS text")
+    made = shared.written(rows.mapInArrow(sizes, "bytes long"), "sizes").collect()
+    assert sum(r.bytes for r in made) > 18_000_000 and max(r.bytes for r in made) < 2 * shared.BATCH_BYTES
+    assert spark.conf.get(shared.BATCH_CONF) == before
+
+
 def test_shared_folder_is_needed_off_one_machine(spark, monkeypatch):
     class Away:
         conf = type("C", (), {"get": lambda self, k, d=None: None, "set": lambda self, k, v: None})()
