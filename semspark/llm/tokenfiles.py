@@ -44,7 +44,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 #: Distinct pieces that an encoder remembers before it starts anew; it bounds memory and changes no result.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Kinds of bytes: the parts of letters, digits, other printable signs, space, line feed, and all others.
 LETTER, DIGIT, SIGN, SPACE, LINE, OTHER = range(6)
 
