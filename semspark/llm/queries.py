@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, empirical_bayes, hilbert, html_suffix, minhash, mixing, quality_rules, tokenfiles, toolchat, urlfilter
+from . import bytebpe, decontamination, empirical_bayes, hilbert, html_suffix, minhash, mixing, quality_rules, tokenfiles, toolchat, urlfilter
 from .common import new_path, table
 
 
@@ -72,6 +72,14 @@ def op10_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return empirical_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bytebpe.digest(bytebpe.decode(encoded, ranks))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_temporal_url_filter,
         op9_hilbert_shards,
         op10_hierarchical_bayes,
+        op13_byte_bpe,
         pipeline,
     )
 }
