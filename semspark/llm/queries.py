@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontamination, empirical_bayes, hilbert, html_suffix, minhash, mixing, quality_rules, spelling, tokenfiles, toolchat, urlfilter
+from . import bytebpe, decontamination, empirical_bayes, hilbert, html_suffix, minhash, mixing, quality_rules, spelling, tokenfiles, toolchat, trie, urlfilter
 from .common import new_path, table
 
 
@@ -72,6 +72,10 @@ def op10_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return empirical_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(spelling.vocabulary(table(spark, sf_dir, "documents"), one_in=97))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_temporal_url_filter,
         op9_hilbert_shards,
         op10_hierarchical_bayes,
+        op11_patricia_trie,
         op12_spelling_variants,
         op13_byte_bpe,
         pipeline,
