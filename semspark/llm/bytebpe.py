@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, short, written
 
 #: Characters of a chunk's own part, and of the next chunk that it reads too.
 CHUNK, OVERLAP = 16_384, 512
@@ -74,12 +74,21 @@ def unlike_signs() -> dict[int, int]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _unlike_table(codes: tuple[int, ...]) -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[list(codes)] = True
+    return table
+
+
 def boundaries(text: str, pattern: str, unlike: dict[int, int]) -> np.ndarray:
     """Starts of the pre-tokens of ``text`` that follow no white space: before those a text may be cut, as a run of
     white space is split by what follows it."""
     import regex
 
-    plain = text if text.isascii() else text.translate(unlike)
+    plain = text
+    if not text.isascii() and _unlike_table(tuple(unlike))[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
+        plain = text.translate(unlike)
     return np.array([m.start() for m in regex.finditer(pattern, plain) if m.start() == 0 or not plain[m.start() - 1].isspace()], np.int64)
 
 
@@ -96,7 +105,6 @@ def _cut(chunk: int, overlap: int):
 
 
 def _marks(pattern: str, overlap: int):
-    """Places where a chunk may be stitched to the one before it (heads) and to the next one (tails)."""
     unlike = unlike_signs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,30 +116,44 @@ def _marks(pattern: str, overlap: int):
                 sure = at + len(text) - (0 if last else AHEAD)
                 heads.append(found[found <= at + overlap])
                 tails.append(found[(found >= own) & (found <= sure)])
-            yield pa.record_batch({"row": batch.column("row"), "at": batch.column("at"), "own": batch.column("own"), "heads": pa.array(heads, pa.list_(pa.int64())), "tails": pa.array(tails, pa.list_(pa.int64()))})
+            yield pa.record_batch({**{c: batch.column(c) for c in ("row", "at", "turn")}, "heads": pa.array(heads, pa.list_(pa.int64())), "tails": pa.array(tails, pa.list_(pa.int64()))})
 
     return run
 
 
+def _marked(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
+    """Places where a chunk may be stitched to the one before it (heads) and to the next one (tails)."""
+    return chunks.mapInArrow(_marks(pattern, overlap), "row long, at long, turn int, heads array<long>, tails array<long>")
+
+
 def stitched(chunks: DataFrame, pattern: str, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(chunks, cuts): cuts has for each chunk (row, at) the place ``begin`` from which on its text is its own piece,
-    and ``end``, where the next one's begins (null: the text's end).
+    """(chunks, cuts): cuts has for each chunk (row, at, turn) the place ``begin`` from which on its text is its own
+    piece, and ``end``, where the next one's begins (null: the text's end).
 
-    Chunks whose overlap has no common boundary, as inside one very long pre-token, are joined to one chunk and split
-    anew. That is repeated until all are stitched; each time there are fewer chunks.
+    Chunks whose overlap has no common boundary, as inside one very long pre-token, are joined to one chunk, which is
+    split anew and takes their place, in another turn. That is repeated until all are stitched; each turn has fewer
+    chunks.
     """
     order = Window.partitionBy("row").orderBy("at")
+    key = ["row", "at", "turn"]
+    turn = 0
+    chunks = chunks.withColumn("turn", F.lit(turn))
+    marks = written(_marked(chunks, pattern, overlap), "marks")
     while True:
-        marks = written(chunks.mapInArrow(_marks(pattern, overlap), "row long, at long, own long, heads array<long>, tails array<long>"), "marks")
         shared = F.array_min(F.array_intersect("heads", F.lag("tails").over(order)))
-        cuts = written(marks.select("row", "at", F.when(F.col("at") == 0, F.col("at")).otherwise(shared).alias("begin")), "cuts")
+        cuts = written(marks.select(*key, F.when(F.col("at") == 0, F.col("at")).otherwise(shared).alias("begin")), "cuts")
         if cuts.where("begin is null").isEmpty():
             return chunks, cuts.withColumn("end", F.lead("begin").over(order))
-        groups = cuts.withColumn("head", F.max(F.when(F.col("begin").isNotNull(), F.col("at"))).over(order)).select("row", "at", "head")
-        joined = chunks.join(groups, ["row", "at"]).groupBy("row", "head").agg(F.array_sort(F.collect_list(F.struct("at", "own", "last", "text"))).alias("c"))
+        groups = cuts.withColumn("head", F.max(F.when(F.col("begin").isNotNull(), F.col("at"))).over(order))
+        several = groups.withColumn("n", F.count("*").over(Window.partitionBy("row", "head"))).where("n > 1")
+        several = short(written(several.select(*key, "head"), "several"))
+        joined = chunks.join(several, key).groupBy("row", "head").agg(F.array_sort(F.collect_list(F.struct("at", "own", "last", "text"))).alias("c"))
         end = F.element_at("c", -1)
         whole = F.concat(F.array_join(F.transform(F.slice("c", 1, F.size("c") - 1), lambda c: F.substring(c["text"], F.lit(1), c["own"] - c["at"])), ""), end["text"])
-        chunks = written(joined.select("row", F.col("head").alias("at"), end["own"].alias("own"), end["last"].alias("last"), whole.alias("text")), "chunks")
+        turn += 1
+        longer = written(joined.select("row", F.col("head").alias("at"), end["own"].alias("own"), end["last"].alias("last"), whole.alias("text"), F.lit(turn).alias("turn")), "chunks")
+        marks = written(marks.join(several, key, "left_anti").unionByName(_marked(longer, pattern, overlap)), "marks")
+        chunks = chunks.unionByName(longer)
 
 
 def _encoded(path: str, pattern: str):
@@ -173,7 +195,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     chunks, cuts = stitched(chunks, pattern, overlap)
     begin = F.col("begin") - F.col("at") + 1
     size = F.coalesce(F.col("end") - F.col("begin"), F.char_length("text").cast("long"))
-    pieces = chunks.join(cuts, ["row", "at"]).select("row", "begin", F.substring("text", begin, size).alias("text"))
+    pieces = chunks.join(cuts.hint("merge"), ["row", "at", "turn"]).select("row", "begin", F.substring("text", begin, size).alias("text"))
     pieces = pieces.mapInArrow(_encoded(path, pattern), "row long, part long, ids binary").join(large.select("row", "id"), "row")
     (name,) = fresh(["row", "part", "whole", "ids"], id_col)
     return short.union(pieces.select("row", "id", "part", F.lit(False).alias("whole"), "ids")).withColumnRenamed("id", name)
@@ -204,36 +226,43 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(_decoded(path), f"{schema}, bytes binary")
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(path: str):
     """Digests over the pieces of each text, which follow each other; only the hashes' states are kept."""
-    row = doc = None
-    n = 0
-    ids_hash = bytes_hash = hashlib.sha256()
-
-    def made():
-        return pa.record_batch({"id": doc, "n_tokens": pa.array([n], pa.int64()), "ids_sha256": pa.array([ids_hash.hexdigest()]), "decoded_sha256": pa.array([bytes_hash.hexdigest()])})
-
-    for batch in batches:
-        for k, at in enumerate(batch.column("row").to_pylist()):
-            if at != row:
-                if row is not None:
-                    yield made()
-                row, doc, n = at, batch.column("id").slice(k, 1), 0
-                ids_hash, bytes_hash = hashlib.sha256(), hashlib.sha256()
-            ids = batch.column("ids")[k].as_py()
-            n += len(ids) // 4
-            ids_hash.update(ids)
-            bytes_hash.update(batch.column("bytes")[k].as_py())
-    if row is not None:
-        yield made()
-
-
-def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) of each text of ``decode``'s rows. Only texts of several pieces
-    are brought together, by a hash of their rows, and they pass through their task piece by piece."""
-    kind = decoded.schema[id_col].dataType.simpleString()
-    rows = decoded.withColumnRenamed(id_col, "id")
-    whole = rows.where("whole").select("id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
-    pieces = rows.where("not whole").select("row", "part", "id", "ids", "bytes").repartition("row").sortWithinPartitions("row", "part")
-    streamed = pieces.mapInArrow(_hashed, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = token_bytes(path)
+        row = doc = None
+        n = 0
+        ids_hash = bytes_hash = hashlib.sha256()
+
+        def made():
+            return pa.record_batch({"id": doc, "n_tokens": pa.array([n], pa.int64()), "ids_sha256": pa.array([ids_hash.hexdigest()]), "decoded_sha256": pa.array([bytes_hash.hexdigest()])})
+
+        for batch in batches:
+            for k, at in enumerate(batch.column("row").to_pylist()):
+                if at != row:
+                    if row is not None:
+                        yield made()
+                    row, doc, n = at, batch.column("id").slice(k, 1), 0
+                    ids_hash, bytes_hash = hashlib.sha256(), hashlib.sha256()
+                ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u4")
+                n += len(ids)
+                ids_hash.update(ids)
+                bytes_hash.update(_bytes_of(known, ids))
+        if row is not None:
+            yield made()
+
+    return run
+
+
+def digest(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of each text of ``encode``'s rows, decoded again. Only texts of
+    several pieces are brought together, by a hash of their rows; they pass through their task piece by piece and are
+    decoded there."""
+    kind = encoded.schema[id_col].dataType.simpleString()
+    rows = encoded.withColumnRenamed(id_col, "id")
+    whole = decode(rows.where("whole").select("id", "ids"), path)
+    whole = whole.select("id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    pieces = rows.where("not whole").select("row", "part", "id", "ids").repartition("row").sortWithinPartitions("row", "part")
+    streamed = pieces.mapInArrow(_hashed(path), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return whole.union(streamed).withColumnRenamed("id", id_col)

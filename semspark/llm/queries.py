@@ -85,7 +85,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
     encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bytebpe.digest(bytebpe.decode(encoded, ranks))
+    return bytebpe.digest(encoded, ranks)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

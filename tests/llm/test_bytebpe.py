@@ -21,7 +21,7 @@ def plain(text):
 
 
 def digests(df, **options):
-    rows = bytebpe.digest(bytebpe.decode(bytebpe.encode(df, RANKS, PATTERN, **options), RANKS)).collect()
+    rows = bytebpe.digest(bytebpe.encode(df, RANKS, PATTERN, **options), RANKS).collect()
     return sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows)
 
 
