@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import logging
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.components import components
 from ..functions.hashing import U, mix
 from ..functions.names import fresh
+from ..functions.numbering import numbered
+from ..functions.skew import spread_join
 from ..runtime.embedders import REQUEST_ROWS, HashingEmbedder, HTTPEmbedder, unit
 from ..runtime.protocol import parse_literal
-from ..runtime.shared import written
+from ..runtime.shared import few, written
 from .base import answer_udf, col, dealt, input_columns, serialised, shared_model
+from .clusters import clusters
+from .graph import _HITS, best_hits, nearest_graph, stacked
 from .reduce import register_action
 
-log = logging.getLogger(__name__)
-
 #: Vectors of a block; a task compares two blocks.
 BLOCK = 2048
 #: Width of the intervals of a projection, as a multiple of the distance at the threshold, and vectors that the number
@@ -38,8 +38,10 @@ def embedding_text(columns: list[str]):
     return F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), col(c).cast("string")) for c in columns])
 
 
-def embed(df: DataFrame, id_col: str, text, embedder) -> DataFrame:
-    """(id, vec): unit vectors of the texts, in requests of 256."""
+def embed(df: DataFrame, id_col: str, text, embedder, store=None) -> DataFrame:
+    """(id, vec): unit vectors of the texts, in requests of 256. With a ``store`` only texts that it lacks are embedded."""
+    if store is not None:
+        return store.embedded(df.select(col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null"), embedder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,12 +54,6 @@ def embed(df: DataFrame, id_col: str, text, embedder) -> DataFrame:
     return dealt(rows, df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "id long, vec array<float>")
 
 
-def _stacked(column) -> np.ndarray:
-    """A matrix of the vectors of a column, which have one length."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1)
-
-
 def _best(score: np.ndarray, left: np.ndarray, right: np.ndarray, top_k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, hit, score) of each row's best columns; ties go to the lesser id."""
     row, column = np.nonzero(score >= threshold)
@@ -77,7 +73,7 @@ def _block_hits(top_k: int, threshold: float, keys: tuple[str, ...] = ("i", "j")
         order = np.lexsort(parts)
         cut = np.flatnonzero(np.any([p[order][1:] != p[order][:-1] for p in parts], axis=0)) + 1
         ids, home, first, second = (np.asarray(group.column(c)) for c in ("id", "home", "i", "j"))
-        vec = _stacked(group.column("vec"))
+        vec = stacked(group.column("vec"))
         found = []
         for own in np.split(order, cut):
             i, j = first[own[0]], second[own[0]]
@@ -93,14 +89,6 @@ def _block_hits(top_k: int, threshold: float, keys: tuple[str, ...] = ("i", "j")
     return hits
 
 
-_HITS = "id long, hit long, score float"
-
-
-def _ranked(hits: DataFrame, top_k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "hit"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= top_k).select("id", "hit", "score")
-
-
 def nearest(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, block: int = BLOCK) -> DataFrame:
     """(id, hit, score): for each id its ``top_k`` nearest vectors by cosine (itself among them), those that reach
     the threshold. Exact: blocks of vectors are multiplied with each other, so the work grows with the square of their
@@ -110,7 +98,7 @@ def nearest(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, block:
     dealt = vectors.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("id", "vec", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
-    return _ranked(dealt.groupBy("i", "j").applyInArrow(_block_hits(top_k, threshold), _HITS), top_k)
+    return best_hits(dealt.groupBy("i", "j").applyInArrow(_block_hits(top_k, threshold), _HITS), top_k)
 
 
 def _agreement(ratio: float) -> float:
@@ -144,7 +132,7 @@ def _codes(threshold: float, size: int, tables: int, seed: int):
         for batch in batches:
             if not len(batch):
                 continue
-            vec = _stacked(batch.column(1)).astype(np.float64)
+            vec = stacked(batch.column(1)).astype(np.float64)
             if planes is None:
                 rng = np.random.default_rng(seed)
                 planes, shift = rng.standard_normal((vec.shape[1], size * tables)), rng.random(size * tables)
@@ -166,6 +154,8 @@ def nearest_banded(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90,
     their pairs of blocks are compared.
     """
     vectors = vectors.select("id", "vec")
+    if vectors.isEmpty():
+        return vectors.select("id", F.col("id").alias("hit"), F.lit(1.0).cast("float").alias("score"))
     sample = [r.vec for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()]
     size, tables = fit_bands(np.array(sample, np.float64).reshape(len(sample), -1), vectors.count(), threshold, recall, seed)
     coded = vectors.mapInArrow(_codes(threshold, size, tables, seed), "id long, codes array<long>")
@@ -180,7 +170,7 @@ def nearest_banded(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90,
     keys = ("band", "code", "i", "j")
     hits = dealt.groupBy(F.pmod(F.xxhash64(*keys), F.lit(bins))).applyInArrow(_block_hits(top_k, threshold, keys), _HITS)
     alone = vectors.where(F.exists("vec", lambda v: v != 0)).select("id", F.col("id").alias("hit"), F.lit(1.0).cast("float").alias("score"))
-    return _ranked(hits.where("id <> hit").groupBy("id", "hit").agg(F.max("score").alias("score")).union(alone), top_k)
+    return best_hits(hits.where("id <> hit").groupBy("id", "hit").agg(F.max("score").alias("score")).union(alone), top_k)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -189,49 +179,23 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return everything.where("id < hit").select(F.col("id").alias("a"), F.col("hit").alias("b"), "score")
 
 
-def greedy(hits: dict[int, list[int]]) -> list[list[int]]:
-    """Clusters: anchors in id order take their hits that nobody has; the anchor comes last in its cluster."""
-    seen: set[int] = set()
-    out = []
-    for anchor in sorted(hits):
-        if anchor in seen:
-            continue
-        own = []
-        for h in hits[anchor]:
-            if h != anchor and h not in seen and h not in own:
-                own.append(h)
-        if own:
-            seen.update(own)
-            seen.add(anchor)
-            out.append([*own, anchor])
-    return out
-
-
-def clusters(hits: DataFrame) -> DataFrame:
-    """(cluster_id, members): greedy clusters of directed hits. Each component of the hits is done on its own, which
-    gives the same clusters, as choices in one never touch another."""
-    edges = hits.where("id <> hit")
-    found = components(edges.select("id", "hit"))
-    rows = edges.join(found, edges.id == found.node).select("component", "id", "hit", "score")
-
-    def run(group: pa.Table) -> pa.Table:
-        order = sorted(zip(group.column("id").to_pylist(), [-s for s in group.column("score").to_pylist()], group.column("hit").to_pylist(), strict=True))
-        by: dict[int, list[int]] = {}
-        for a, _, h in order:
-            by.setdefault(a, []).append(h)
-        made = greedy(by)
-        return pa.table({"cluster_id": pa.array([min(m) for m in made], pa.int64()), "members": pa.array(made, pa.list_(pa.int64()))})
-
-    return rows.groupBy("component").applyInArrow(run, "cluster_id long, members array<long>")
-
-
-def expanded(merges: DataFrame, classes: DataFrame) -> DataFrame:
-    """Merges (canonical_id, duplicate_ids) of the rows of ``classes`` (id, ids), with all ``ids`` for each id. A class
-    of several ids that is in no merge becomes one of its own."""
-    placed = merges.select("canonical_id", F.explode(F.concat(F.array("canonical_id"), "duplicate_ids")).alias("id"))
-    whole = classes.select("id", "ids").join(placed, "id", "left").where("size(ids) > 1 or canonical_id is not null")
-    grown = whole.groupBy(F.coalesce("canonical_id", "id").alias("canonical_id")).agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    return grown.select("canonical_id", F.array_sort(F.array_remove("ids", F.col("canonical_id"))).alias("duplicate_ids"))
+def composed(lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """(id, canonical_id): ``upper``'s pairs, and ``lower``'s with what ``upper`` makes of their canonical ids. An id has
+    one pair at most in each. Very many rows may have one canonical id."""
+    onward = upper.select(F.col("id").alias("canonical_id"), F.col("canonical_id").alias("onward"))
+    moved = spread_join(lower, onward, ["canonical_id"], "left").select("id", F.coalesce("onward", "canonical_id").alias("canonical_id"))
+    return moved.union(upper.select("id", "canonical_id"))
+
+
+def one_of_each(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(id of the least row of each value of ``key``, pairs (id, canonical_id) of the other rows) of ``rows`` (id, key).
+
+    Values are counted before rows meet, and only those of several rows take part in the join; their rows are dealt out.
+    """
+    least = written(rows.groupBy(key).agg(F.min("id").alias("canonical_id"), F.count("*").alias("n")), "least")
+    several = least.where("n > 1").select(key, "canonical_id")
+    pairs = spread_join(rows, several, [key]).where("id <> canonical_id").select("id", "canonical_id")
+    return least.select(F.col("canonical_id").alias("id")), pairs
 
 
 _VERDICT = T.StructType([T.StructField("canonical_id", T.LongType()), T.StructField("duplicate_ids", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())])
@@ -258,63 +222,92 @@ def read_verdict(answer) -> dict:
 class SemanticDeduplicator:
     """Merges rows that mean the same.
 
-    ``id_col`` names a unique integer column. Rows with equal inputs are one class, merged without a question; the
-    neighbour search and the model see the row of least id of each, so ``top_k`` bounds distinct neighbours only.
-    Without ``llm`` equal vectors are one class too, and every candidate cluster is merged onto its least id.
-    Calling it gives the merges (canonical_id, duplicate_ids), or with ``return_df`` the frame without duplicates.
+    ``id_col`` names a unique column of any type with an order. Rows with equal inputs are one class, merged without a
+    question; the neighbour search and the model see the row of least id of each, so ``top_k`` bounds distinct neighbours
+    only. Without ``llm`` equal vectors are one class too, and every candidate cluster is merged onto its least id. Rows
+    with a null id take no part. A model is told whole-number ids as they are, and others by their rank.
+
+    Calling it gives the merges (canonical_id, duplicate_ids), one array for each group; with ``pairs`` rows (id,
+    canonical_id), which groups of any size allow; with ``return_df`` the frame without duplicates. Without ``id_col``
+    rows are numbered as they come, which serves ``return_df`` alone.
 
-    index: 'exact' compares all distinct vectors; 'banded' those that agree in a band of random projections, and finds
-    a pair at the threshold with the probability ``recall``. ``embedding_model`` names a model of the HTTP endpoint in
-    place of an ``embedder``. ``hnsw_m`` and ``ef_search`` belong to graph indexes, which are not built here: they are
-    taken for callers that pass them, change nothing, and are logged.
+    index: 'graph' (the default) searches small-world graphs of ``hnsw_m`` links by beams of ``ef_search`` points in
+    ``probes`` cells; 'banded' compares vectors that agree in a band of random projections, and finds a pair at the
+    threshold with the probability ``recall``; 'exact' compares all distinct vectors, so that its work grows with the
+    square of their number. ``embedding_model`` names a model of the HTTP endpoint in place of an ``embedder``. ``store``
+    keeps vectors by model and text, so that a text is embedded once (see ``VectorStore``).
     """
 
-    def __init__(self, llm=None, id_col: str = "id", embedder=None, sim_threshold: float = 0.90, top_k: int = 50, input_fields=None, return_df: bool = False, max_retries: int = 3, block: int = BLOCK, index: str = "exact", recall: float = 0.95, embedding_model: str | None = None, hnsw_m: int | None = None, ef_search: int | None = None):
-        if index not in ("exact", "banded"):
-            raise ValueError("index is 'exact' or 'banded'")
-        if hnsw_m is not None or ef_search is not None:
-            log.warning("hnsw_m and ef_search change nothing: the index is %s; recall sets how much a banded one finds", index)
+    def __init__(self, llm=None, id_col: str | None = "id", embedder=None, sim_threshold: float = 0.90, top_k: int = 50, input_fields=None, return_df: bool = False, pairs: bool = False, max_retries: int = 3, block: int = BLOCK, index: str = "graph", recall: float = 0.95, embedding_model: str | None = None, hnsw_m: int = 32, ef_search: int = 128, probes: int = 4, store=None):
+        if index not in ("graph", "banded", "exact"):
+            raise ValueError("index is 'graph', 'banded' or 'exact'")
+        if id_col is None and not return_df:
+            raise ValueError("merges need id_col, the column that their ids are from")
         self.llm, self.id_col = llm, id_col
         self.embedder = embedder or (HTTPEmbedder(embedding_model) if embedding_model else HashingEmbedder())
         self.sim_threshold, self.top_k, self.input_fields = sim_threshold, top_k, input_fields
-        self.return_df, self.max_retries, self.block = return_df, max_retries, block
-        self.index, self.recall = index, recall
+        self.return_df, self.pairs, self.max_retries, self.block = return_df, pairs, max_retries, block
+        self.index, self.recall, self.hnsw_m, self.ef_search, self.probes, self.store = index, recall, hnsw_m, ef_search, probes, store
+
+    def _near(self, points: DataFrame) -> DataFrame:
+        if self.index == "graph":
+            return nearest_graph(points, self.top_k, self.sim_threshold, self.hnsw_m, self.ef_search, self.probes)
+        if self.index == "banded":
+            return nearest_banded(points, self.top_k, self.sim_threshold, self.recall, self.block)
+        return nearest(points, self.top_k, self.sim_threshold, self.block)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         columns = input_columns(df, self.input_fields)
-        if self.id_col not in df.columns:
+        (number,) = fresh(df.columns, "row_number")
+        names = None
+        if self.id_col is None:
+            df = written(df.withColumn(number, F.monotonically_increasing_id()), "rows")
+        elif self.id_col not in df.columns:
             raise ValueError(f"id_col {self.id_col!r} is not a column of the frame")
-        inputs = [c for c in columns if c != self.id_col]
-        rows = df.select(col(self.id_col).cast("long").alias("id"), (F.sha2(serialised(inputs), 256) if inputs else col(self.id_col)).alias("row")).where("id is not null")
-        classes = written(rows.groupBy("row").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")).select("id", "ids"), "classes")
-        first, gone_id = fresh(df.columns, "first_id", "gone_id")
-        heads = classes.select(F.col("id").alias(first)).hint("broadcast" if classes.count() <= BROADCAST_IDS else "merge")
-        firsts = df.join(heads, col(self.id_col).cast("long") == F.col(first), "left_semi")
-        vectors = written(embed(firsts, self.id_col, embedding_text(inputs), self.embedder), "vectors")
-        points = equal = vectors
+        elif isinstance(df.schema[self.id_col].dataType, T.IntegralType):
+            df = df.withColumn(number, col(self.id_col).cast("long"))
+        else:
+            names = numbered(df.select(col(self.id_col)))
+            df = df.join(names.withColumnsRenamed({"given": self.id_col, "number": number}), self.id_col, "left")
+        merged = written(self._merged(df, number, [c for c in columns if c != self.id_col]), "pairs")
+        if self.return_df:
+            gone = merged.select(F.col("id").alias(number))
+            kept = df.join(F.broadcast(gone), number, "left_anti") if gone.count() <= BROADCAST_IDS else spread_join(df, gone, [number], "left_anti")
+            return kept.drop(number)
+        if names is not None:
+            for end in ("id", "canonical_id"):
+                merged = spread_join(merged, names.select(F.col("number").alias(end), F.col("given").alias("of_" + end)), [end])
+            merged = merged.select(F.col("of_id").alias("id"), F.col("of_canonical_id").alias("canonical_id"))
+        if self.pairs:
+            return merged
+        return merged.groupBy("canonical_id").agg(F.array_sort(F.collect_list("id")).alias("duplicate_ids"))
+
+    def _merged(self, df: DataFrame, number: str, inputs: list[str]) -> DataFrame:
+        """(id, canonical_id) of all rows that are merged into another one, by their numbers."""
+        rows = df.select(col(number).alias("id"), (F.sha2(serialised(inputs), 256) if inputs else col(number)).alias("row")).where("id is not null")
+        heads, pairs = one_of_each(rows, "row")
+        heads = few(heads.select(F.col("id").alias(number)))
+        firsts = df.join(heads, number, "left_semi")
+        vectors = written(embed(firsts, number, embedding_text(inputs), self.embedder, self.store), "vectors")
+        points = vectors
         if self.llm is None:  # vectors of zeros are like no other
             alone = F.when(~F.exists("vec", lambda v: v != 0), F.col("id"))
-            points = equal = written(vectors.groupBy("vec", alone).agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")).select("id", "vec", "ids"), "points")
-        points = points.select("id", "vec")
-        if self.index == "banded":
-            near = nearest_banded(points, self.top_k, self.sim_threshold, self.recall, self.block)
-        else:
-            near = nearest(points, self.top_k, self.sim_threshold, self.block)
-        hits = written(near, "hits")
-        found = written(clusters(hits), "clusters")
-        confirmed = self._confirmed(df, found, columns)
-        merges = written(expanded(confirmed if self.llm else expanded(confirmed, equal), classes), "merges")
-        if not self.return_df:
-            return merges
-        gone = merges.select(F.explode("duplicate_ids").alias(gone_id)).distinct()
-        return df.join(gone, col(self.id_col).cast("long") == F.col(gone_id), "left_anti")
-
-    def _confirmed(self, df: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+            keyed = vectors.select("id", F.struct("vec", F.coalesce(alone, F.lit(-1)).alias("alone")).alias("key"))
+            least, equal = one_of_each(keyed, "key")
+            points = vectors.join(few(least), "id", "left_semi")
+        found = written(clusters(written(self._near(points.select("id", "vec")), "hits")), "clusters")
+        confirmed = self._confirmed(df, number, found, inputs)
+        merges = confirmed.select(F.explode("duplicate_ids").alias("id"), "canonical_id")
+        if self.llm is None:
+            merges = composed(equal, merges)
+        return composed(pairs, merges)
+
+    def _confirmed(self, df: DataFrame, number: str, found: DataFrame, inputs: list[str]) -> DataFrame:
         if self.llm is None:
             own = found.select(F.array_min("members").alias("canonical_id"), "members")
             return own.select("canonical_id", F.array_sort(F.array_remove("members", F.col("canonical_id"))).alias("duplicate_ids"))
         llm, tasks = shared_model(df.sparkSession, self.llm)
-        rows = df.select(col(self.id_col).cast("long").alias("member"), serialised([c for c in columns if c != self.id_col]).alias("row"))
+        rows = df.select(col(number).alias("member"), serialised(inputs).alias("row"))
         placed = found.select("cluster_id", "members", F.posexplode("members").alias("at", "member")).join(rows, "member")
         lines = placed.groupBy("cluster_id").agg(F.first("members").alias("members"), F.array_sort(F.collect_list(F.struct("at", "member", "row"))).alias("rows"))
         line = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("ID "), r["member"].cast("string"), F.lit(": "), r["row"])), "\n")
@@ -324,4 +317,4 @@ class SemanticDeduplicator:
         verdicts = dealt(lines.select("members", text.alias("text")), tasks).withColumn("v", ask(F.col("text"))).select("members", "v.canonical_id", "v.duplicate_ids")
         valid = verdicts.where("canonical_id is not null and array_contains(members, canonical_id) and size(array_except(duplicate_ids, members)) = 0")
         out = valid.select("canonical_id", F.array_sort(F.array_distinct(F.filter("duplicate_ids", lambda d: d != F.col("canonical_id")))).alias("duplicate_ids"))
-        return out.where("size(duplicate_ids) > 0")
+        return written(out.where("size(duplicate_ids) > 0"), "confirmed")

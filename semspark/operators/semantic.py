@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import fresh
+from ..functions.skew import spread_join
 from ..functions.types import ddl_of
 from ..runtime.protocol import find_dict
 from ..runtime.shared import written
+from ..runtime.store import content_key
 from .base import DELETED, ERROR, INTERNAL, Op, answer_udf, col, dealt, flag, input_columns, require_frame, serialised, shared_model
 
 FILTER_KEY = "__filter__"
@@ -50,20 +52,23 @@ def _output_types(fields) -> dict[str, str]:
 
 
 def cluster_map(df: DataFrame, clusters) -> DataFrame:
-    """(dup, canonical) from a merge table or a list of {canonical_id, duplicate_ids}; a duplicate has one canonical."""
+    """(dup, canonical) from merges (canonical_id, duplicate_ids), pairs (id, canonical_id) or a list of {canonical_id,
+    duplicate_ids}; a duplicate has one canonical."""
     if not isinstance(clusters, DataFrame):
         rows = [(c["canonical_id"], list(c["duplicate_ids"])) for c in clusters]
         clusters = df.sparkSession.createDataFrame(rows, "canonical_id long, duplicate_ids array<long>")
-    pairs = clusters.select(F.col("canonical_id").alias("canonical"), F.explode("duplicate_ids").alias("dup"))
+    dup = F.explode("duplicate_ids") if "duplicate_ids" in clusters.columns else F.col("id")
+    pairs = clusters.select(F.col("canonical_id").alias("canonical"), dup.alias("dup"))
     return pairs.where("dup <> canonical").groupBy("dup").agg(F.min("canonical").alias("canonical"))
 
 
 class _Semantic(Op):
-    def __init__(self, prompt: str, input_fields=None, name=None, clusters=None, id_col=None, collapse: bool = False, max_retries: int = 5):
+    def __init__(self, prompt: str, input_fields=None, name=None, clusters=None, id_col=None, collapse: bool = False, max_retries: int = 5, store=None):
         super().__init__(name)
         if clusters is not None and id_col is None:
             raise ValueError("clusters need id_col, the column that their ids are from")
         self.prompt, self.input_fields, self.clusters, self.id_col, self.collapse, self.max_retries = prompt, input_fields, clusters, id_col, collapse, max_retries
+        self.store = store
         self.input, self.output = f"{INTERNAL}{self.name}_input", f"{INTERNAL}{self.name}_output"
 
     def _answered(self, llm, df: DataFrame, question) -> DataFrame:
@@ -73,6 +78,7 @@ class _Semantic(Op):
         """
         llm, tasks = shared_model(df.sparkSession, llm)
         ask = question(llm)
+        self._model = f"{llm.model_name}/{llm.temperature}"
         text = serialised(input_columns(df, self.input_fields))
         rows = df.withColumn(self.input, F.when(~flag(df, DELETED), text))
         if self.clusters is None:
@@ -87,7 +93,32 @@ class _Semantic(Op):
         out = out.withColumn(self.output, F.when(F.col(canonical).isNull() | flag(df, DELETED), F.col(self.output)).otherwise(F.col(given)))
         return out.withColumn(self.input, F.when(~flag(df, DELETED), text)).drop(canonical, key, given)
 
+    def _question(self) -> str:
+        """What is asked of each row; answers are stored under it."""
+        return f"{type(self).__name__}: {self.prompt}"
+
+    def _stored(self, rows: DataFrame, ask, tasks: int) -> DataFrame:
+        """As ``_ask`` with ``collapse``, but only what the store lacks is sent. Readable answers are stored; the others
+        are sent again by the next run. Runs a job."""
+        sent, given = fresh([*rows.columns, self.output, "key", "text", "value"], "sent", "given")
+        inputs = written(rows.select(F.col(self.input).alias("text")).where("text is not null").distinct(), "inputs")
+        keyed = inputs.select(content_key(self._model, F.lit(self._question()), F.col("text")).alias("key"), "text")
+        lacking = written(self.store.missing(keyed), "missing")
+        failed = None
+        if not lacking.isEmpty():
+            asked = written(dealt(lacking, tasks).withColumn(given, ask(F.col("text"))), "answers")
+            readable = F.col(given)["error"].isNull()
+            self.store.append(asked.where(readable).select("key", F.to_json(given, {"ignoreNullFields": "false"}).alias("value")))
+            failed = asked.where(~readable).select("text", given)
+        schema = lacking.withColumn(given, ask(F.col("text"))).schema[given].dataType
+        known = self.store.known(keyed).where("value is not null").select("text", F.from_json("value", schema).alias(given))
+        known = written(known if failed is None else known.unionByName(failed), "given").toDF(sent, self.output)
+        dealt_rows = rows.withColumn(sent, F.col(self.input))
+        return spread_join(dealt_rows, known, [sent], "left").drop(sent)
+
     def _ask(self, rows: DataFrame, ask, tasks: int) -> DataFrame:
+        if self.store is not None:
+            return self._stored(rows, ask, tasks)
         if not self.collapse:
             return dealt(rows, tasks).withColumn(self.output, ask(F.col(self.input)))
         (sent,) = fresh([*rows.columns, self.output], "sent")
@@ -103,6 +134,9 @@ class SemanticMap(_Semantic):
         super().__init__(prompt, **options)
         self.types = _output_types(output_fields)
 
+    def _question(self) -> str:
+        return f"{super()._question()} -> {sorted(self.types)}"
+
     def __call__(self, llm, df: DataFrame) -> DataFrame:
         require_frame(df)
         names = list(self.types) or [c for c in df.columns if not c.startswith(INTERNAL)]
@@ -148,24 +182,25 @@ class SemanticFilter(_Semantic):
         return out.withColumn(self.output, F.col(self.output)["raw"])
 
 
-def map(*, prompt: str, output_fields=None, input_fields=None, name=None, clusters=None, id_col=None, collapse=False, max_retries=5) -> SemanticMap:  # noqa: A001
+def map(*, prompt: str, output_fields=None, input_fields=None, name=None, clusters=None, id_col=None, collapse=False, max_retries=5, store=None) -> SemanticMap:  # noqa: A001
     """A semantic projection, used as ``map(prompt=...)(llm, df)``.
 
     output_fields: names (text), a dict of name to type, or a StructType; without it only existing columns may change.
     A key that the answer lacks leaves an existing column as it is, a null sets it to null. A row whose answer cannot
     be read or does not fit its type is flagged in ``__sem_error`` and keeps its values. clusters (with id_col): rows
     named as duplicates are not sent and take their canonical row's answer. collapse: equal inputs are sent once.
+    store (an AnswerStore): readable answers are kept by model, question and input, and what it has is not sent again.
     """
-    return SemanticMap(prompt, output_fields, input_fields=input_fields, name=name, clusters=clusters, id_col=id_col, collapse=collapse, max_retries=max_retries)
+    return SemanticMap(prompt, output_fields, input_fields=input_fields, name=name, clusters=clusters, id_col=id_col, collapse=collapse, max_retries=max_retries, store=store)
 
 
-def filter(*, prompt: str, input_fields=None, name=None, clusters=None, id_col=None, on_error="keep", collapse=False, max_retries=5) -> SemanticFilter:  # noqa: A001
+def filter(*, prompt: str, input_fields=None, name=None, clusters=None, id_col=None, on_error="keep", collapse=False, max_retries=5, store=None) -> SemanticFilter:  # noqa: A001
     """A semantic predicate, used as ``filter(prompt=...)(llm, df)``: rows are marked, ``finalize`` removes them.
 
     The result column holds 1, 0 or -1 (no usable answer). Rows with -1 are flagged and stay, or go with
     ``on_error='delete'``. Rows that an earlier filter dropped are not sent and stay dropped.
     """
-    return SemanticFilter(prompt, on_error, input_fields=input_fields, name=name, clusters=clusters, id_col=id_col, collapse=collapse, max_retries=max_retries)
+    return SemanticFilter(prompt, on_error, input_fields=input_fields, name=name, clusters=clusters, id_col=id_col, collapse=collapse, max_retries=max_retries, store=store)
 
 
 def finalize(df: DataFrame, keep_errored_rows: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..agent import Agent, run_plan
-from ..operators.dedup import SemanticDeduplicator, similar_pairs
+from ..operators.dedup import SemanticDeduplicator, one_of_each, similar_pairs
 from ..operators.reduce import reduce
 from ..operators.semantic import filter as sem_filter
 from ..operators.semantic import finalize
@@ -128,8 +128,7 @@ def sem_map_distinct_collapse(spark, d):
 
 
 def _copies(df: DataFrame) -> DataFrame:
-    ids = df.groupBy(F.md5("text").alias("h")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1")
-    return ids.select(F.element_at("ids", 1).alias("canonical_id"), F.slice("ids", 2, 1 << 20).alias("duplicate_ids"))
+    return one_of_each(df.select(F.col("doc_id").alias("id"), F.md5("text").alias("h")), "h")[1]
 
 
 @_query("SELECT doc_id, length(text)::BIGINT AS text_length FROM documents")

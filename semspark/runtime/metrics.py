@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-NAMES = ("requests", "failed_requests", "rows", "retried_rows", "unanswered_rows", "tokens_sent")
+NAMES = ("requests", "failed_requests", "rows", "retried_rows", "unanswered_rows", "tokens_sent", "embedding_requests")
 
 
 class RunMetrics:

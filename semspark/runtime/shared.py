@@ -65,6 +65,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast; their count is checked first.
+FEW = 1_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table with a hint to broadcast it if it has ``most`` rows or fewer, else to join it by shuffles."""
+    return df.hint("broadcast" if df.count() <= most else "merge")
+
+
 def _delete(spark: SparkSession, path) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

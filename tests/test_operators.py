@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import semspark as ss
 from semspark.agent import AgentError, PlanError, run_plan
-from semspark.operators.dedup import BLOCK, greedy, nearest, nearest_banded, read_verdict
+from semspark.operators.clusters import greedy
+from semspark.operators.dedup import BLOCK, nearest, nearest_banded, read_verdict
 from semspark.plans.rules import same_text
 from semspark.runtime.clients import ScriptedLLM
 from semspark.runtime.embedders import HashingEmbedder, unit
@@ -208,10 +209,10 @@ def test_banded_neighbours_find_nine_in_ten(spark):
     full = vec @ vec.T
     assert exact == {(i, j) for i in range(len(vec)) for j in range(len(vec)) if full[i, j] >= 0.9}
     df = spark.createDataFrame([(k, f"red apple {k % 3} {'x' * (k % 2)}") for k in range(60)], "id long, text string")
-    made = [{m.canonical_id: m.duplicate_ids for m in ss.reduce(df, action="dedup", id_col="id", sim_threshold=0.9999, index=i, hnsw_m=32, ef_search=128).collect()} for i in ("exact", "banded")]
-    assert made[0] == made[1] and len(made[0]) == 6
+    made = [{m.canonical_id: m.duplicate_ids for m in ss.reduce(df, action="dedup", id_col="id", sim_threshold=0.9999, index=i, hnsw_m=32, ef_search=128).collect()} for i in ("exact", "banded", "graph")]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 6
     with pytest.raises(ValueError, match="index"):
-        ss.SemanticDeduplicator(index="graph")
+        ss.SemanticDeduplicator(index="tree")
 
 
 def test_hashed_trigrams_are_those_of_the_words():
