@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..agent import Agent, run_plan
 from ..operators.dedup import SemanticDeduplicator, one_of_each, similar_pairs
+from ..operators.graph import nearest_exact, nearest_graph, recall
 from ..operators.reduce import reduce
 from ..operators.semantic import filter as sem_filter
 from ..operators.semantic import finalize
 from ..operators.semantic import map as sem_map
 from ..runtime.clients import CallableLLM, ScriptedLLM
+from ..runtime.embedders import HashingEmbedder
+from ..runtime.metrics import RunMetrics
 from ..runtime.protocol import END, framed_rows
+from ..runtime.shared import new_path, written
+from ..runtime.store import AnswerStore, VectorStore
 from . import rules, source_queries  # noqa: F401  registers its queries
 from .registry import ORACLE_SQL, QUERIES
 from .registry import query as _query
@@ -161,6 +166,53 @@ def dedup_return_df(spark, d):
     return _dedup(spark, d, True).select("doc_id", "lang")
 
 
+@_query("SELECT canonical_id, count(*) AS n_duplicates, min(id) AS first_duplicate FROM (SELECT 'doc-' || doc_id AS id, min('doc-' || doc_id) OVER (PARTITION BY text) AS canonical_id FROM documents) WHERE id <> canonical_id GROUP BY canonical_id")
+def dedup_text_ids(spark, d):
+    """Pairs of a frame whose ids are texts, in text order."""
+    df = _table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("key"), "text")
+    pairs = reduce(df, action="dedup", llm=CallableLLM(rules.same_text), id_col="key", input_fields=["text"], sim_threshold=0.9999, index="banded", recall=0.999, pairs=True)
+    return pairs.groupBy("canonical_id").agg(F.count("*").alias("n_duplicates"), F.min("id").alias("first_duplicate"))
+
+
+@_query("SELECT count(*) FILTER (vec_id % 20 = 0) AS n_asked, 10 * count(*) FILTER (vec_id % 20 = 0) AS n_hits, TRUE AS recall_reached FROM embeddings")
+def knn_graph(spark, d):
+    """Ten neighbours of each vector whose id 20 divides, by small-world graphs over all vectors: how many hits there
+    are, and whether nine in ten of the exact ones are among them."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    vectors = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: (x / norm).cast("float")).alias("vec"))
+    asked = F.col("id") % 20 == 0
+    found = written(nearest_graph(vectors, 10, -2.0, m=16, ef=96, asked=asked), "found")
+    reached = recall(found, nearest_exact(vectors, asked, 10)) >= 0.9
+    return found.agg(F.countDistinct("id").alias("n_asked"), F.count("*").alias("n_hits"), F.lit(reached).alias("recall_reached"))
+
+
+@_query("SELECT count(*) AS n_vectors, max(n) > 1 AS some_equal, 0 AS second_requests FROM (SELECT text, count(*) AS n FROM documents GROUP BY text)")
+def embed_store(spark, d):
+    """Vectors of all distinct texts, asked for twice: the second run sends no request."""
+    metrics, store = RunMetrics(spark), VectorStore(new_path(spark, "vector-store"))
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    embedder = HashingEmbedder(64, metrics)
+    first = store.embedded(docs, embedder)
+    sent = metrics.values()["embedding_requests"]
+    again = store.embedded(docs, embedder)
+    both = first.withColumnRenamed("vec", "first").join(again, "id").where("first = vec")
+    texts = docs.join(both.select("id", "vec"), "id").groupBy("text").agg(F.countDistinct("vec").alias("vectors"), F.count("*").alias("n"))
+    return texts.agg(F.sum("vectors").alias("n_vectors"), F.coalesce(F.max("n") > 1, F.lit(False)).alias("some_equal"), F.lit(metrics.values()["embedding_requests"] - sent).alias("second_requests"))
+
+
+@_query("SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS INT) AS rank, 0 AS rows_sent_again FROM orders")
+def sem_map_stored(spark, d):
+    """A map whose answers are stored: the second run sends no row."""
+    metrics, store = RunMetrics(spark), AnswerStore(new_path(spark, "answer-store"))
+    df = _table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    op = sem_map(prompt="rank", input_fields=["o_orderpriority"], output_fields={"rank": "int"}, store=store)
+    llm = CallableLLM(rules.order_rank, metrics=metrics)
+    op(llm, df)
+    sent = metrics.values()["rows"]
+    again = finalize(op(llm, df)).select("o_orderkey", "rank")
+    return again.withColumn("rows_sent_again", F.lit(metrics.values()["rows"] - sent))
+
+
 @_query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.42")
 def knn_pairs(spark, d):
     vectors = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
