@@ -26,14 +26,25 @@ Q = 10
 EDITS = 0.06
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 BLOCK_BYTES = 4 << 20
-#: Texts of about this many bytes are searched at once, and shared q-grams counted for items of about so many at once.
-CHUNK_BYTES, HITS = 1 << 20, 1 << 22
+#: Texts of about this many bytes are searched at once; a longer one is read in slices of so many, and shared q-grams are
+#: counted so many at a time, whichever texts and items they are of.
+CHUNK_BYTES, HITS = 1 << 20, 1 << 19
+#: Diagonals of a region that an item is aligned with at once.
+REGION = 1 << 16
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
 def normalised(text: str | None) -> bytes:
-    return _NOT_WORD.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    """Lower-case words with single spaces. A long text is reduced in windows that end between words."""
+    low = (text or "").lower()
+    parts, at = [], 0
+    while at < len(low):
+        stop = _NOT_WORD.search(low, at + CHUNK_BYTES)
+        end = stop.start() if stop else len(low)
+        parts.append(_NOT_WORD.sub(" ", low[at:end]).strip().encode("utf-8", "replace"))
+        at = end
+    return b" ".join(p for p in parts if p)
 
 
 def pattern(text: str | None) -> bytes:
@@ -95,63 +106,78 @@ class ItemIndex:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.grams >> U(44)] = True
 
-    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Position in the text, item and position in the item of each shared q-gram, for some items after others, so
-        that no more than about ``HITS`` are held unless one item has more."""
-        grams = _grams(data, self.q)
-        where = np.flatnonzero(self.bits[grams >> U(44)])
-        found = np.searchsorted(self.grams, grams[where])
-        found[found == len(self.grams)] = 0
-        good = self.grams[found] == grams[where] if len(self.grams) else np.zeros(len(where), bool)
-        where, found = where[good], found[good]
-        low, end = self.first[found], self.first[found] + self.count[found]
-        total = int((end - low).sum())
-        parts = min(len(self.ids), -(-total // HITS)) or 1
-        if parts == 1:
-            yield self._postings(where, low, end - low)
-            return
-        # A gram's postings are in the order of their items, so those of a run of items stand together.
-        gram = np.repeat(np.arange(len(self.grams)), self.count)
-        place = gram * len(self.ids) + self.owner
-        for k in range(parts):
-            a, b = k * len(self.ids) // parts, (k + 1) * len(self.ids) // parts
-            low, end = (np.searchsorted(place, found * len(self.ids) + x) for x in (a, b))
-            own = end > low
-            if own.any():
-                yield self._postings(where[own], low[own], (end - low)[own])
+    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float, bool]]:
+        """Position in the text, item and position in the item of shared q-grams, at most ``HITS`` at a time in text
+        order; with the least position that those after them can have, and whether they are all there are."""
+        n = max(0, len(data) - self.q + 1)
+        for first in range(0, n, CHUNK_BYTES):
+            grams = _grams(data[first : first + CHUNK_BYTES + self.q - 1], self.q)
+            where = np.flatnonzero(self.bits[grams >> U(44)])
+            found = np.searchsorted(self.grams, grams[where])
+            found[found == len(self.grams)] = 0
+            good = self.grams[found] == grams[where] if len(self.grams) else np.zeros(len(where), bool)
+            where, found = where[good] + first, found[good]
+            low, many = self.first[found], self.count[found]
+            edge = np.concatenate([[0], np.cumsum(many)])
+            total = int(edge[-1])
+            for a in range(0, total, HITS):
+                b = min(total, a + HITS)
+                i, j = int(np.searchsorted(edge, a, "right")) - 1, int(np.searchsorted(edge, b, "left"))
+                own_low, own_many = low[i:j].copy(), many[i:j].copy()
+                own_low[0] += a - edge[i]
+                own_many[0] -= a - edge[i]
+                own_many[-1] -= edge[j] - b
+                after = where[int(np.searchsorted(edge, b, "right")) - 1] if b < total else first + CHUNK_BYTES
+                yield *self._postings(where[i:j], own_low, own_many), after, n <= CHUNK_BYTES and total <= HITS
+        none = np.zeros(0, np.int64)
+        yield none, none, none, np.inf, False
 
     def _postings(self, where: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.concatenate([[0], np.cumsum(many)])
         posting = np.repeat(low - edge[:-1], many) + np.arange(edge[-1])
         return np.repeat(where, many), self.owner[posting].astype(np.int64), self.at[posting].astype(np.int64)
 
-    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first, last) of each band of diagonals that reaches the bound; positions are in ``data``."""
-        for where, item, at in self.hits(data):
-            if len(where):
-                yield from self._bands(where, item, at, offsets)
-
-    def _bands(self, where: np.ndarray, item: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        text = np.searchsorted(offsets, where, "right") - 1
-        # A band holds twice the width and begins at each multiple of it, so that every drift fits into one band.
-        shift = self.width[item]
-        band = (where - at) // shift
-        pair = text * len(self.ids) + item
-        pair, band = np.concatenate([pair, pair]), np.concatenate([band, band - 1])
-        need, wide = np.concatenate([self.bound[item]] * 2), np.concatenate([shift] * 2)
-        # Few pairs of text and item share enough q-grams in all bands together.
-        enough = np.bincount(np.unique(pair, return_inverse=True)[1])[np.unique(pair, return_inverse=True)[1]] >= 2 * need
-        pair, band, need, wide = pair[enough], band[enough], need[enough], wide[enough]
+    def candidates(self, data: np.ndarray, offsets: np.ndarray, settled: set[tuple[int, int]] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, last) of each run of bands of diagonals that reach the bound, in pieces of about REGION;
+        positions are in ``data``. Counts of bands that later q-grams may add to are carried on, all others are judged
+        and forgotten. Pairs (text, item) that come to be in ``settled`` are passed over from then on."""
+        pair, band, count = (np.zeros(0, np.int64) for _ in range(3))
+        for where, item, at, after, alone in self.hits(data):
+            if not len(where) and not len(pair):
+                continue
+            # A band holds twice the width and begins at each multiple of it, so that every drift fits into one band.
+            text = np.searchsorted(offsets, where, "right") - 1
+            here, own = text * len(self.ids) + item, (where - at) // self.width[item]
+            if settled:
+                open_ = ~np.isin(here, [t * len(self.ids) + i for t, i in settled])
+                here, own, item = here[open_], own[open_], item[open_]
+            if alone:  # few pairs of text and item share enough q-grams in all bands together
+                _, code, many = np.unique(here, return_inverse=True, return_counts=True)
+                enough = many[code] >= self.bound[item]
+                here, own = here[enough], own[enough]
+            pair, band = np.concatenate([pair, here, here]), np.concatenate([band, own, own - 1])
+            count = np.concatenate([count, np.ones(2 * len(here), np.int64)])
+            if not len(pair):
+                continue
+            order = np.lexsort((band, pair))
+            pair, band, count = pair[order], band[order], count[order]
+            start = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])]))
+            pair, band, count = pair[start], band[start], np.add.reduceat(count, start)
+            item = pair % len(self.ids)
+            done = (band + 2) * self.width[item] + self.length[item] <= after
+            yield from self._regions(*(x[done & (count >= self.bound[item])] for x in (pair, band)))
+            pair, band, count = pair[~done], band[~done], count[~done]
+
+    def _regions(self, pair: np.ndarray, band: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         if not len(pair):
             return
-        order = np.lexsort((band, pair))
-        pair, band, need, wide = pair[order], band[order], need[order], wide[order]
-        start = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])]))
-        count = np.diff(np.append(start, len(pair)))
-        for k in start[count >= need[start]].tolist():
-            t, i = divmod(int(pair[k]), len(self.ids))
-            low = int(band[k]) * int(wide[k])
-            yield t, i, low, low + 2 * int(wide[k])
+        start = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1] + 1)]))
+        for a, b in zip(start.tolist(), np.append(start[1:], len(pair)).tolist(), strict=True):
+            t, i = divmod(int(pair[a]), len(self.ids))
+            wide = int(self.width[i])
+            step = max(1, REGION // wide)
+            for k in range(a, b, step):
+                yield t, i, int(band[k]) * wide, (int(band[min(b, k + step) - 1]) + 2) * wide
 
 
 def banded_edits(item: np.ndarray, region: np.ndarray, most: int) -> int:
@@ -172,15 +198,18 @@ def banded_edits(item: np.ndarray, region: np.ndarray, most: int) -> int:
 def _found(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], int]:
     """Least edits by (text, item), of the items that occur."""
     best: dict[tuple[int, int], int] = {}
-    for t, i, low, high in index.candidates(data, offsets):
+    settled: set[tuple[int, int]] = set()
+    for t, i, low, high in index.candidates(data, offsets, settled):
         most = int(index.edits[i])
-        if best.get((t, i), most + 1) == 0:
+        if (t, i) in settled:
             continue
         a, b = max(low, int(offsets[t])), min(high + len(index.texts[i]) + most, int(offsets[t + 1]) - 1)
         region = data[a:b]
         edits = 0 if index.texts[i] in region.tobytes() else banded_edits(np.frombuffer(index.texts[i], np.uint8), region, most)
         if edits <= most:
             best[t, i] = min(edits, best.get((t, i), edits))
+            if not edits:
+                settled.add((t, i))
     return best
 
 

@@ -239,7 +239,59 @@ def test_many_items_with_one_phrase_are_searched_in_parts(monkeypatch):
     (index,) = decontamination.indexes(items)
     data = np.frombuffer(b" " + decontamination.normalised(phrase * 3 + items[77][1]) + b" \n", np.uint8)
     assert decontamination._found(index, data, np.array([0, len(data)]))[0, 77] == 0
-    assert sum(len(w) for w, _, _ in index.hits(data)) > 10_000 and max(len(w) for w, _, _ in index.hits(data)) < 1000
+    assert sum(len(w) for w, *_ in index.hits(data)) > 10_000 and max(len(w) for w, *_ in index.hits(data)) < 1000
+
+
+def test_slices_and_steps_change_no_result(monkeypatch):
+    """Texts longer than a slice, and more shared q-grams than are counted at once; repetitive texts and items among
+    them. The edits are those of a whole alignment."""
+    rng = random.Random(8)
+    phrase = "ba" * 15
+    items = [(k, text) for k, text in enumerate(["ha " * 20, phrase, " ".join(rng.choice(["ab", "ba", "abc"]) for _ in range(25)), "the quick brown fox jumps over the lazy dog and runs away"])]
+    texts = ["ha " * 150, "ab" * 200, "x " * 50 + "ha " * 9 + "hu " + "ha " * 12 + "y " * 60, " ".join(rng.choice(["ab", "ba", "abc", "fox"]) for _ in range(150)), "so the quick brown fax jumps over the lazy dog and runs away now " * 3]
+    texts += [f"ab ba {items[2][1]} end", f"ba {items[3][1]} ha " + "ha " * 30]
+
+    def edits(item, text):
+        """Least edits between the item and any part of the text."""
+        row = [0] * (len(text) + 1)
+        for k, c in enumerate(item, 1):
+            old, row = row, [k]
+            for j, x in enumerate(text):
+                row.append(min(old[j] + (x != c), old[j + 1] + 1, row[j] + 1))
+        return min(row)
+
+    reduced = [b" " + decontamination.normalised(t) + b" " for t in texts]
+    data = np.frombuffer(b"\n".join(reduced) + b"\n", np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in reduced])])
+    want = {}
+    for t, text in enumerate(reduced):
+        for i, item in items:
+            own = edits(decontamination.pattern(item), text)
+            if own <= decontamination.edits_of(decontamination.pattern(item)):
+                want[t, i] = own
+    assert len(want) >= 6
+    for chunk, hits, region in ((1 << 20, 1 << 19, 1 << 16), (64, 1 << 19, 40), (100, 7, 1 << 16), (17, 50, 1)):
+        monkeypatch.setattr(decontamination, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(decontamination, "HITS", hits)
+        monkeypatch.setattr(decontamination, "REGION", region)
+        got = {}
+        for index in decontamination.indexes(items):
+            got |= {(t, index.ids[i]): e for (t, i), e in decontamination._found(index, data, offsets).items()}
+        assert got == want
+
+
+def test_a_long_repetitive_text_takes_bounded_memory():
+    import tracemalloc
+
+    (index,) = decontamination.indexes([(1, "ha" * 60)])
+    peaks = []
+    for size in (50_000, 400_000):
+        data = np.frombuffer(b" " + b"ha" * (size // 2) + b"hu \n", np.uint8)
+        tracemalloc.start()
+        assert decontamination._found(index, data, np.array([0, len(data)])) == {(0, 0): 0}
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + (32 << 20) and peaks[1] < 300 << 20
 
 
 def test_drop_contaminated_keeps_other_columns(spark):
