@@ -79,12 +79,12 @@ def flag(df: DataFrame, name: str) -> Column:
 
 
 def shared_model(spark, llm):
-    """(the model with each task's share of its limits, the number of tasks that call it at a time)."""
+    """(the model with what its tasks need to keep to its limits together, the number of tasks that call it at a time)."""
     slots = spark.sparkContext.defaultParallelism
     if not hasattr(llm, "shared_by"):
         return llm, slots
     tasks = llm.tasks(slots)
-    return llm.shared_by(tasks), tasks
+    return (llm.borrowing(spark) if llm.leases else llm.shared_by(tasks)), tasks
 
 
 def _global_sort(plan) -> bool:

@@ -7,9 +7,11 @@ import json
 import logging
 import os
 import urllib.request
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from .leases import Lease, lease
 from .protocol import END, estimate_tokens, framed_rows
 from .runner import BatchRunner, Clock, RateWindow
 
@@ -59,9 +61,10 @@ class LLM:
     """A model named ``provider/model`` behind an HTTP chat endpoint.
 
     Keyword arguments: api_key, api_base, api_version, temperature (0.0), rpm, tpm, max_tokens, parallelism (tasks
-    that call the model at a time; without it as many as the session runs and the limits serve), threads (requests in
-    flight in a task), metrics (a RunMetrics), timeout; others are sent with each request. Each task keeps to its
-    share of the limits.
+    that call the model at a time; without it as many as the session runs), threads (requests in flight in a task),
+    metrics (a RunMetrics), timeout, leases; others are sent with each request. All tasks of an application borrow from
+    one budget of the model's limits, which the driver holds; ``leases=False``, where executors cannot reach a port of
+    the driver, gives each task a fixed share instead.
     """
 
     url = "https://api.openai.com/v1"
@@ -81,7 +84,8 @@ class LLM:
         self.temperature = options.pop("temperature", 0.0)
         self.max_tokens = options.pop("max_tokens", MAX_TOKENS.get(self.model, DEFAULT_MAX_TOKENS))
         self.parallelism, self.threads, self.metrics = options.pop("parallelism", None), options.pop("threads", 8), options.pop("metrics", None)
-        self._share = 1
+        self._share, self._lease, self.leases = 1, None, options.pop("leases", True)
+        self._budget = f"{model_name}-{uuid.uuid4().hex}"
         self.timeout = options.pop("timeout", 120)
         self.api_key, self.api_base, self.api_version = (options.pop(k, None) for k in ("api_key", "api_base", "api_version"))
         self.options = options
@@ -126,8 +130,10 @@ class LLM:
         return out
 
     def tasks(self, slots: int) -> int:
-        """Tasks that may call the model at a time on a session that runs ``slots``: each needs a share of a few
-        requests a minute."""
+        """Tasks that may call the model at a time on a session that runs ``slots``. Without leases each needs a share
+        of a few requests a minute."""
+        if self.leases:
+            return self.parallelism or slots
         return self.parallelism or max(1, min(slots, int(self.rpm // LEAST_SHARE)))
 
     def shared_by(self, tasks: int) -> LLM:
@@ -136,7 +142,15 @@ class LLM:
         own._share = max(1, tasks)
         return own
 
-    def window(self, clock: Clock | None = None) -> RateWindow:
+    def borrowing(self, spark) -> LLM:
+        """A copy whose requests are all counted against one budget, which this driver holds for this model."""
+        own = copy.copy(self)
+        own._lease = lease(spark, self._budget, self.rpm, self.tpm)
+        return own
+
+    def window(self, clock: Clock | None = None) -> RateWindow | Lease:
+        if self._lease is not None:
+            return self._lease
         return RateWindow(self.rpm / self._share, self.tpm / self._share, clock)
 
     def runner(self) -> BatchRunner:
@@ -206,7 +220,7 @@ class CallableLLM(LLM):
     """
 
     def __init__(self, rule: Callable[[str], object], **kwargs):
-        super().__init__("local/callable", rpm=kwargs.pop("rpm", 10**9), tpm=kwargs.pop("tpm", 10**12), max_tokens=kwargs.pop("max_tokens", 100_000), **kwargs)
+        super().__init__("local/callable", rpm=kwargs.pop("rpm", 10**9), tpm=kwargs.pop("tpm", 10**12), max_tokens=kwargs.pop("max_tokens", 100_000), leases=kwargs.pop("leases", False), **kwargs)
         self.rule = rule
 
     def complete(self, prompt: str) -> str:
