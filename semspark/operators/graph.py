@@ -206,27 +206,29 @@ def best_hits(hits: DataFrame, top_k: int) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= top_k).select("id", "hit", "score")
 
 
-def nearest_graph(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, m: int = 32, ef: int = 128, probes: int = 4, asked=None) -> DataFrame:
+def nearest_graph(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90, m: int = 32, ef: int = 128, probes: int = 4, asked=None, held=None) -> DataFrame:
     """(id, hit, score): for each id about its ``top_k`` nearest vectors by cosine (itself among them), those that reach
     the threshold.
 
     vectors: (id, vec) of unit vectors of one length; ids whole numbers. ``m`` and ``ef`` are the links and the beam of
     the graphs, ``probes`` the cells that each vector is searched for in; more of each find more. ``asked`` is a
-    condition on the rows that are searched for, all without it. Null vectors are left out; an empty table gives no
+    condition on the rows that are searched for and ``held`` one on those that are found, all without it. Null vectors are left out; an empty table gives no
     rows. The centres are about as many vectors as there are cells, taken by a hash of their ids; every vector is in a
     graph. Equal vectors are found like others, but should be given once, as they fill a cell.
     """
-    vectors = vectors.where("vec is not null").select("id", "vec", (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asked"))
-    n = vectors.count()
+    wanted_rows = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
+    vectors = vectors.where("vec is not null").select("id", "vec", wanted_rows(asked).alias("asked"), wanted_rows(held).alias("held"))
+    n = vectors.where("held").count()
     wanted = cell_count(n)
     share = F.pmod(F.xxhash64("id", F.lit("centre")), F.lit(1 << 30)) < int(min(1.0, (wanted if wanted > 1 else 0) / max(1, n)) * (1 << 30))
-    centres = stacked(vectors.where(share).orderBy("id").select("vec").limit(2 * CELLS).toArrow().column(0)) if wanted > 1 else np.zeros((0, 0), np.float32)
+    centres = stacked(vectors.where(share & F.col("held")).orderBy("id").select("vec").limit(2 * CELLS).toArrow().column(0)) if wanted > 1 else np.zeros((0, 0), np.float32)
     if len(centres) < 2:
         coded = vectors.select("id", F.array(F.lit(0)).alias("cells"))
     else:
         coded = vectors.select("id", "vec").mapInArrow(_cells(centres, min(probes, len(centres))), "id long, cells array<int>")
-    rows = written(coded.join(vectors.select("id", "asked"), "id").select("id", "asked", F.posexplode("cells").alias("rank", "cell")).where("asked or rank = 0"), "cells")
-    home, own = F.col("rank") == 0, F.xxhash64("id", F.lit("part"))
+    rows = coded.join(vectors.select("id", "asked", "held"), "id").select("id", "asked", "held", F.posexplode("cells").alias("rank", "cell"))
+    rows = written(rows.where("asked or held and rank = 0"), "cells")
+    home, own = F.col("held") & (F.col("rank") == 0), F.xxhash64("id", F.lit("part"))
     sizes = rows.groupBy("cell").agg(F.ceil(F.sum(home.cast("int")) / GRAPH).cast("int").alias("graphs"), F.ceil(F.sum(F.col("asked").cast("int")) / SEARCHED).cast("int").alias("parts"))
     role = lambda graph, part, home: F.struct(graph.cast("int").alias("graph"), part.cast("int").alias("part"), F.lit(home).alias("home"))
     none = F.array().cast("array<struct<graph:int,part:int,home:boolean>>")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..agent import Agent, run_plan
 from ..operators.dedup import SemanticDeduplicator, one_of_each, similar_pairs
 from ..operators.graph import nearest_exact, nearest_graph, recall
+from ..operators.groups import discover_labels, sem_agg, sem_group_by
+from ..operators.pairs import sem_join, sem_top_k
 from ..operators.reduce import reduce
 from ..operators.semantic import filter as sem_filter
 from ..operators.semantic import finalize
@@ -219,6 +221,48 @@ def knn_pairs(spark, d):
     return similar_pairs(vectors, 0.42).select("a", "b", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
+@_query("SELECT p_partkey, p_size, split_part(p_name, ' ', 2) AS kind FROM part")
+def sem_join_parts(spark, d):
+    """Parts beside their kinds, by a model that is asked about near pairs of names and kinds only."""
+    parts = _table(spark, d, "part").select("p_partkey", "p_size", "p_name")
+    kinds = parts.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("kind")).distinct()
+    joined = sem_join(CallableLLM(rules.part_is_of_kind), parts, kinds, prompt="is the first, a part, of the second, a kind?", left_fields=["p_name"], top_k=5)
+    return joined.select("p_partkey", "p_size", "kind")
+
+
+@_query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey < 20 AND c_mktsegment LIKE '%E%')")
+def sem_join_anti(spark, d):
+    """Customers of segments that none of a few customers has, by meaning."""
+    customers = _table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    other = customers.where("c_custkey < 20 and c_mktsegment like '%E%'").select(F.lower("c_mktsegment").alias("segment"))
+    return sem_join(CallableLLM(rules.same_segment), customers, other, prompt="do both name one segment?", left_fields=["c_mktsegment"], how="left_anti")
+
+
+@_query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders QUALIFY rank <= 15")
+def sem_top_orders(spark, d):
+    """The fifteen dearest orders, by answers about pairs."""
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return sem_top_k(CallableLLM(rules.dearer_order), orders, prompt="is the first order dearer?", k=15, id_col="o_orderkey", input_fields=["o_totalprice"])
+
+
+@_query("SELECT l_returnflag, count(*) AS n, sum(round(l_quantity))::BIGINT AS total, 0 AS errors FROM lineitem GROUP BY l_returnflag")
+def sem_agg_lines(spark, d):
+    """Counts and sums of groups that are far larger than a prompt, by answers about lists of rows and of answers."""
+    lines = _table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
+    made = sem_agg(CallableLLM(rules.count_and_add), lines, prompt="count and add up", group_columns=["l_returnflag"], budget=2000)
+    answer = F.from_json("summary", "n bigint, total bigint")
+    return made.select("l_returnflag", answer["n"].alias("n"), answer["total"].alias("total"), "errors")
+
+
+@_query("SELECT family, count(*) AS n, count(DISTINCT user_id) AS n_users FROM (SELECT user_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'money' WHEN event_type IN ('view', 'click') THEN 'browsing' ELSE 'fault' END AS family FROM events) GROUP BY family")
+def sem_group_events(spark, d):
+    """Events grouped by labels that a model finds in a sample, merges, and gives to every row."""
+    events = _table(spark, d, "events").select("event_type", "user_id")
+    labels = discover_labels(CallableLLM(rules.event_family), events, prompt="family of event", sample=500)
+    grouped = sem_group_by(CallableLLM(rules.known_family), events, prompt="family of event", output="family", labels=labels)
+    return grouped.groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
+
+
 def _plan(*steps):
     return [{"type": "dask", "operation": name, "params": params} for name, params in steps]
 

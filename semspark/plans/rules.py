@@ -97,3 +97,43 @@ def answer_name(prompt: str) -> str:
     if name.startswith("A"):
         raise ValueError("refused")
     return f"name: {name}"
+
+
+def part_is_of_kind(text: str) -> dict:
+    """A pair of a part and a kind: the name ends with the kind."""
+    pair = _row(text)
+    return {"answer": pair["first"]["p_name"].split(" ")[1] == pair["second"]["kind"]}
+
+
+def same_segment(text: str) -> dict:
+    pair = _row(text)
+    return {"answer": pair["first"]["c_mktsegment"].lower() == pair["second"]["segment"]}
+
+
+def dearer_order(text: str) -> dict:
+    """A pair of orders: whether the first has the higher price."""
+    pair = _row(text)
+    return {"answer": pair["first"]["o_totalprice"] > pair["second"]["o_totalprice"]}
+
+
+def count_and_add(text: str) -> dict:
+    """A list of line items, or of such answers: how many, and the sum of their quantities."""
+    n, total = 0, 0
+    for row in _row(text):
+        n += row.get("n", 1)
+        total += row["total"] if "n" in row else round(row["l_quantity"])
+    return {"answer": {"n": n, "total": total}}
+
+
+def event_family(text: str) -> dict:
+    """Labels an event, in unsteady writing; merges a list of labels."""
+    row = _row(text)
+    if isinstance(row, list):
+        return {"answer": sorted({label.strip("! ").lower() for label in row})}
+    family = "money" if row["event_type"] in ("purchase", "signup") else "browsing" if row["event_type"] in ("view", "click") else "fault"
+    return {"answer": family.upper() + "!" if row["user_id"] % 2 else family}
+
+
+def known_family(text: str) -> dict:
+    row = _row(text)
+    return event_family(text) if isinstance(row, list) else {"answer": event_family(text)["answer"].strip("! ").lower()}
