@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.components import components
+from ..functions.skew import spread_join
 from .common import BROADCAST_IDS, fresh, short, written
 from .superminhash import band_keys, signatures
 from .texthash import KEY, SECOND_KEY, U, keyed_word_hashes, mix, shingle_hashes, slices
@@ -292,11 +293,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats = _repeats(table)
     repeated = not repeats.isEmpty()
     known = table.where("doc_id is not null and n > 0")
-    heads = written(known.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "heads")
+    heads = written(known.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "heads")
 
     keys = heads.select("rep", F.col("set_a").alias("tag"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
-    centres = keys.join(shared, "key").groupBy("rep", "tag").agg(F.collect_set("centre").alias("centres"))  # one for each band at most
+    # Very many sets may share a band; their rows are dealt out.
+    centres = spread_join(keys, shared, ["key"], salts=8).groupBy("rep", "tag").agg(F.collect_set("centre").alias("centres"))  # one for each band at most
     small = heads.select("rep", F.col("set_a").alias("tag"), "n", "sketch")
     members = written(centres.join(small, ["rep", "tag"]).select(F.explode("centres").alias("centre"), "rep", "tag", "n", "sketch"), "members")
     sizes, split = _split(members)
@@ -315,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = table.select("doc_id", "row", "n", "set_a", "set_b")
     if repeated:
-        of_class = placed.join(repeats, "doc_id", "left_semi").join(heads, ["n", "set_a", "set_b"])
+        of_class = spread_join(placed.where("n > 0").join(repeats, "doc_id", "left_semi"), heads.drop("rows"), ["n", "set_a", "set_b"])
         links = links.union(of_class.where("doc_id <> rep").select("doc_id", "rep").distinct())
     found = components(links)
     if split:
@@ -324,8 +326,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = components(found.union(more))
     found = written(found, "found")
 
-    of_class = heads.join(found, heads.rep == found.node, "left").select("n", "set_a", "set_b", F.coalesce("component", "rep").alias("of_class"))
-    out = placed.where("doc_id is not null").join(of_class, ["n", "set_a", "set_b"], "left").withColumn("component_id", F.coalesce("of_class", "doc_id"))
+    # Rows whose set no other row has, and that are linked with none, need no class; nor do texts without words.
+    of_class = heads.join(found, heads.rep == found.node, "left").where("rows > 1 or component < rep")
+    of_class = written(of_class.select("n", "set_a", "set_b", F.coalesce("component", "rep").alias("of_class")), "classes")
+    rows = placed.where("doc_id is not null")
+    same = ["n", "set_a", "set_b"]
+    out = rows.join(F.broadcast(of_class), same, "left") if of_class.count() <= BROADCAST_IDS else spread_join(rows, of_class, same, "left")
+    out = out.withColumn("component_id", F.coalesce("of_class", "doc_id"))
     kept = F.col("doc_id") == F.col("component_id")
     if repeated:
         own = repeats.join(found, repeats.doc_id == found.node, "left").select("doc_id", "first_row", F.col("component").alias("of_id"))

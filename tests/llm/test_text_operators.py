@@ -609,3 +609,20 @@ def test_hilbert_dimensions_are_whole_strings(spark):
     got = {r.doc_id: r.curve for r in hilbert.hilbert_shards(docs).collect()}
     cells = {(k % 4 if k % 5 else None): {got[j] for j in range(200) if rows[j][1] == rows[k][1]} for k in range(200)}
     assert all(len(c) == 1 for c in cells.values()) and len(set.union(*cells.values())) == 5
+
+
+def test_classes_of_many_rows_and_broadcasts_off(spark, monkeypatch):
+    """Copies that are a third of all rows, blank texts another; with classes broadcast and with their rows dealt out."""
+    rng = random.Random(12)
+    own = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(20)) for _ in range(20)]
+    rows = [(k, own[0] if k % 3 == 0 else " \n" if k % 3 == 1 else own[k % 20]) for k in range(150)] + [(3, "twice"), (None, own[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    least = {}
+    for k, t in rows:
+        if k is not None and t.strip() and t != "twice":
+            least[t] = min(k, least.get(t, k))
+    want = sorted((k, least[t] if t.strip() else k) for k, t in rows if k not in (None, 3))
+    for most in (10**6, 0):
+        monkeypatch.setattr(minhash, "BROADCAST_IDS", most)
+        got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect() if r.doc_id not in (None, 3))
+        assert got == want
