@@ -1,6 +1,7 @@
 """A planner that turns a task into typed DataFrame steps; no generated code is run."""
 
-from .interpreter import Agent, AgentError, run_plan
+from .expressions import register_function, register_table_function
+from .interpreter import Agent, AgentError, StepCounts, run_plan
 from .steps import STEPS, PlanError
 
-__all__ = ["Agent", "AgentError", "PlanError", "STEPS", "run_plan"]
+__all__ = ["Agent", "AgentError", "PlanError", "STEPS", "StepCounts", "register_function", "register_table_function", "run_plan"]

@@ -22,11 +22,48 @@ class ExpressionError(ValueError):
     pass
 
 
+#: Arrow functions and table functions that plans may name, by name, with the types of what they give.
+FUNCTIONS: dict[str, tuple[object, str]] = {}
+TABLE_FUNCTIONS: dict[str, tuple[type, str]] = {}
+
+
+def _free_name(name: str) -> str:
+    if not name.isidentifier() or name != name.lower():
+        raise ValueError("a name of small letters, digits and underscores is needed")
+    if name in ALLOWED or name in FUNCTIONS or name in TABLE_FUNCTIONS:
+        raise ValueError(f"{name!r} is taken")
+    return name
+
+
+def register_function(name: str, returns: str):
+    """``@register_function("word_count", "int")``: plans may call the function in expressions. It takes Arrow arrays, a
+    batch of each argument, and gives one of the type named."""
+
+    def keep(f):
+        FUNCTIONS[_free_name(name)] = (f, returns)
+        return f
+
+    return keep
+
+
+def register_table_function(name: str, returns: str):
+    """``@register_table_function("words_of", "word string, at int")`` on a class whose ``eval`` yields rows: plans may
+    call it in the step table_function."""
+
+    def keep(cls):
+        TABLE_FUNCTIONS[_free_name(name)] = (cls, returns)
+        return cls
+
+    return keep
+
+
 def _walk(node) -> None:
     kind = node.getClass().getSimpleName()
     if kind == "UnresolvedFunction":
         name = node.nameParts().mkString(".").lower()
-        if name not in ALLOWED:
+        if name in FUNCTIONS:
+            SparkSession.active().udf.register(name, F.arrow_udf(*FUNCTIONS[name]))
+        elif name not in ALLOWED:
             raise ExpressionError(f"function {name!r} is not allowed")
     if any(word in kind for word in ("Subquery", "Exists", "ListQuery", "Invoke", "ScalaUDF", "PythonUDF")):
         raise ExpressionError(f"{kind} is not allowed in an expression")

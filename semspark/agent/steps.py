@@ -7,12 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.types import ddl_of
 from ..operators.base import col, quoted
 from ..operators.semantic import filter as sem_filter
 from ..operators.semantic import map as sem_map
-from .expressions import checked
+from ..functions.names import fresh
+from ..operators.asof import asof_join as joined_as_of
+from .expressions import TABLE_FUNCTIONS, checked
 
 
 class PlanError(ValueError):
@@ -25,14 +28,15 @@ class Step:
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     semantic: bool = False
+    frames: bool = False
 
 
 STEPS: dict[str, Step] = {}
 
 
-def _step(*required: str, optional: tuple[str, ...] = (), semantic: bool = False):
+def _step(*required: str, optional: tuple[str, ...] = (), semantic: bool = False, frames: bool = False):
     def keep(f):
-        STEPS[f.__name__.rstrip("_")] = Step(f, required, optional, semantic)
+        STEPS[f.__name__.rstrip("_")] = Step(f, required, optional, semantic, frames)
         return f
 
     return keep
@@ -68,14 +72,99 @@ def add_column(df, new_column, expression):
 
 @_step("new_column", "source_column", "function", optional=("dtype",))
 def apply_function(df, new_column, source_column, function, dtype=None):
-    """``function``: a SQL expression in which x is the source column."""
+    """``function``: a SQL expression in which x is the source column, whatever columns the frame has; or the name of a
+    registered function, which is applied to it."""
     _known(df, source_column)
-    value = checked(function)
-    out = df.withColumn("x", col(source_column)) if "x" not in df.columns else None
-    if out is None and source_column != "x":
-        raise PlanError("a column named x is in the way of the function's argument")
-    made = (out if out is not None else df).withColumn(new_column, value.cast(ddl_of(dtype)) if dtype else value)
-    return made.drop("x") if out is not None and new_column != "x" else made
+    if new_column not in df.columns:
+        _free(df, new_column)
+    text = f"{function}(x)" if str(function).isidentifier() and str(function).lower() != "x" else function
+    value = checked(text)
+    kept, made = fresh([*df.columns, "x", new_column], "kept_x", "made")
+    own = {c: kept for c in df.columns if c.lower() == "x"}
+    work = df.withColumnsRenamed(own).withColumn("x", col(own.get(source_column, source_column)))
+    work = work.withColumn(made, value.cast(ddl_of(dtype)) if dtype else value)
+    names = [c for c in df.columns if c != new_column] + [new_column] if new_column not in df.columns else df.columns
+    return work.select(*[col(made).alias(c) if c == new_column else col(own.get(c, c)).alias(c) for c in names])
+
+
+@_step("function", "arguments", optional=("outer",))
+def table_function(df, function, arguments, outer=False):
+    """Rows of ``df`` beside those that a registered table function gives for its arguments, columns of ``df``; with
+    ``outer`` rows for which it gives none stay, with nulls."""
+    if function not in TABLE_FUNCTIONS:
+        raise PlanError(f"no table function {function!r}; known: {sorted(TABLE_FUNCTIONS)}")
+    cls, returns = TABLE_FUNCTIONS[function]
+    given = F.udtf(cls, returnType=returns)(*[col(c).outer() for c in _known(df, arguments)])
+    clash = {c.lower() for c in df.columns} & {c.lower() for c in StructType.fromDDL(returns).names}
+    if clash:
+        raise PlanError(f"the function's columns {sorted(clash)} are in the frame")
+    return df.lateralJoin(given, F.lit(True), "left" if outer else "inner")
+
+
+def _frame(frames, name: str) -> DataFrame:
+    if name not in (frames or {}):
+        raise PlanError(f"no frame {name!r}; there are {sorted(frames or {})}")
+    return frames[name]
+
+
+@_step("right", "on", optional=("how", "right_on"), frames=True)
+def join(df, frames, right, on, how="inner", right_on=None):
+    """``df`` joined with a named frame on columns. The right's keys go; its other columns must not clash."""
+    other = _frame(frames, right)
+    keys, theirs = _known(df, on), _known(other, right_on or on)
+    if len(keys) != len(theirs) or how not in ("inner", "left", "left_semi", "left_anti"):
+        raise PlanError("on and right_on name as many columns; how is 'inner', 'left', 'left_semi' or 'left_anti'")
+    spare = fresh([*df.columns, *other.columns], *[f"right_{k}" for k in range(len(keys))])
+    other = other.withColumnsRenamed(dict(zip(theirs, spare, strict=True)))
+    clash = {c.lower() for c in df.columns} & {c.lower() for c in other.columns} - set(spare)
+    if clash and how in ("inner", "left"):
+        raise PlanError(f"columns of both frames: {sorted(clash)}; rename or drop them")
+    condition = None
+    for a, b in zip(keys, spare, strict=True):
+        one = col(a) == F.col(b)
+        condition = one if condition is None else condition & one
+    out = df.join(other, condition, how)
+    return out.drop(*spare) if how in ("inner", "left") else out
+
+
+@_step("right", "by", "on", optional=("right_by", "right_on", "columns"), frames=True)
+def asof_join(df, frames, right, by, on, right_by=None, right_on=None, columns=None):
+    """``df`` with columns of the last row of a named frame that has equal ``by`` and is not later in ``on``."""
+    other = _frame(frames, right)
+    _known(df, [*_list(by), on])
+    _known(other, [*_list(right_by or by), right_on or on, *(columns or [])])
+    return joined_as_of(df, other, by=_list(by), on=on, right_by=_list(right_by) if right_by else None, right_on=right_on, columns=columns)
+
+
+def _ordered(df, partition_by, order_by, ascending=True):
+    order = [col(c).asc_nulls_last() if ascending else col(c).desc_nulls_last() for c in _known(df, order_by)]
+    return Window.partitionBy(*[col(c) for c in _known(df, partition_by)]).orderBy(*order)
+
+
+@_step("column", "new_column", "partition_by", "order_by", optional=("periods", "fill"))
+def shift(df, column, new_column, partition_by, order_by, periods=1, fill=None):
+    """The column's value ``periods`` rows before (after, if negative) within the partition."""
+    _known(df, column)
+    value = F.lag(col(column), int(periods)) if int(periods) >= 0 else F.lead(col(column), -int(periods))
+    value = value.over(_ordered(df, partition_by, order_by))
+    return _set(df, new_column, value if fill is None else F.coalesce(value, F.lit(fill).cast(df.schema[column].dataType)))
+
+
+@_step("column", "new_column", "function", "partition_by", "order_by", optional=("rows", "within"))
+def window_agg(df, column, new_column, function, partition_by, order_by, rows=None, within=None):
+    """An aggregate over a moving window: ``rows`` is [first, last] by rows from the current one, ``within`` the same by
+    the one order column's number; null is no bound. Without either it runs from the beginning to the current row."""
+    _known(df, column)
+    if function not in _AGGREGATES or function == "nunique":
+        raise PlanError(f"no window aggregate {function!r}")
+    if rows is not None and within is not None:
+        raise PlanError("rows or within, not both")
+    w = _ordered(df, partition_by, order_by)
+    low, high = (rows if rows is not None else within) or (None, 0)
+    low, high = Window.unboundedPreceding if low is None else int(low), Window.unboundedFollowing if high is None else int(high)
+    w = w.rangeBetween(low, high) if within is not None else w.rowsBetween(low, high)
+    value = F.coalesce(F.sum(col(column)).over(w), F.lit(0)) if function == "sum" else _AGGREGATES[function](col(column)).over(w)
+    return _set(df, new_column, value)
 
 
 @_step("rename_map")

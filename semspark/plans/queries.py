@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..agent import Agent, run_plan
+from ..agent import Agent, StepCounts, register_function, register_table_function, run_plan
 from ..operators.dedup import SemanticDeduplicator, one_of_each, similar_pairs
 from ..operators.graph import nearest_exact, nearest_graph, recall
 from ..operators.groups import discover_labels, sem_agg, sem_group_by
@@ -306,6 +308,44 @@ def agent_mixed_plan(spark, d):
     return run_plan(plan, _table(spark, d, "events").select("event_type", "event_id"), CallableLLM(rule))
 
 
+@register_function("vowel_count", "int")
+def vowel_count(texts: pa.Array) -> pa.Array:
+    """A registered Arrow function: vowels of each text."""
+    return pc.count_substring_regex(texts, "[aeiouAEIOU]")
+
+
+@register_table_function("words_of", "word string, place int")
+class WordsOf:
+    """A registered table function: the words of a text and their places."""
+
+    def eval(self, text: str):
+        for at, word in enumerate((text or "").split(" "), 1):
+            yield word, at
+
+
+_agent("agent_registered_function", "part", ["p_partkey", "p_name", "p_type"], [("rename_columns", {"rename_map": {"p_type": "x"}}), ("apply_function", {"new_column": "vowels", "source_column": "p_name", "function": "vowel_count"}), ("apply_function", {"new_column": "both", "source_column": "p_name", "function": "vowel_count(x) + char_length(x)"})], "SELECT p_partkey, p_name, p_type AS x, length(regexp_replace(p_name, '[^aeiouAEIOU]', '', 'g'))::INT AS vowels, (length(regexp_replace(p_name, '[^aeiouAEIOU]', '', 'g')) + length(p_name))::INT AS both FROM part")
+_agent("agent_table_function", "part", ["p_partkey", "p_name"], [("table_function", {"function": "words_of", "arguments": ["p_name"]}), ("group_by_agg", {"group_columns": ["word", "place"], "aggregations": {"p_partkey": "count"}})], "SELECT word, place::INT AS place, count(*) AS p_partkey FROM (SELECT unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part) GROUP BY ALL")
+_agent("agent_shift", "events", ["event_id", "user_id", "value"], [("shift", {"column": "value", "new_column": "before", "partition_by": ["user_id"], "order_by": ["event_id"], "periods": 2})], "SELECT event_id, user_id, value, lag(value, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events")
+_agent("agent_window_agg", "events", ["event_id", "user_id", "value"], [("window_agg", {"column": "value", "new_column": "most", "function": "max", "partition_by": ["user_id"], "order_by": ["event_id"], "within": [-100, 0]}), ("window_agg", {"column": "event_id", "new_column": "n", "function": "count", "partition_by": ["user_id"], "order_by": ["event_id"], "rows": [-3, None]})], "SELECT event_id, user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS most, count(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND UNBOUNDED FOLLOWING) AS n FROM events")
+
+
+@_query("SELECT e.event_id, e.user_id, o.o_orderkey AS o_orderkey, c.c_name FROM events e ASOF LEFT JOIN orders o ON e.user_id = o.o_custkey AND e.event_id >= o.o_orderkey LEFT JOIN customer c ON e.user_id = c.c_custkey")
+def agent_frames(spark, d):
+    """A plan over several frames: the last order of each event's user before it, and the customer."""
+    plan = _plan(("asof_join", {"right": "orders", "by": ["user_id"], "on": "event_id", "right_by": ["o_custkey"], "right_on": "o_orderkey"}), ("join", {"right": "customers", "on": ["user_id"], "right_on": ["c_custkey"], "how": "left"}))
+    frames = {"orders": _table(spark, d, "orders").select("o_custkey", "o_orderkey"), "customers": _table(spark, d, "customer").select("c_custkey", "c_name")}
+    return run_plan(plan, _table(spark, d, "events").select("event_id", "user_id"), frames=frames)
+
+
+@_query("SELECT * FROM (SELECT 0 AS step, 'input' AS name, count(*) AS n FROM events UNION ALL SELECT 1, 'select_rows', count(*) FILTER (value > 10) FROM events UNION ALL SELECT 2, 'group_by_agg', count(DISTINCT user_id) FILTER (value > 10) FROM events UNION ALL SELECT 3, 'select_rows', count(*) FROM (SELECT user_id FROM events WHERE value > 10 GROUP BY user_id HAVING count(*) > 5))")
+def agent_step_counts(spark, d):
+    """Rows that each step of a plan gave, observed while its result is written."""
+    counts = StepCounts()
+    plan = _plan(("select_rows", {"condition": "value > 10"}), ("group_by_agg", {"group_columns": ["user_id"], "aggregations": {"event_id": "count"}}), ("select_rows", {"condition": "event_id > 5"}))
+    run_plan(plan, _table(spark, d, "events").select("user_id", "event_id", "value"), counts=counts).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, name, n) for k, (name, n) in enumerate(counts.rows())], "step int, name string, n long")
+
+
 @_query("SELECT o_orderkey, o_totalprice / 2 AS half FROM orders WHERE o_totalprice > 200000")
 def agent_replan_after_error(spark, d):
     bad = json.dumps(_plan(("add_column", {"new_column": "half", "expression": "no_such_column / 2"})))
