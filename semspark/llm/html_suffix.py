@@ -1,8 +1,9 @@
 """Main text of web pages: a suffix array over the pages of a host, beside the pages' structure.
 
 Markup is cut into blocks of visible words. Blocks inside an article or main element are content. Elements whose tag,
-role or class says that they are menus, adverts, notices, forms or comments are chrome. Inside content, an element whose
-class or id only shares a part with such a name ("related-work", "social-history") is doubtful.
+role or class says that they are menus, adverts, notices, forms or comments are chrome. Inside content an element is
+doubtful if the name is as well a subject to write about ("reviews", "menu"), if it is a comment that is a mere paragraph,
+or if its class or id shares but a part with a name ("related-work"); the suffix array decides on it.
 
 The word streams of a host's pages, without their content, are concatenated, and a suffix array shows the long runs of
 words that recur on several pages. Large hosts have a suffix array for each group of pages; these only propose runs,
@@ -51,6 +52,9 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comments-area commentlist cookie cookies consent disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup popover promo promoted promotion related recommended replies respond reviews share sharing sidebar signup skip-link social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Names that an article's own part may well have, as they are subjects too.
+_SUBJECTS = frozenset("menu navigation notification notifications overlay replies respond reviews sharing social widget widgets".split())
+_REMARKS = frozenset(("comment", "comments"))
 #: Parts that say nothing of an element: a name of these and of parts in _NAMES alone tells as much as those.
 _PLAIN = frozenset("area articles bar block bottom box button buttons container content footer form header icons inline inner items left link links list main outer page panel posts right section site slot text title top unit wrap wrapper".split())
 _TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -63,19 +67,23 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
 
 
-def _named(classes: str, ident: str, inside: bool) -> int:
+def _named(classes: str, ident: str, inside: bool, tag: str) -> int:
     """1 if a class or id says that the element is not main text, 3 if it is doubtful, 0 if it says nothing.
 
-    A class tells by its last part ("top-ad"); an id, which may be made from a title, only as a whole.
+    A class tells by its last part ("top-ad"); an id, which may be made from a title, only as a whole. Inside content a
+    name that is as well a subject to write about, a part of an id, and a comment that is a mere paragraph or words in a
+    line are doubtful at most: there the words' recurrence on the host decides.
     """
     doubtful = 0
     for name, last in (*((c, True) for c in _NAME.split(classes)), *((i, False) for i in _NAME.split(ident))):
-        if name in _NAMES:
-            return 1
         parts = [p for p in _PART.split(name) if p]
-        if not _NAMES.isdisjoint(parts):
-            if not inside or last and parts[-1] in _NAMES or all(p in _NAMES or p in _PLAIN for p in parts):
-                return 1
+        if _NAMES.isdisjoint((name, *parts)):
+            continue
+        if inside and (name not in _NAMES and not last or name in _SUBJECTS or parts[-1] in _SUBJECTS or parts[-1] in _REMARKS and (tag == "p" or tag not in _BLOCK)):
+            doubtful = 3
+        elif name in _NAMES or not inside or parts[-1] in _NAMES or all(p in _NAMES or p in _PLAIN for p in parts):
+            return 1
+        else:
             doubtful = 3
     return doubtful
 
@@ -93,7 +101,7 @@ def _role(tag: str, rest: str, inside: bool) -> int:
             return 1
         if tag not in ("html", "body", "article", "main"):
             ident = "" if tag in _TITLES and inside else a.get("id", "")
-            if kind := _named(a.get("class", "").lower(), ident.lower(), inside):
+            if kind := _named(a.get("class", "").lower(), ident.lower(), inside, tag):
                 return kind
         if role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody":
             return 2

@@ -555,6 +555,29 @@ def test_doubtful_parts_of_articles_stay_unless_they_recur(spark):
         assert sum(r.n_removed_tokens for r in got) == 20 * (1 + len(advert.split()) + len(quote.split()))  # 1: the menu's word
 
 
+def test_names_inside_content_propose_and_recurrence_decides(spark):
+    """Sections named navigation, reviews and menu, a paragraph of class comment, one-off and recurring parts: what recurs
+    on the host goes, the rest stays; with the method switched off the recurring parts stay. Strong names go either way."""
+    rng = random.Random(9)
+    story = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    box = "sign our guest book and tell all of your friends about it"
+    rows, want, off = [], {}, {}
+    for k in range(12):
+        own = [story(12) for _ in range(6)]
+        head, nav, reviews, menu, comment, once = own
+        html = (
+            f'<article><h1 id="overview">{head}</h1><section id="navigation"><h2>Navigation</h2><p>{nav}</p></section><section id="reviews">{reviews}</section>'
+            f'<div class="menu">{menu}</div><p class="comment">{comment}</p><div class="widget">{once}</div><div class="social" id="s1">{box}</div>'
+            f'<div class="advert">buy {story(8)}</div><ul class="comments"><li>{story(9)}</li></ul></article><div id="menu">{story(5)}</div>'
+        )
+        rows.append((k, f"http://a.org/{k}", html))
+        want[k] = "\n\n".join([head, "Navigation", nav, reviews, menu, comment, once])
+        off[k] = want[k] + "\n\n" + box
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_suffix.extract_text(pages).collect()} == want
+    assert {r.page_id: r.text for r in html_suffix.extract_text(pages, least_pages=10**6).collect()} == off
+
+
 def test_recurrence_is_counted_over_the_whole_host(spark):
     rng = random.Random(5)
     footer, rare = "this footer is on many of the pages here", "this other line is on too few pages here"
