@@ -21,6 +21,8 @@ ANSWER = "answer"
 _VERDICT = T.StructType([T.StructField("yes", T.BooleanType()), T.StructField("error", T.StringType())])
 #: Rows of a part whose best is taken as the next pivot while many more rows are left than are wanted.
 SAMPLE = 8
+#: Rows that are left to order at most when the driver does the rest, in packed calls of its own.
+LAST = 2000
 
 
 def _read_verdict(answer) -> dict:
@@ -101,7 +103,8 @@ def sem_top_k(llm, df: DataFrame, *, prompt: str, k: int, id_col: str, input_fie
 
     A pivot splits the rows into those before and after it, all compared in one round of packed requests; parts that
     cannot hold one of the first ``k`` are dropped, and the others are split again. While many rows are left the pivot is
-    the best of a few, so the rows asked for are little more than the rows there are. A model whose answers are an order
+    the best of a few, so the rows asked for are little more than the rows there are; the last LAST are ordered on the
+    driver in the same way. A model whose answers are an order
     gives exactly its first rows; ties have to be answered False both ways and are broken by ``id_col``, which is unique.
     Equal inputs are one, whatever their number. An answer that cannot be read counts as False. k is at least 1.
     """
@@ -122,7 +125,11 @@ def sem_top_k(llm, df: DataFrame, *, prompt: str, k: int, id_col: str, input_fie
         done = open_.join(few(parts.where("rows = 1")), "low", "left_semi").select("row", "low")
         settled = done if settled is None else settled.union(done)
         split = parts.where("rows > 1")
-        if split.isEmpty():
+        left = split.agg(F.sum("rows")).first()[0] or 0
+        if left <= LAST:
+            held = open_.join(few(written(split.select("low"), "split")), "low", "left_semi").select("row", "n", "low").collect()
+            ends = _ended(llm, [tuple(r) for r in held], k, prompt, max_retries)
+            settled = settled.union(df.sparkSession.createDataFrame(ends, "row string, low long"))
             break
         first = parts.where(F.col("low") == 0).first()
         if first is not None and first["rows"] > 2 * SAMPLE * k:
@@ -144,12 +151,41 @@ def sem_top_k(llm, df: DataFrame, *, prompt: str, k: int, id_col: str, input_fie
     return first_rows.withColumn(rank, F.row_number().over(Window.orderBy(rank, id_col))).select(*df.columns, rank)
 
 
-def _best(llm, rows: list[str], prompt: str, max_retries: int) -> str:
-    """The first of a few rows: rounds of a knock-out, each in one packed call on the driver."""
+def _asked(llm, pairs: list[tuple[str, str]], prompt: str, max_retries: int) -> list[bool]:
+    """Whether the first ranks before the second, for each pair, in packed calls on the driver."""
     prefix = f"Each record is a pair of rows, first and second. Answer each with a dictionary of the key {ANSWER}, True or False.\n"
+    asked = [f'{{"first": {a}, "second": {b}}}' for a, b in pairs]
+    return [_read_verdict(v)["yes"] is True for v in llm.runner().run(asked, prefix, f"Question: {prompt}", "\nAnswer all records.", max_retries)]
+
+
+def _ended(llm, rows: list[tuple[str, int, int]], k: int, prompt: str, max_retries: int) -> list[tuple[str, int]]:
+    """(row, rows before it) of the rows (row, n, low) of parts that are split until each has one, all parts at once."""
+    parts: dict[int, list[tuple[str, int]]] = {}
+    for row, n, low in rows:
+        parts.setdefault(low, []).append((row, n))
+    out = []
+    while parts:
+        pivots = {low: own[len(own) // 2] for low, own in parts.items()}
+        pairs = [(low, r) for low, own in parts.items() for r in own if r is not pivots[low]]
+        answers = _asked(llm, [(r[0], pivots[low][0]) for low, r in pairs], prompt, max_retries) if pairs else []
+        before: dict[int, list] = {low: [] for low in parts}
+        after: dict[int, list] = {low: [] for low in parts}
+        for (low, r), yes in zip(pairs, answers, strict=True):
+            (before if yes else after)[low].append(r)
+        parts = {}
+        for low, pivot in pivots.items():
+            at = low + sum(n for _, n in before[low])
+            out.append((pivot[0], at))
+            for begin, own in ((low, before[low]), (at + pivot[1], after[low])):
+                if own and begin < k:
+                    parts[begin] = own
+    return out
+
+
+def _best(llm, rows: list[str], prompt: str, max_retries: int) -> str:
+    """The first of a few rows: rounds of a knock-out."""
     while len(rows) > 1:
         pairs = [(rows[i], rows[i + 1]) for i in range(0, len(rows) - 1, 2)]
-        asked = [f'{{"first": {a}, "second": {b}}}' for a, b in pairs]
-        answers = llm.runner().run(asked, prefix, f"Question: {prompt}", "\nAnswer all records.", max_retries)
-        rows = [a if _read_verdict(v)["yes"] else b for (a, b), v in zip(pairs, answers, strict=True)] + rows[len(pairs) * 2 :]
+        answers = _asked(llm, pairs, prompt, max_retries)
+        rows = [a if yes else b for (a, b), yes in zip(pairs, answers, strict=True)] + rows[len(pairs) * 2 :]
     return rows[0]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import semspark as ss
+from semspark.operators import pairs
 from semspark.runtime.metrics import RunMetrics
 
 
@@ -32,9 +33,9 @@ def test_join_equals_all_pairs(spark, how):
     b = spark.createDataFrame(right, "id long, word string")
     llm, metrics = model(same_word, spark)
     made = ss.sem_join(llm, a, b, prompt="begins the first with the second?", left_fields=["name"], right_fields=["word"], how=how, top_k=8)
-    pairs = [(i, n, j, w) for i, n in left for j, w in right if n and w and n.split(" ")[0] == w]
-    hit = {p[0] for p in pairs}
-    want = {"inner": pairs, "left": pairs + [(i, n, None, None) for i, n in left if i not in hit], "left_semi": [r for r in left if r[0] in hit], "left_anti": [r for r in left if r[0] not in hit]}[how]
+    both = [(i, n, j, w) for i, n in left for j, w in right if n and w and n.split(" ")[0] == w]
+    hit = {p[0] for p in both}
+    want = {"inner": both, "left": both + [(i, n, None, None) for i, n in left if i not in hit], "left_semi": [r for r in left if r[0] in hit], "left_anti": [r for r in left if r[0] not in hit]}[how]
     assert sorted(map(str, (tuple(r) for r in made.collect()))) == sorted(map(str, want))
     assert made.columns == (["id", "name"] if "semi" in how or "anti" in how else ["id", "name", "id_right", "word"])
     distinct = len({n for _, n in left}) * len({w for _, w in right})
@@ -50,9 +51,10 @@ def test_join_of_empty_frames(spark):
     assert ss.sem_join(llm, a, b, prompt="p", left_fields=["name"], how="left_anti").count() == 1
 
 
-@pytest.mark.parametrize("k", [1, 7, 40, 1000])
-def test_top_rows_are_those_of_the_order(spark, k):
+@pytest.mark.parametrize(("k", "last"), [(1, 0), (7, 0), (7, 50), (40, 2000), (1000, 2000), (1000, 100)])
+def test_top_rows_are_those_of_the_order(spark, monkeypatch, k, last):
     """Ties and repeated inputs go by id; answers that cannot be read count as False; few more rows are asked than are there."""
+    monkeypatch.setattr(pairs, "LAST", last)
     rng = random.Random(k)
     rows = [(i, rng.choice([None, *range(400)])) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, v int").withColumns({"rank_": F.lit(1), "input": F.lit(2)})
