@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch that goes to a Python worker, about; a longer row is a batch of its own.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-#: Paths made inside open ``scratch`` blocks, the innermost last.
-_open: list[list[str]] = []
+#: Paths made inside the innermost open ``scratch`` block of this thread.
+_open: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
+#: For each session that jobs of bounded batches run in: how many there are, and the setting before the first.
+_bounded: dict[int, tuple[int, str | None]] = {}
+_bounding = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    if _open:
-        _open[-1].append(path)
+    if (own := _open.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -48,13 +53,25 @@ def new_path(spark: SparkSession, label: str) -> str:
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Bounds the Arrow batches of jobs inside it by their bytes, so that a batch of long texts, which the JVM and
     Python both hold, takes no more memory than one of short texts. A lower bound of the session stays."""
-    before = spark.conf.get(BATCH_CONF, None)
+    key = id(spark._jsparkSession)
+    with _bounding:  # jobs of several threads share the setting; the last one to end puts it back
+        n, before = _bounded.get(key, (0, None))
+        if not n:
+            before = spark.conf.get(BATCH_CONF, None)
+            if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before or "64m") > BATCH_BYTES:
+                spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+        _bounded[key] = (n + 1, before)
     try:
-        if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before or "64m") > BATCH_BYTES:
-            spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
         yield
     finally:
-        spark.conf.set(BATCH_CONF, before) if before else spark.conf.unset(BATCH_CONF)
+        with _bounding:
+            n, before = _bounded.pop(key)
+            if n > 1:
+                _bounded[key] = (n - 1, before)
+            elif before:
+                spark.conf.set(BATCH_CONF, before)
+            else:
+                spark.conf.unset(BATCH_CONF)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -87,11 +104,13 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was written to the shared folder inside it. Frames made inside are not to be read later;
+    """Deletes at its end what this thread wrote to the shared folder inside it. Frames made inside are not to be read later;
     write what is to stay outside of it, or to a path of your own."""
-    _open.append([])
+    own: list[str] = []
+    before = _open.set(own)
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(before)
+        for path in own:
             _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
