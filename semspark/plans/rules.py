@@ -63,6 +63,10 @@ def event_note_or_error(text: str) -> dict:
     return {"note": row["event_type"].upper()}
 
 
+def event_label(text: str) -> dict:
+    return {"label": _row(text)["event_type"].upper()}
+
+
 def order_rank(text: str) -> dict:
     return {"rank": int(_row(text)["o_orderpriority"][0])}
 

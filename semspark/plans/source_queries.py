@@ -18,8 +18,10 @@ from ..runtime.clients import CallableLLM
 from ..runtime.embedders import HashingEmbedder
 from ..runtime.metrics import RunMetrics
 from ..runtime.shared import new_path
+from ..runtime.store import AnswerStore
 from ..sources import readers
 from ..streaming.semantic import read_parquet_stream, run_available
+from ..streaming.stateful import answer_available, close_windows
 from . import rules
 from .registry import query, table
 
@@ -119,6 +121,29 @@ def stream_filter(spark, d):
     return spark.read.schema(events.schema).parquet(out).select(*events.columns)
 
 
+@query(
+    "WITH e AS (SELECT event_type, ts, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events), m AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM events) "
+    "SELECT epoch(w)::BIGINT AS window_start, upper(event_type) AS label, count(*) AS n, (SELECT count(DISTINCT event_type) FROM events) AS n_asked FROM e, m WHERE w + INTERVAL 1 HOUR <= mark GROUP BY w, event_type"
+)
+def stream_windows(spark, d):
+    """Events come in three parts in order of time. Each distinct type is asked once in the whole stream, and hours of
+    labels are counted as they close; both streams are stopped after each part and go on from their checkpoints."""
+    metrics, store = RunMetrics(spark), AnswerStore(new_path(spark, "stream-store"))
+    source, answered, out, asked_at, closed_at = (new_path(spark, f"stream-{k}") for k in ("source", "answered", "windows", "asked", "closed"))
+    events = table(spark, d, "events").select("event_type", "ts")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    op = sem_map(prompt="label", input_fields=["event_type"], output_fields=["label"], store=store)
+    llm = CallableLLM(rules.event_label, metrics=metrics)
+    for k in range(3):
+        cut = lambda i: low + (high - low) * i / 3
+        part = events.where((F.col("ts") >= cut(k) if k else F.lit(True)) & (F.col("ts") < cut(k + 1) if k < 2 else F.lit(True)))
+        part.write.mode("append").parquet(source)
+        answer_available(op, llm, read_parquet_stream(spark, source, events.schema), answered, asked_at)
+        close_windows(spark, answered, "event_type string, ts timestamp, label string", time="ts", width="1 hour", delay="2 hours", keys=["label"], out=out, checkpoint=closed_at)
+    windows = spark.read.schema("window_start timestamp, window_end timestamp, label string, n long").parquet(out)
+    return windows.select(F.unix_timestamp("window_start").alias("window_start"), "label", "n", F.lit(metrics.values()["rows"]).cast("long").alias("n_asked"))
+
+
 class PlainLLM(CallableLLM):
     """Answers a prompt as a whole."""
 
