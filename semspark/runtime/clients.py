@@ -61,7 +61,7 @@ class LLM:
     """A model named ``provider/model`` behind an HTTP chat endpoint.
 
     Keyword arguments: api_key, api_base, api_version, temperature (0.0), rpm, tpm, max_tokens, parallelism (tasks
-    that call the model at a time; without it as many as the session runs), threads (requests in flight in a task),
+    that call the model at a time; without it as many as the session runs and the limits serve), threads (requests in flight in a task),
     metrics (a RunMetrics), timeout, leases; others are sent with each request. All tasks of an application borrow from
     one budget of the model's limits, which the driver holds; ``leases=False``, where executors cannot reach a port of
     the driver, gives each task a fixed share instead.
@@ -130,10 +130,8 @@ class LLM:
         return out
 
     def tasks(self, slots: int) -> int:
-        """Tasks that may call the model at a time on a session that runs ``slots``. Without leases each needs a share
-        of a few requests a minute."""
-        if self.leases:
-            return self.parallelism or slots
+        """Tasks that may call the model at a time on a session that runs ``slots``: more than the limits have a few
+        requests a minute for would wait, or without leases have no share."""
         return self.parallelism or max(1, min(slots, int(self.rpm // LEAST_SHARE)))
 
     def shared_by(self, tasks: int) -> LLM:
