@@ -59,4 +59,36 @@ SELECT conv_id, call_id, level::INT AS level, position::INT AS position, tool,
 FROM joined
 """
 
-ORACLE_SQL = {"op6_tool_call_linking": OP6, "op7_poisson_mixing": OP7, "op8_temporal_url_filter": OP8}
+OP11 = """
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+-- the table of crc32, and the crc32 of each conversation's digits, a digit a step
+bits AS (SELECT i, 0 AS k, i AS v FROM range(256) AS r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+crc AS (SELECT c, s, 0 AS k, 4294967295::BIGINT AS v FROM ids
+    UNION ALL SELECT c, s, k + 1, xor(v >> 8, t[xor(v & 255, ascii(s[k + 1])::BIGINT) + 1]) FROM crc, crc_table WHERE k < length(s)),
+heads AS (SELECT c, xor(v, 4294967295) % 6 AS h FROM crc WHERE k = length(s)),
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
+rebuilt AS (
+    SELECT i.c, t.n AS d, t.k, t.chars FROM heads i JOIN turns t ON t.c = i.c - i.c % 100 AND t.n <= i.h
+    UNION ALL SELECT i.c, t.n - i.h + least(i.h, coalesce(g.n, 0)), t.k, t.chars FROM heads i JOIN turns t ON t.c = i.c AND t.n > i.h LEFT JOIN sizes g ON g.c = i.c - i.c % 100),
+members AS (SELECT c, 0 AS d, '' AS p, 0 AS chars FROM ids
+    UNION ALL SELECT c, d, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)), chars FROM rebuilt),
+nodes AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM members GROUP BY d, p),
+ups AS (SELECT DISTINCT m.d, m.p, u.p AS up FROM members m JOIN members u ON u.c = m.c AND u.d = m.d - 1),
+children AS (SELECT d - 1 AS d, up AS p, count(*) AS n FROM ups GROUP BY ALL),
+below AS (SELECT DISTINCT a.d AS ad, a.p AS ap, b.d, b.p FROM members a JOIN members b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT b.ad AS d, b.ap AS p, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens, count(*) FILTER (k.n IS NULL) AS n_leaves
+    FROM below b JOIN nodes n ON n.d = b.d AND n.p = b.p LEFT JOIN children k ON k.d = b.d AND k.p = b.p GROUP BY ALL),
+lasts AS (SELECT c, max(d) AS d FROM members GROUP BY c),
+ends AS (SELECT m.d, m.p, sha256(string_agg(m.c::VARCHAR, ',' ORDER BY m.c)) AS ends_sha256 FROM members m JOIN lasts l ON l.c = m.c AND l.d = m.d GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens,
+    coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN ups ON ups.d = n.d AND ups.p = n.p LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = ups.up
+LEFT JOIN children k ON k.d = n.d AND k.p = n.p LEFT JOIN ends e ON e.d = n.d AND e.p = n.p
+"""
+
+ORACLE_SQL = {"op6_tool_call_linking": OP6, "op7_poisson_mixing": OP7, "op8_temporal_url_filter": OP8, "op11_patricia_trie": OP11}
