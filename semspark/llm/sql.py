@@ -91,4 +91,28 @@ FROM nodes n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN ups ON ups.d = n.d
 LEFT JOIN children k ON k.d = n.d AND k.p = n.p LEFT JOIN ends e ON e.d = n.d AND e.p = n.p
 """
 
-ORACLE_SQL = {"op6_tool_call_linking": OP6, "op7_poisson_mixing": OP7, "op8_temporal_url_filter": OP8, "op11_patricia_trie": OP11}
+OP12 = """
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS v FROM range(256) AS r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+-- crc32 of document and run, a byte a step
+crc AS (SELECT doc_id, run, n, hex(encode(doc_id || ':' || run)) AS s, 0 AS k, 4294967295::BIGINT AS v FROM runs
+    UNION ALL SELECT doc_id, run, n, s, k + 1, xor(v >> 8, t[xor(v & 255, ('0x' || substr(s, 2 * k + 1, 2))::BIGINT) + 1]) FROM crc, crc_table WHERE 2 * k < length(s)),
+hashed AS (SELECT run, n, xor(v, 4294967295) AS h FROM crc WHERE 2 * k = length(s)),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, j, left(word, j - 1) || substr(word, j + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS j FROM words)),
+fewer AS (SELECT DISTINCT p.word, p.n, w.word AS other, w.n AS other_n FROM places p JOIN words w ON w.word = p.rest),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM places a JOIN places b ON a.j = b.j AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+    UNION ALL SELECT word, other, other_n FROM fewer UNION ALL SELECT other, word, n FROM fewer),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+forms AS (SELECT w.word, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+steps AS (SELECT word, word AS at FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NOT NULL),
+roots AS (SELECT s.word, s.at AS root FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
+
+ORACLE_SQL = {"op6_tool_call_linking": OP6, "op7_poisson_mixing": OP7, "op8_temporal_url_filter": OP8, "op11_patricia_trie": OP11, "op12_spelling_variants": OP12}
