@@ -115,4 +115,16 @@ roots AS (SELECT s.word, s.at AS root FROM steps s JOIN forms f ON f.word = s.at
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word
 """
 
-ORACLE_SQL = {"op6_tool_call_linking": OP6, "op7_poisson_mixing": OP7, "op8_temporal_url_filter": OP8, "op11_patricia_trie": OP11, "op12_spelling_variants": OP12}
+OP3 = r"""
+WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM lists WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT q.doc_id, w.b FROM reached q JOIN ways w ON w.a = q.r)
+SELECT q.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(q.r) AS component_id, q.doc_id = min(q.r) AS kept
+FROM reached q LEFT JOIN sizes s ON s.doc_id = q.doc_id GROUP BY q.doc_id
+"""
+
+ORACLE_SQL = {"op3_superminhash": OP3, "op6_tool_call_linking": OP6, "op7_poisson_mixing": OP7, "op8_temporal_url_filter": OP8, "op11_patricia_trie": OP11, "op12_spelling_variants": OP12}
