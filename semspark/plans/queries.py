@@ -199,8 +199,8 @@ def embed_store(spark, d):
     first = store.embedded(docs, embedder)
     sent = metrics.values()["embedding_requests"]
     again = store.embedded(docs, embedder)
-    both = first.withColumnRenamed("vec", "first").join(again, "id").where("first = vec")
-    texts = docs.join(both.select("id", "vec"), "id").groupBy("text").agg(F.countDistinct("vec").alias("vectors"), F.count("*").alias("n"))
+    both = first.select("id", F.xxhash64("vec").alias("first")).join(again.select("id", F.xxhash64("vec").alias("v")), "id").where("first = v")
+    texts = docs.select("id", F.md5("text").alias("t")).join(both, "id").groupBy("t").agg(F.countDistinct("v").alias("vectors"), F.count("*").alias("n"))
     return texts.agg(F.sum("vectors").alias("n_vectors"), F.coalesce(F.max("n") > 1, F.lit(False)).alias("some_equal"), F.lit(metrics.values()["embedding_requests"] - sent).alias("second_requests"))
 
 

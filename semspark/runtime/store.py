@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import spread_join
 from .embedders import REQUEST_ROWS, model_name, unit
-from .shared import written
+from .shared import few, written
 
 
 def content_key(model: str, *parts: Column) -> Column:
@@ -86,8 +86,8 @@ class VectorStore(ContentStore):
         super().__init__(path, "array<float>")
 
     def embedded(self, rows: DataFrame, embedder) -> DataFrame:
-        """(id, vec) of ``rows`` (id, text): texts that the store lacks are embedded, once each, and kept. A null text is
-        embedded as an empty one. Runs a job."""
+        """(id, vec) of ``rows`` (id, text): texts that the store lacks are embedded and kept, those of one row for each;
+        ids are unique (a text may else be sent for several of them). A null text is embedded as an empty one. Runs a job."""
         from ..operators.base import dealt
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +97,16 @@ class VectorStore(ContentStore):
                     vectors = unit(np.asarray(embedder.embed(part.column(1).to_pylist()), np.float32))
                     yield pa.record_batch({"key": part.column(0), "value": pa.array(list(vectors), pa.list_(pa.float32()))})
 
+        spark = rows.sparkSession
         text = F.coalesce(F.col("text"), F.lit(""))
-        keyed = written(rows.select("id", content_key(model_name(embedder), text).alias("key"), text.alias("text")), "keyed")
-        lacking = written(self.missing(keyed), "missing")
+        texts = rows.select("id", content_key(model_name(embedder), text).alias("key"), text.alias("text"))
+        keyed = written(texts.select("id", "key"), "keyed")  # texts stay where they are until it is known which are sent
+        first = keyed.groupBy("key").agg(F.min("id").alias("id"))
+        lacking = written(first.join(self.read(spark).select("key"), "key", "left_anti"), "missing")
         if not lacking.isEmpty():
-            self.append(dealt(lacking, lacking.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "key string, value array<float>"))
-        return self.known(keyed.select("id", "key")).select("id", F.col("value").alias("vec"))
+            sent = texts.join(few(lacking), ["id", "key"], "left_semi").select("key", "text")
+            self.append(dealt(sent, spark.sparkContext.defaultParallelism).mapInArrow(run, "key string, value array<float>"))
+        return self.known(keyed).select("id", F.col("value").alias("vec"))
 
 
 class AnswerStore(ContentStore):
