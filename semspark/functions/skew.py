@@ -21,3 +21,20 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
     copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
+#: Rows of a key from which on they are dealt out.
+HOT = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: int = HOT) -> DataFrame:
+    """As ``spread_join``, for a ``right`` of wide rows: only keys of more than ``hot`` rows on the left are spread. They
+    are counted first, which is a job; without any this is a plain join."""
+    from ..runtime.shared import few, written
+
+    many = written(left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*keys), "hot-keys")
+    if many.isEmpty():
+        return left.join(right, keys, how)
+    marked = few(many)
+    spread = spread_join(left.join(marked, keys, "left_semi"), right.join(marked, keys, "left_semi"), keys, how)
+    return left.join(marked, keys, "left_anti").join(right, keys, how).unionByName(spread)

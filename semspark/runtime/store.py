@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.skew import spread_join
+from ..functions.skew import hot_join
 from .embedders import REQUEST_ROWS, model_name, unit
 from .shared import few, written
 
@@ -76,7 +76,7 @@ class ContentStore:
         """``keyed`` with the column ``value``, null for keys that the store lacks. Very many rows may have one key."""
         wanted = keyed.select("key").distinct()
         values = self.read(keyed.sparkSession).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-        return spread_join(keyed, written(values, "known"), ["key"], "left")
+        return hot_join(keyed, written(values, "known"), ["key"], "left")
 
 
 class VectorStore(ContentStore):

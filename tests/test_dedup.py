@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import semspark as ss
 from semspark.functions.numbering import numbered
-from semspark.functions.skew import spread_join
+from semspark.functions.skew import hot_join, spread_join
 from semspark.operators import graph
 from semspark.operators.clusters import clusters, greedy
 from semspark.operators.dedup import nearest_banded
@@ -121,6 +121,8 @@ def test_spread_joins_are_joins(spark):
     left = spark.createDataFrame([(k % 3, k) for k in range(50)] + [(None, 7)], "k int, salt int")
     right = spark.createDataFrame([(0, "a"), (2, "b"), (5, "c")], "k int, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
+        for hot in (5, 1000):
+            assert sorted(map(str, hot_join(left, right, ["k"], how, hot).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
         assert sorted(map(str, spread_join(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
 
 
