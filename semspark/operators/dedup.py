@@ -267,11 +267,13 @@ class SemanticDeduplicator:
         elif isinstance(df.schema[self.id_col].dataType, T.IntegralType):
             df = df.withColumn(number, col(self.id_col).cast("long"))
         else:
-            names = numbered(df.select(col(self.id_col)))
-            df = df.join(names.withColumnsRenamed({"given": self.id_col, "number": number}), self.id_col, "left")
-        merged = written(self._merged(df, number, [c for c in columns if c != self.id_col]), "pairs")
+            names = written(numbered(df.select(col(self.id_col))), "names")
+        merged = written(self._merged(df, number, names, [c for c in columns if c != self.id_col]), "pairs")
         if self.return_df:
             gone = merged.select(F.col("id").alias(number))
+            if names is not None:
+                gone = written(names.join(few(gone.toDF("number")), "number", "left_semi").select(F.col("given").alias(number)), "gone")
+                df = df.withColumn(number, col(self.id_col))
             kept = df.join(F.broadcast(gone), number, "left_anti") if gone.count() <= BROADCAST_IDS else spread_join(df, gone, [number], "left_anti")
             return kept.drop(number)
         if names is not None:
@@ -282,12 +284,20 @@ class SemanticDeduplicator:
             return merged
         return merged.groupBy("canonical_id").agg(F.array_sort(F.collect_list("id")).alias("duplicate_ids"))
 
-    def _merged(self, df: DataFrame, number: str, inputs: list[str]) -> DataFrame:
-        """(id, canonical_id) of all rows that are merged into another one, by their numbers."""
-        rows = df.select(col(number).alias("id"), (F.sha2(serialised(inputs), 256) if inputs else col(number)).alias("row")).where("id is not null")
+    def _merged(self, df: DataFrame, number: str, names: DataFrame | None, inputs: list[str]) -> DataFrame:
+        """(id, canonical_id) of all rows that are merged into another one, by their numbers: the column ``number`` of
+        ``df``, or those that ``names`` gives to ids of another type. Inputs are not moved to look them up."""
+        same = F.sha2(serialised(inputs), 256) if inputs else col(number if names is None else self.id_col).cast("string")
+        if names is None:
+            rows = df.select(col(number).alias("id"), same.alias("row")).where("id is not null")
+        else:
+            rows = df.select(col(self.id_col).alias("given"), same.alias("row")).join(names, "given").select(F.col("number").alias("id"), "row")
         heads, pairs = one_of_each(rows, "row")
-        heads = few(heads.select(F.col("id").alias(number)))
-        firsts = df.join(heads, number, "left_semi")
+        if names is None:
+            firsts = df.join(few(heads.select(F.col("id").alias(number))), number, "left_semi")
+        else:
+            given = written(names.join(few(heads.select(F.col("id").alias("number"))), "number", "left_semi").select(F.col("given").alias(self.id_col), F.col("number").alias(number)), "heads")
+            firsts = df.join(few(given), self.id_col)
         vectors = written(embed(firsts, number, embedding_text(inputs), self.embedder, self.store), "vectors")
         points = vectors
         if self.llm is None:  # vectors of zeros are like no other
@@ -296,19 +306,23 @@ class SemanticDeduplicator:
             least, equal = one_of_each(keyed, "key")
             points = vectors.join(few(least), "id", "left_semi")
         found = written(clusters(written(self._near(points.select("id", "vec")), "hits")), "clusters")
-        confirmed = self._confirmed(df, number, found, inputs)
+        confirmed = self._confirmed(df, number, names, found, inputs)
         merges = confirmed.select(F.explode("duplicate_ids").alias("id"), "canonical_id")
         if self.llm is None:
             merges = composed(equal, merges)
         return composed(pairs, merges)
 
-    def _confirmed(self, df: DataFrame, number: str, found: DataFrame, inputs: list[str]) -> DataFrame:
+    def _confirmed(self, df: DataFrame, number: str, names: DataFrame | None, found: DataFrame, inputs: list[str]) -> DataFrame:
         if self.llm is None:
             own = found.select(F.array_min("members").alias("canonical_id"), "members")
             return own.select("canonical_id", F.array_sort(F.array_remove("members", F.col("canonical_id"))).alias("duplicate_ids"))
         llm, tasks = shared_model(df.sparkSession, self.llm)
-        rows = df.select(col(number).alias("member"), serialised(inputs).alias("row"))
-        placed = found.select("cluster_id", "members", F.posexplode("members").alias("at", "member")).join(rows, "member")
+        placed = found.select("cluster_id", "members", F.posexplode("members").alias("at", "member"))
+        if names is None:
+            placed = placed.join(df.select(col(number).alias("member"), serialised(inputs).alias("row")), "member")
+        else:
+            placed = placed.join(names.select("given", F.col("number").alias("member")), "member")
+            placed = placed.join(df.select(col(self.id_col).alias("given"), serialised(inputs).alias("row")), "given")
         lines = placed.groupBy("cluster_id").agg(F.first("members").alias("members"), F.array_sort(F.collect_list(F.struct("at", "member", "row"))).alias("rows"))
         line = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("ID "), r["member"].cast("string"), F.lit(": "), r["row"])), "\n")
         text = F.concat(F.lit("CLUSTER "), F.col("cluster_id").cast("string"), F.lit(" START\n"), line, F.lit("\nCLUSTER "), F.col("cluster_id").cast("string"), F.lit(" END"))
