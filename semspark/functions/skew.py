@@ -15,14 +15,25 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """``left.join(right, keys, how)`` for inner, left, left_semi and left_anti joins to a ``right`` with one row a key.
 
     Each key's rows on the left are dealt out to ``salts`` tasks by a hash of all their columns; the row on the right
-    goes to each of them. Rows that are equal in all columns stay together.
+    goes to each of them. Rows that are equal in all columns stay together. The copies are joined by shuffles, whatever
+    ``right`` is hinted or estimated at: Spark takes the size of a table for that of its ``salts`` copies, which would all
+    go through the driver. A ``right`` that is small enough to be broadcast needs no copies (see ``few_join``).
     """
     (salt,) = fresh([*left.columns, *right.columns], "salt")
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
-    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
+def few_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """As ``spread_join``, for a written ``right``: its rows are counted, and up to ``most`` (FEW) are broadcast, once each."""
+    from ..runtime.shared import FEW
+
+    if right.count() <= (FEW if most is None else most):
+        return left.join(right.hint("broadcast"), keys, how)
+    return spread_join(left, right, keys, how)
+
+
 #: Rows of a key from which on they are dealt out.
 HOT = 10_000
 

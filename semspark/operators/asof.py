@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh
-from ..functions.skew import spread_join
-from ..runtime.shared import few, written
+from ..functions.skew import few_join
+from ..runtime.shared import written
 from .base import col
 
 #: Rows of both sides for each span that the order's values are cut into.
 SPAN_ROWS = 200_000
+#: Rows handed on to later spans that may be broadcast; they hold keys and columns of the right.
+CARRIED = 50_000
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], on: str, right_by: list[str] | None = None, right_on: str | None = None, columns: list[str] | None = None, suffix: str = "_right", span_rows: int = SPAN_ROWS) -> DataFrame:
@@ -47,7 +49,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], on: str, righ
     spans = both.select(key, span).distinct().join(last, [key, span], "left")
     before = Window.partitionBy(key).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
     handed = written(spans.select(key, span, F.last(F.col(carry)[found], True).over(before).alias(carry)).where(F.col(carry).isNotNull()), "carried")
-    out = spread_join(filled, few(handed), [key, span], "left") if width > 0 else filled.withColumn(carry, F.lit(None).cast(other.schema[found].dataType))
+    out = few_join(filled, handed, [key, span], "left", CARRIED) if width > 0 else filled.withColumn(carry, F.lit(None).cast(other.schema[found].dataType))
     out = out.select(mine, F.coalesce(found, carry).alias(found)).union(alone)
     names = [c + suffix if c.lower() in {n.lower() for n in left.columns} else c for c in columns]
     return out.select(*[F.col(mine)[c].alias(c) for c in left.columns], *[F.col(found)[f"c{i}"].alias(n) for i, n in enumerate(names)])

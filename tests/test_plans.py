@@ -104,3 +104,18 @@ def test_steps_are_counted_without_a_job_of_their_own(spark, caplog):
     assert Agent(llm).do("few", df, frames={"spare": df}, counts=again, verbose=True).count() == 5
     assert again.rows() == [("input", 100), ("select_rows", 5)] and "Frame spare" in llm.prompts[0]
     assert sum("plan:" in r.message for r in caplog.records) == 2 and any("step 0: select_rows" in r.message for r in caplog.records)
+
+
+def test_carried_rows_go_through_the_driver_once_at_most(spark, monkeypatch):
+    """Rows handed on to later spans are broadcast without copies, or not at all."""
+    from semspark.operators import asof
+
+    a = spark.range(2000).select("id", (F.col("id") % 50).alias("k"), (F.col("id") * 7 % 900).cast("int").alias("t"))
+    b = spark.range(500).select((F.col("id") % 50).alias("k"), (F.col("id") * 11 % 900).cast("int").alias("t"), F.col("id").alias("v"))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    got = asof_join(a, b, by=["k"], on="t", span_rows=500)
+    assert "Broadcast" in plan(got) and "Generate" not in plan(got)
+    monkeypatch.setattr(asof, "CARRIED", 0)
+    spread = asof_join(a, b, by=["k"], on="t", span_rows=500)
+    assert "Broadcast" not in plan(spread) and "Generate" in plan(spread)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spread.collect())) and got.count() == 2000
