@@ -16,7 +16,7 @@ from semspark.operators.dedup import nearest_banded
 from semspark.plans.rules import same_text
 from semspark.runtime.embedders import HashingEmbedder, unit
 from semspark.runtime.metrics import RunMetrics
-from semspark.runtime.shared import new_path
+from semspark.runtime.shared import few, new_path, written
 from semspark.runtime.store import AnswerStore, VectorStore
 
 
@@ -126,6 +126,16 @@ def test_spread_joins_are_joins(spark):
         assert sorted(map(str, spread_join(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
 
 
+def test_copies_of_a_spread_join_are_not_broadcast(spark):
+    """Neither those of a table whose files are small (names of text ids) nor those of a hinted one."""
+    names = written(numbered(spark.range(3000).select(F.concat(F.lit("doc-"), "id").alias("key"))), "names")
+    pairs = written(spark.range(3000).select("id", (F.col("id") % 7).alias("canonical_id")), "pairs")
+    for right in (names, few(names)):
+        joined = spread_join(pairs, right.select(F.col("number").alias("canonical_id"), "given"), ["canonical_id"])
+        assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+        assert joined.count() == 3000
+
+
 def test_texts_are_embedded_once(spark):
     metrics = RunMetrics(spark)
     df = spark.createDataFrame([(k, f"text {k % 300}" if k else None) for k in range(900)], "id long, text string")
