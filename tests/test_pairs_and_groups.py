@@ -137,3 +137,12 @@ def test_groups_by_labels(spark):
     assert {r.label for r in got.where("n = 13").collect()} == {None} and set(got.columns) == set(df.columns)
     assert metrics.values()["rows"] == 38  # one for each input, and the unanswered one again
     assert ss.sem_group_by(llm, df.limit(0), prompt="size", input_fields=["n"]).collect() == []
+
+
+def test_labels_of_many_inputs_are_not_broadcast_in_copies(spark):
+    """Rows get their labels by shuffles, however small the file of labels is."""
+    llm, _ = model(lambda text: {"answer": "odd" if json.loads(text)["id"] % 2 else "even"})
+    df = spark.range(3000)
+    got = ss.sem_group_by(llm, df, prompt="parity", labels=["odd", "even"])
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert got.groupBy("label").count().collect() and got.where("(id % 2 = 1) <> (label = 'odd')").isEmpty()
