@@ -69,6 +69,22 @@ def ruled(rows):
     return sorted((min(m), m) for m in greedy(by))
 
 
+def test_recall_is_reached_in_many_cells(spark, monkeypatch):
+    """Random vectors, whose neighbours are in all cells: probes and beams that are too small are raised."""
+    vec = unit(np.random.default_rng(8).standard_normal((1500, 32)).astype(np.float32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "id long, vec array<float>")
+    asked, held = F.col("id") % 5 == 0, F.col("id") % 3 > 0
+    monkeypatch.setattr(graph, "CELL", 100)
+    exact = graph.nearest_exact(df, asked, 10, held=held)
+    full = np.where(np.arange(1500) % 3 > 0, vec @ vec.T, -9)
+    assert {(r.id, r.hit) for r in exact.collect()} == {(i, j) for i in range(0, 1500, 5) for j in np.argsort(-full[i], kind="stable")[:10].tolist()}
+    few_probes = {"m": 4, "ef": 10, "probes": 1, "asked": asked, "held": held}
+    assert graph.recall(graph.nearest_graph(df, 10, -2.0, **few_probes), exact) < 0.8
+    assert graph.recall(graph.nearest_graph(df, 10, -2.0, recall=0.9, **few_probes), exact) >= 0.9
+    monkeypatch.setattr(graph, "BEAM", 5)
+    assert graph.recall(graph.nearest_graph(df, 10, -2.0, recall=0.9, **few_probes), exact) >= 0.9
+
+
 def test_clusters_in_ranges_follow_the_sequential_rule(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(200), rng.randrange(200), rng.choice([0.9, 0.95, 1.0])) for _ in range(500)]
