@@ -30,6 +30,8 @@ BLOCK = 2048
 RATIO, SAMPLE = 4.0, 1000
 #: Ids that may be broadcast; their number is checked, and more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
+#: Rows of several columns that may be broadcast: buckets of vectors, and members of clusters.
+BROADCAST_ROWS = 50_000
 NONE = "NO_DUPLICATES"
 
 
@@ -39,9 +41,13 @@ def embedding_text(columns: list[str]):
 
 
 def embed(df: DataFrame, id_col: str, text, embedder, store=None) -> DataFrame:
-    """(id, vec): unit vectors of the texts, in requests of 256. With a ``store`` only texts that it lacks are embedded."""
+    """(id, vec): unit vectors of the texts, in requests of 256. With a ``store`` only texts that it lacks are embedded.
+    Whole-number ids become longs, others keep their type."""
+    own = df.select(col(id_col)).schema[0].dataType
+    own = T.LongType() if isinstance(own, T.IntegralType) else own
+    rows = df.select(col(id_col).cast(own).alias("id"), text.alias("text")).where("id is not null")
     if store is not None:
-        return store.embedded(df.select(col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null"), embedder)
+        return store.embedded(rows, embedder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,8 +56,8 @@ def embed(df: DataFrame, id_col: str, text, embedder, store=None) -> DataFrame:
                 vectors = unit(np.asarray(embedder.embed([t or "" for t in part.column(1).to_pylist()]), np.float32))
                 yield pa.record_batch({"id": part.column(0), "vec": pa.array(list(vectors), pa.list_(pa.float32()))})
 
-    rows = df.select(col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
-    return dealt(rows, df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "id long, vec array<float>")
+    made = T.StructType([T.StructField("id", own), T.StructField("vec", T.ArrayType(T.FloatType()))])
+    return dealt(rows, df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, made)
 
 
 def _best(score: np.ndarray, left: np.ndarray, right: np.ndarray, top_k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +169,7 @@ def nearest_banded(vectors: DataFrame, top_k: int = 50, threshold: float = 0.90,
     sizes = written(rows.groupBy("band", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"), "buckets")
     # Small buckets share a group; a pair of blocks is never split, so a group has about two pairs of blocks at most.
     bins = -(-(sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // (2 * block)) or 1
-    sizes = sizes.drop("n")
+    sizes = few(sizes.drop("n"), BROADCAST_ROWS)  # a few bytes a row in files, about 120 where they are broadcast
     dealt = rows.join(sizes, ["band", "code"]).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "code", "id", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j")).join(vectors, "id")
@@ -286,19 +292,27 @@ class SemanticDeduplicator:
 
     def _merged(self, df: DataFrame, number: str, names: DataFrame | None, inputs: list[str]) -> DataFrame:
         """(id, canonical_id) of all rows that are merged into another one, by their numbers: the column ``number`` of
-        ``df``, or those that ``names`` gives to ids of another type. Inputs are not moved to look them up."""
+        ``df``, or those that ``names`` gives to ids of another type. Inputs are not moved to look them up.
+
+        Names in their order take a byte or two in files and over a hundred where they are broadcast, so they are joined
+        by shuffles whatever Spark takes their size for. Heads of classes are picked by a hash of their ids, which may be
+        broadcast and lets hardly another row through; vectors are joined by the ids themselves.
+        """
         same = F.sha2(serialised(inputs), 256) if inputs else col(number if names is None else self.id_col).cast("string")
         if names is None:
             rows = df.select(col(number).alias("id"), same.alias("row")).where("id is not null")
         else:
-            rows = df.select(col(self.id_col).alias("given"), same.alias("row")).join(names, "given").select(F.col("number").alias("id"), "row")
+            rows = df.select(col(self.id_col).alias("given"), same.alias("row")).join(names.hint("merge"), "given").select(F.col("number").alias("id"), "row")
         heads, pairs = one_of_each(rows, "row")
         if names is None:
             firsts = df.join(few(heads.select(F.col("id").alias(number))), number, "left_semi")
+            vectors = embed(firsts, number, embedding_text(inputs), self.embedder, self.store)
         else:
-            given = written(names.join(few(heads.select(F.col("id").alias("number"))), "number", "left_semi").select(F.col("given").alias(self.id_col), F.col("number").alias(number)), "heads")
-            firsts = df.join(few(given), self.id_col)
-        vectors = written(embed(firsts, number, embedding_text(inputs), self.embedder, self.store), "vectors")
+            given = written(names.join(heads.select(F.col("id").alias("number")).hint("merge"), "number", "left_semi").select("given", "number"), "heads")
+            firsts = df.withColumn(number, F.xxhash64(col(self.id_col))).join(few(given.select(F.xxhash64("given").alias(number))), number, "left_semi")
+            vectors = embed(firsts, self.id_col, embedding_text(inputs), self.embedder, self.store).withColumnRenamed("id", "given")
+            vectors = vectors.join(given.hint("merge"), "given").select(F.col("number").alias("id"), "vec")
+        vectors = written(vectors, "vectors")
         points = vectors
         if self.llm is None:  # vectors of zeros are like no other
             alone = F.when(~F.exists("vec", lambda v: v != 0), F.col("id"))
@@ -321,8 +335,8 @@ class SemanticDeduplicator:
         if names is None:
             placed = placed.join(df.select(col(number).alias("member"), serialised(inputs).alias("row")), "member")
         else:
-            placed = placed.join(names.select("given", F.col("number").alias("member")), "member")
-            placed = placed.join(df.select(col(self.id_col).alias("given"), serialised(inputs).alias("row")), "given")
+            placed = written(placed.join(names.select("given", F.col("number").alias("member")).hint("merge"), "member"), "placed")
+            placed = few(placed, BROADCAST_ROWS).join(df.select(col(self.id_col).alias("given"), serialised(inputs).alias("row")), "given")
         lines = placed.groupBy("cluster_id").agg(F.first("members").alias("members"), F.array_sort(F.collect_list(F.struct("at", "member", "row"))).alias("rows"))
         line = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("ID "), r["member"].cast("string"), F.lit(": "), r["row"])), "\n")
         text = F.concat(F.lit("CLUSTER "), F.col("cluster_id").cast("string"), F.lit(" START\n"), line, F.lit("\nCLUSTER "), F.col("cluster_id").cast("string"), F.lit(" END"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import semspark as ss
 from semspark.functions.numbering import numbered
 from semspark.functions.skew import hot_join, spread_join
-from semspark.operators import graph
+from semspark.operators import dedup, graph
 from semspark.operators.clusters import clusters, greedy
 from semspark.operators.dedup import nearest_banded
 from semspark.plans.rules import same_text
@@ -152,6 +152,39 @@ def test_copies_of_a_spread_join_are_not_broadcast(spark):
         assert joined.count() == 3000
 
 
+def test_names_of_text_ids_are_not_broadcast(spark, monkeypatch):
+    """Names and ids, of few bytes in files and of any length in memory, are joined by shuffles; a hash of ids may be broadcast."""
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, label)
+
+    monkeypatch.setattr(dedup, "written", seen)
+    texts = F.concat(F.lit("text "), (F.col("id") % 70).cast("string"))
+    df = spark.range(100).select(F.format_string("doc-%03d", F.col("id")).alias("key"), texts.alias("text"))
+    want = [(f"doc-{k:03d}", f"doc-{k - 70:03d}") for k in range(70, 100)]
+    store = VectorStore(new_path(spark, "vectors"))
+    for options in ({}, {"llm": ss.CallableLLM(same_text)}, {"store": store}, {"store": store}):
+        plans.clear()
+        got = ss.reduce(df, action="dedup", id_col="key", input_fields=["text"], pairs=True, sim_threshold=0.9999, **options)
+        assert sorted(map(tuple, got.collect())) == want
+        assert not [label for label in ("least", "heads", "placed") if "Broadcast" in plans.get(label, "")]
+        joins = [line for line in plans["vectors"].splitlines() if "BroadcastHashJoin" in line]
+        assert "store" in options or all("[row_number#" in line for line in joins)
+
+
+def test_many_buckets_are_not_broadcast(spark, monkeypatch):
+    vec = vectors_of(600, 16, 3)
+    df = written(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "id long, vec array<float>"), "vectors")
+    few_buckets = nearest_banded(df, 20, 0.95, 0.9)
+    want = sorted((r.id, r.hit) for r in few_buckets.collect())
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    many = nearest_banded(df, 20, 0.95, 0.9)
+    joins = [line for line in many._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "band" in line] and sorted((r.id, r.hit) for r in many.collect()) == want
+
+
 def test_texts_are_embedded_once(spark):
     metrics = RunMetrics(spark)
     df = spark.createDataFrame([(k, f"text {k % 300}" if k else None) for k in range(900)], "id long, text string")
